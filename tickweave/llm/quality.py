@@ -108,8 +108,8 @@ def thresholds(rows: DataFrame, lang: str, source: str) -> DataFrame:
     by_group = written(by_group, "quality-sketches")
     merged = [F.kll_merge_agg_double(n).alias(n) for n in names]
     by_lang = by_group.groupBy(F.col("lang").alias("of_lang")).agg(F.sum("n").alias("lang_n"), F.struct(*merged).alias("lang_k"))
-    total = by_group.groupBy(F.lit(1).alias("one")).agg(F.struct(*merged).alias("all_k"))
-    joined = by_group.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang"))).withColumn("one", F.lit(1)).join(total, "one")
+    total = by_group.groupBy(F.least(F.col("n"), F.lit(1)).alias("one")).agg(F.struct(*merged).alias("all_k"))
+    joined = by_group.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang"))).withColumn("one", F.least(F.col("n"), F.lit(1))).join(total, "one")
     own = F.struct(*names)
     chosen = joined.select("lang", "source", "n", F.when(F.col("n") >= LEAST_GROUP, own).when(F.col("lang_n") >= LEAST_GROUP, F.col("lang_k")).otherwise(F.col("all_k")).alias("k"))
     out = [F.col("lang"), F.col("source"), F.col("n")]
