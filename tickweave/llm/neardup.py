@@ -22,8 +22,12 @@ MINIMA = 128
 SKETCH_BITS = 512
 #: Pairs whose sketches estimate less are not compared: 4 deviations of the estimate below PERCENT.
 SKETCH_LEAST = 0.72
+#: Members of larger buckets first meet one centre each; all members of a smaller bucket meet its centre.
+LARGE = 64
 #: Rows of a bucket that one task compares with as many others.
-BLOCK = 1000
+BLOCK = 500
+#: Ids are broadcast up to so many (8 bytes each), else joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(85))
 _A = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,6 +52,13 @@ def text_sets(texts: pa.Array) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def signature(values: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    if not len(values):
+        return 0, 0
+    return int(np.sum(_flat.mix(values), dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(_flat.mix(values + np.uint64(77))).astype(np.int64))
+
+
 def minima(values: np.ndarray) -> np.ndarray:
     out = np.full(MINIMA, np.uint64(2**64 - 1))
     for k in range(0, len(values), 512):
@@ -72,8 +83,9 @@ def sketched(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
             n, s1, s2, bands, sketches = [], [], [], [], []
             for values in text_sets(batch.column(1)):
                 n.append(len(values))
-                s1.append(np.sum(_flat.mix(values), dtype=np.uint64).astype(np.int64) if len(values) else 0)
-                s2.append(np.bitwise_xor.reduce(_flat.mix(values + np.uint64(77))).astype(np.int64) if len(values) else 0)
+                one, two = signature(values)
+                s1.append(one)
+                s2.append(two)
                 low = minima(values)
                 bands.append(_flat.mix(_flat.grams(low[: BANDS * ROWS], ROWS)[::ROWS] + np.arange(BANDS, dtype=np.uint64)).view(np.int64) if len(values) else None)
                 sketches.append(odd_sketch(low) if len(values) else None)
@@ -85,15 +97,19 @@ def sketched(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(each, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>")
 
 
-def full_sets(documents: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of (doc_id, text): the sets that confirm links."""
+def full_sets(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, shingles): the sets that confirm links, for the (doc_id, s1, s2) wanted."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [x.view(np.int64) for x in text_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            sets = list(text_sets(batch.column(1)))
+            s1, s2 = zip(*map(signature, sets)) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "s1", "s2", "shingles"])
 
-    return documents.mapInArrow(each, "doc_id long, shingles array<long>")
+    wanted = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(wanted.select("doc_id"), "doc_id", "left_semi")
+    sets = texts.mapInArrow(each, "doc_id long, s1 long, s2 long, shingles array<long>").join(wanted, ["doc_id", "s1", "s2"], "left_semi")
+    return written(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "neardup-sets")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -103,11 +119,8 @@ def estimate(a: Column, b: Column) -> Column:
     return 1 + SKETCH_BITS / (4.0 * MINIMA) * F.log(1 - share)
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar enough. Only the texts in a pair are read into sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(full_sets(texts), "neardup-sets")
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets are similar enough."""
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", both.alias("n"), (F.size("set_a") + F.size("set_b")).alias("total"))
@@ -141,68 +154,88 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _unmet(buckets: DataFrame, seen: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of a bucket that lie in different components so far and whose sketches are alike.
+def _rest(buckets: DataFrame, seen: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of a bucket that lie in different components so far.
 
     A bucket is cut into blocks, and every two blocks meet in a group of their own, so no task holds more than two blocks and
-    what a large bucket costs is spread over tasks. Pairs within a component are passed over in numpy and never emitted.
+    what a large bucket costs is spread over tasks. In numpy, each member is compared with those of other components whose odd
+    sketches are alike, on full sets. A link joins two components, so a group has fewer links than members.
     """
     labelled = buckets.join(seen.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.xxhash64("key").alias("k"))
     rows = labelled.withColumn("k", F.xxhash64("key")).join(mixed, ["key", "k"]).select("key", "rep", "component", "parts")
-    rows = rows.join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
+    rows = rows.join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
     part = F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("i"), F.greatest(j, F.col("part")).alias("j")))
-    rows = rows.withColumn("part", part).withColumn("t", F.explode(tiles)).select("key", "t.i", "t.j", "part", "rep", "component", "sketch")
+    rows = rows.withColumn("part", part).withColumn("t", F.explode(tiles)).select("key", "t.i", "t.j", "part", "rep", "component", "sketch", "shingles")
     most_odd = int(SKETCH_BITS / 2 * (1 - np.exp((SKETCH_LEAST - 1) * 4 * MINIMA / SKETCH_BITS)))
 
     def compare(table: pa.Table) -> pa.Table:
         part, rep, comp = (table.column(c).to_numpy() for c in ("part", "rep", "component"))
-        sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(rep), -1)
+        comp = comp.copy()
+        flat = lambda c: table.column(c).combine_chunks()
+        sketch = flat("sketch").flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
+        column = flat("shingles")
+        values, ends = column.flatten().to_numpy().view(np.uint64), np.cumsum(column.value_lengths().to_numpy())
+        begins = np.concatenate(([0], ends[:-1]))
+        size = ends - begins
         one, two = int(part.min()), int(part.max())
         left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
-        out = []
+        links = []
         for x in left:
             odd = np.bitwise_count(sketch[right] ^ sketch[x]).sum(1, dtype=np.int64)
-            near = right[(odd <= most_odd) & (comp[right] != comp[x]) & ((rep[right] > rep[x]) | (one != two))]
-            out.append(np.stack([np.minimum(rep[near], rep[x]), np.maximum(rep[near], rep[x])]))
-        found = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": found[0].astype(np.int64), "b": found[1].astype(np.int64)})
-
-    return written(rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "neardup-unmet")
+            near = right[(odd <= most_odd) & (comp[right] != comp[x]) & ((right > x) | (one != two))]
+            if not len(near):
+                continue
+            own = values[begins[x] : ends[x]]
+            others = np.concatenate([values[begins[y] : ends[y]] for y in near])
+            found = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+            common = np.add.reduceat(found.astype(np.int64), np.cumsum(size[near]) - size[near])
+            for y in near[100 * common >= PERCENT * (size[near] + size[x] - common)]:
+                if comp[y] != comp[x]:
+                    links.append((rep[x], rep[y]))
+                    comp[comp == comp[y]] = comp[x]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return written(rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "neardup-rest")
 
 
 def cluster(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
     Equal sets are one representative, so copies never meet in pairs. Representatives that share a band are first compared with
-    the smallest of their bucket; then buckets that still hold several components are compared in blocks, each pair in different
-    components whose odd sketches are alike. Every link is confirmed on full sets.
+    the smallest of their bucket (of large buckets, with the smallest of all theirs); then buckets that still hold several
+    components are compared in blocks, each pair in different components whose odd sketches are alike. Every link is confirmed on
+    full sets.
 
     Null, empty and blank texts have no set and link with nothing; texts of one to four words are one shingle. Repeated rows of a
-    doc_id keep their rows and share a component; an empty table gives no rows; other columns are not read.
+    doc_id keep their rows and share a component; if their texts differ, the set with the smallest signature is compared. An empty
+    table gives no rows; other columns are not read.
     """
     ship(documents.sparkSession)
     docs = written(sketched(documents, doc_id, text), "neardup-sketches")
-    group = docs.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     same = ["s1", "s2", "n_shingles"]
-    group = written(group, "neardup-groups")
-    reps = docs.join(group.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps.select("doc_id", "n_shingles", "bands", "sketch"), "neardup-reps")
+    group = written(docs.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "neardup-groups")
+    chosen = group.groupBy("rep").agg(F.min(F.struct("s1", "s2")).alias("s")).select(F.col("rep").alias("doc_id"), "s.s1", "s.s2")
+    reps = docs.join(chosen, ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"])
+    reps = written(reps.select("doc_id", "s1", "s2", "bands", "sketch"), "neardup-reps")
     keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    # The second key has both sides dealt out for the join itself, so that a bucket with very many members can be split.
     shared = keyed.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("k", F.xxhash64("key"))
-    buckets = written(keyed.withColumn("k", F.xxhash64("key")).join(shared, ["key", "k"]).select("key", "rep", "center"), "neardup-buckets")
-    stars = buckets.where("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    buckets = written(keyed.withColumn("k", F.xxhash64("key")).join(shared, ["key", "k"]).select("key", "rep", "center", "n"), "neardup-buckets")
+    members = written(reps.select("doc_id", "s1", "s2").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "neardup-members")
+    sets = full_sets(documents, members, doc_id, text)
+    small = buckets.where(F.col("n") <= LARGE).select(F.col("center").alias("a"), F.col("rep").alias("b"))
+    large = buckets.where(F.col("n") > LARGE).groupBy(F.col("rep").alias("b")).agg(F.min("center").alias("a")).select("a", "b")
+    stars = small.union(large).where("a != b").distinct()
     marks = reps.select("doc_id", F.col("sketch"))
     near = stars.join(marks.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(marks.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     near = written(near.where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= SKETCH_LEAST).select("a", "b"), "neardup-stars")
-    links = confirmed(near, documents, doc_id, text)
+    links = confirmed(near, sets)
     first = written(components(links), "neardup-first")
-    rest = _unmet(buckets.select("key", "rep"), first, reps).join(near, ["a", "b"], "left_anti")
-    rest = written(rest, "neardup-rest")
-    if rest.count():
-        more = confirmed(rest, documents, doc_id, text)
-        first = written(components(links.union(more)), "neardup-second")
+    rest = _rest(buckets.select("key", "rep"), first, reps, sets)
+    if rest.take(1):
+        first = written(components(links.union(rest)), "neardup-second")
     found = group.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"), F.xxhash64("s1").alias("k"))
     out = docs.select("doc_id", *same).withColumn("k", F.xxhash64("s1")).join(found, [*same, "k"], "left")
     component = F.coalesce("component", "doc_id")
