@@ -17,6 +17,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parent
+    # Workers on this machine, those of streaming queries' planners among them, take it from here.
+    paths = [str(top.parent), *context.environment.get("PYTHONPATH", "").split(":")]
+    context.environment["PYTHONPATH"] = ":".join(dict.fromkeys(p for p in paths if p))
     target = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
     with zipfile.ZipFile(target, "w") as out:
         for path in sorted(top.rglob("*.py")):

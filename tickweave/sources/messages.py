@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COMBINED = "stream string, data struct<t:string,p:string,q:string,T:string,bids:array<array<string>>,asks:array<array<string>>>"
 MATCH = "type string, trade_id string, product_id string, size string, price string, time string"
 
 
@@ -22,13 +21,20 @@ def imbalance(bids: Column, asks: Column, levels: int = 10) -> Column:
 
 def combined_stream(raw: DataFrame, venue: str = "binance", body: str = "value") -> DataFrame:
     """Trades and book imbalances of combined-stream messages: (kind, symbol, t, price, qty, id, obi)."""
-    m = F.from_json(F.col(body), COMBINED)
-    d, name = F.col("m.data"), F.split("m.stream", "@")
-    symbol = F.concat(F.lit(f"{venue}:"), F.upper(F.get(name, F.lit(0))))
+    # By path, as the message has fields that differ in case alone.
+    at = lambda path: F.get_json_object(F.col(body), f"$.{path}")
+    levels = lambda side: F.from_json(at(f"data.{side}"), "array<array<string>>")
+    keep = [c for c in raw.columns if c != body]
+    name = F.split(at("stream"), "@")
     channel = F.coalesce(F.get(name, F.lit(1)), F.lit(""))
     kind = F.when(channel == "trade", "trade").when(channel.startswith("depth"), "obi")
-    rows = raw.select(m.alias("m"), *[c for c in raw.columns if c != body]).where("m.stream is not null and m.data is not null").withColumn("kind", kind)
-    out = rows.select(*[c for c in raw.columns if c != body], "kind", symbol.alias("symbol"), _number(d["T"]).cast("long").alias("t"), _number(d["p"]).alias("price"), _number(d["q"]).alias("qty"), d["t"].alias("id"), F.when(F.col("kind") == "obi", imbalance(d["bids"], d["asks"])).alias("obi"))
+    symbol = F.concat(F.lit(f"{venue}:"), F.upper(F.get(name, F.lit(0))))
+    trade, book = F.col("kind") == "trade", F.col("kind") == "obi"
+    rows = raw.where(at("stream").isNotNull() & at("data").isNotNull()).select(*keep, body, kind.alias("kind"), symbol.alias("symbol"))
+    out = rows.select(
+        *keep, "kind", "symbol", F.when(trade, _number(at("data.T")).cast("long")).alias("t"), F.when(trade, _number(at("data.p"))).alias("price"),
+        F.when(trade, _number(at("data.q"))).alias("qty"), F.when(trade, at("data.t")).alias("id"), F.when(book, imbalance(levels("bids"), levels("asks"))).alias("obi"),
+    )
     trade = (F.col("kind") == "trade") & F.col("price").isNotNull() & F.col("qty").isNotNull() & F.col("t").isNotNull()
     return out.where(trade | (F.col("kind") == "obi") & F.col("obi").isNotNull())
 
