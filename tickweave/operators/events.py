@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import DAY
 
-W = Window.partitionBy("symbol").orderBy("day")
-
 
 def daily(ticks: DataFrame) -> DataFrame:
     """(symbol, day, open, high, low, close) by event time; ``day`` is a number of days since 1970."""
@@ -45,8 +43,9 @@ def greedy(days: DataFrame, k: int, apart: int, by: str = "rank") -> DataFrame:
 
 def regime(days: DataFrame, shocks: DataFrame, back: int = 7, least_pct: float = 4.0, near: int = 1) -> DataFrame:
     """Days whose range is large against the median of the ``back`` days before, without a gap in them, and far from shock days."""
-    seen = W.rowsBetween(-back, -1)
-    rows = days.withColumn("usual", F.percentile("range_pct", 0.5).over(seen)).withColumn("whole", F.lag("day", back).over(W) == F.col("day") - back)
+    by_day = Window.partitionBy("symbol").orderBy("day")
+    seen = by_day.rowsBetween(-back, -1)
+    rows = days.withColumn("usual", F.percentile("range_pct", 0.5).over(seen)).withColumn("whole", F.lag("day", back).over(by_day) == F.col("day") - back)
     rows = rows.where("whole and usual > 0").withColumn("ratio", F.col("range_pct") / F.col("usual")).where(F.col("range_pct") >= least_pct)
     apart = shocks.select(F.col("symbol").alias("s"), F.explode(F.sequence(F.col("day") - near, F.col("day") + near)).alias("d")).distinct()
     rows = rows.join(apart, (F.col("symbol") == F.col("s")) & (F.col("day") == F.col("d")), "left_anti")
