@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import mmap
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
@@ -34,7 +39,18 @@ def small_batches(spark: SparkSession) -> None:
     """Arrow batches of long texts must fit a Python worker; a setting that the user has changed stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "2000")
+        spark.conf.set(key, "512")
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches of a Python task; afterwards the worker, which waits for further tasks, gives free memory back."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def _filesystem(uri: str):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .._ship import ship
-from ._store import small_batches
+from ._store import small_batches, trimmed
 
 #: Words kept encoded by a worker; beyond that its table starts anew.
 CACHED_WORDS = 200_000
@@ -144,16 +144,30 @@ class Encoder:
             return [w for k, part in enumerate(self.cut(text)) for w in ([part] if k % 2 else self.find(part))]
         return self.find(text)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the bytes of 32-bit integers."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         if not self.known:
-            self.known.update({s: np.array([i], np.int64) for s, i in self.codec.special.items()})
+            self.known.update({s: np.int32(i).tobytes() for s, i in self.codec.special.items()})
+        known = self.known
         parted = [self.words(t) for t in texts]
-        new = list({w for words in parted for w in words if w not in self.known})
-        self.known.update(zip(new, self.codec.merge([w.encode() for w in new])))
-        get = self.known.__getitem__
-        return [np.concatenate(list(map(get, words))) if words else np.zeros(0, np.int64) for words in parted]
+        new = list(set().union(*parted).difference(known))
+        known.update(zip(new, [x.astype(np.int32).tobytes() for x in self.codec.merge([w.encode() for w in new])]))
+        return [b"".join([known[w] for w in words]) for words in parted]
+
+    def arrays(self, texts: pa.Array) -> pa.Array:
+        """list<int32> of the ids of an array of texts; texts are taken in pieces of some 512 kB, or one text."""
+        texts, ids, first = texts.to_pylist(), [], 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (last == first or size < 1 << 19):
+                size += len(texts[last] or "")
+                last += 1
+            ids += self.encode([t or "" for t in texts[first:last]])
+            first = last
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
 def load(path: str | None = None, pattern: str | None = None) -> Codec:
@@ -165,10 +179,15 @@ def load(path: str | None = None, pattern: str | None = None) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(documents: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _decoded(codec: Codec, ids: pa.Array) -> pa.Array:
+    counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.array(codec.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts), pa.string())
+
+
+def encode(documents: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
     """(doc_id, ids) for every row: token ids of the whole text; null and empty texts have none.
 
-    Texts are encoded in pieces of some 256 kB or one text, so a batch of long texts stays bounded. Repeated rows are encoded one
+    With ``back`` also ``text``, decoded from the ids in the same task. Memory is bounded by a batch of texts. Repeated rows are encoded one
     by one, an empty table gives no rows, and other columns are not read. The tables (2 MB) travel as a broadcast.
     """
     spark = documents.sparkSession
@@ -179,20 +198,14 @@ def encode(documents: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tables.value)
         for batch in batches:
-            texts, out, first = batch.column(1).to_pylist(), [], 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size < 1 << 18):
-                    size += len(texts[last] or "")
-                    last += 1
-                ids = encoder.encode([t or "" for t in texts[first:last]])
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int32))))
-                first = last
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids = encoder.arrays(batch.column(1))
+            if not back:
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+                continue
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, _decoded(tables.value, ids)], names=["doc_id", "ids", "text"])
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, ids array<int>")
+    return rows.mapInArrow(lambda b: trimmed(each(b)), "doc_id long, ids array<int>" + ", text string" * back)
 
 
 def decode(encoded: DataFrame, codec: Codec) -> DataFrame:
@@ -204,17 +217,13 @@ def decode(encoded: DataFrame, codec: Codec) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(1)
-            counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            texts = tables.value.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _decoded(tables.value, batch.column(1))], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(each, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lambda b: trimmed(each(b)), "doc_id long, ids array<int>, text string")
 
 
 def digests(documents: DataFrame) -> DataFrame:
-    codec = load()
-    back = decode(encode(documents, codec), codec)
+    back = encode(documents, load(), back=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

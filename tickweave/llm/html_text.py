@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .._ship import ship
-from ._store import small_batches
+from ._store import small_batches, trimmed
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^<>]*+>|<[!?][^>]*+>", re.S)
 NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
@@ -317,7 +317,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    return rows.mapInArrow(each, "page_id long, url string, text string")
+    return rows.mapInArrow(lambda b: trimmed(each(b)), "page_id long, url string, text string")
 
 
 def op7_html(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .._ship import ship
 from . import _flat
-from ._store import folder, map_array, put_array, small_batches, written
+from ._store import folder, map_array, put_array, small_batches, trimmed, written
 
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -251,7 +251,7 @@ def train(documents: DataFrame, text: str = "text", shards: int | None = None) -
             put_array(name + ".count", tally.counts.astype("<u8"))
             yield _told(shard, {"name": name, "n": len(tally.keys), "sum": int(tally.counts.sum())})
 
-    told = _facts(written(texts.mapInArrow(count_words, ROWS).repartitionById(count, F.col("shard")).mapInArrow(store_words, TOLD), "lm-words"))
+    told = _facts(written(texts.mapInArrow(lambda b: trimmed(count_words(b)), ROWS).repartitionById(count, F.col("shard")).mapInArrow(store_words, TOLD), "lm-words"))
     layout, first = [], 0
     for k in range(count):
         f = told.get(k, {"name": "", "n": 0})
@@ -298,7 +298,7 @@ def train(documents: DataFrame, text: str = "text", shards: int | None = None) -
         for b in _rows(target, ids, n):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(len(b), pa.string())], names=["shard", "key", "n", "facts"])
 
-    stored = written(texts.mapInArrow(count_pairs, ROWS).repartitionById(count, F.col("shard")).mapInArrow(store_pairs, TOLD), "lm-pairs")
+    stored = written(texts.mapInArrow(lambda b: trimmed(count_pairs(b)), ROWS).repartitionById(count, F.col("shard")).mapInArrow(store_pairs, TOLD), "lm-pairs")
     told = _facts(stored)
     for k, f in told.items():
         layout[k].pairs, layout[k].n_pairs, layout[k].pair_type = f["name"], f["n"], f["type"]
@@ -357,7 +357,7 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(low), pa.array(high)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return rows.mapInArrow(lambda b: trimmed(each(b)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def held_out(doc_id: str, parts: int, part: int):

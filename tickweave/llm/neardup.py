@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .._ship import ship
 from . import _flat
-from ._store import small_batches, written
+from ._store import small_batches, trimmed, written
 
 SHINGLE = 5
 #: Links: PERCENT * union <= 100 * intersection.
@@ -94,7 +94,7 @@ def sketched(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(lambda b: trimmed(each(b)), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>")
 
 
 def full_sets(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -108,7 +108,7 @@ def full_sets(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> D
 
     wanted = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
     texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(wanted.select("doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(each, "doc_id long, s1 long, s2 long, shingles array<long>").join(wanted, ["doc_id", "s1", "s2"], "left_semi")
+    sets = texts.mapInArrow(lambda b: trimmed(each(b)), "doc_id long, s1 long, s2 long, shingles array<long>").join(wanted, ["doc_id", "s1", "s2"], "left_semi")
     return written(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "neardup-sets")
 
 

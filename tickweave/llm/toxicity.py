@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .._ship import ship
 from . import _flat
-from ._store import small_batches, written
+from ._store import small_batches, trimmed, written
 
 #: Bounds of the samples that the classifier is fitted on; which rows are taken is fixed by a hash of doc_id.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
@@ -162,7 +162,7 @@ def rate(documents: DataFrame, classifier: Classifier, doc_id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classifier.scores(batch.column(1)))], names=["doc_id", "score"])
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, score double")
+    return rows.mapInArrow(lambda b: trimmed(each(b)), "doc_id long, score double")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
