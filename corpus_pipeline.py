@@ -42,8 +42,7 @@ def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids of the text, their number, and digests of the ids and of the text decoded from them."""
-    codec = bpe.load()
-    back = bpe.decode(bpe.encode(docs, codec), codec)
+    back = bpe.encode(docs, bpe.load(), back=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"), "ids")
 
