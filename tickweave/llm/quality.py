@@ -25,8 +25,8 @@ class Rule:
 
 RULES = (
     Rule("symbol_rate", 0.05, 4.0),
-    Rule("dup_line_rate", 0.08, 4.0),
-    Rule("repeat_rate", 0.08, 4.0),
+    Rule("dup_line_rate", 0.1, 4.0),
+    Rule("repeat_rate", 0.11, 4.0),
     Rule("word_length", 0.35, 5.0, both_sides=True),
 )
 #: Groups with fewer texts use their language's sketch; languages with fewer, the whole corpus's.
