@@ -175,7 +175,8 @@ def assemble(records: DataFrame) -> DataFrame:
 def op3_warc(spark, sf_dir: str) -> DataFrame:
     home = folder(spark, "warc")
     archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), home)
-    captures = written(assemble(read_records(spark, home)), "warc-captures")
+    # The assembly looks at the records several times; the archives are parsed once.
+    captures = written(assemble(written(read_records(spark, home), "warc-records")), "warc-captures")
     page = F.expr("try_cast(regexp_extract(metadata[0].fields, 'page-id: (-?[0-9]+)', 1) AS BIGINT)")
     rows = captures.select(page.alias("page_id"), "capture_id", "response")
     full = rows.where("response.kind = 'response'").select(F.col("capture_id").alias("refers"), F.col("response.payload_digest").alias("digest"), F.col("response.payload_bytes").alias("full_bytes"), F.col("page_id").alias("of_page"))
