@@ -46,9 +46,9 @@ class Window:
         return (low + 0.5 * (high - low)) / (len(self.ranked) + 1)
 
     def mad(self) -> tuple[float, float]:
-        a = np.asarray(self.ranked)
-        m = float(np.median(a))
-        return m, 1.4826 * float(np.median(np.abs(a - m)))
+        m, n = self.quantile(0.5), len(self.ranked)
+        gaps = np.sort(np.abs(np.asarray(self.ranked) - m))
+        return m, 1.4826 * float(gaps[(n - 1) // 2] + gaps[n // 2]) / 2
 
 
 @dataclass
@@ -121,7 +121,21 @@ class Cusum:
         return out
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+class _LogGamma:
+    """lgamma(a + 1/2) - lgamma(a) for a = 1 + k / 2, from a table that grows as needed."""
+
+    def __init__(self) -> None:
+        self.table = np.zeros(0)
+
+    def __call__(self, k: np.ndarray) -> np.ndarray:
+        top = int(k.max()) + 1
+        if top > len(self.table):
+            new = range(len(self.table), max(top, 2 * len(self.table), 256))
+            self.table = np.append(self.table, [math.lgamma(1.5 + j / 2) - math.lgamma(1 + j / 2) for j in new])
+        return self.table[k]
+
+
+_log_gamma = _LogGamma()
 
 
 class Bocpd:
@@ -131,28 +145,30 @@ class Bocpd:
         self.stay, self.change, self.longest, self.short, self.least = math.log1p(-hazard), math.log(hazard), longest, short, least
         self.sigma, self.n = Ewma(0.99), 0
         self.log = np.zeros(1)
-        self.mu, self.kappa, self.alpha, self.beta = np.zeros(1), np.ones(1), np.ones(1), np.ones(1)
+        # alpha is 1 + steps / 2
+        self.mu, self.kappa, self.steps, self.beta = np.zeros(1), np.ones(1), np.zeros(1, np.int64), np.ones(1)
 
     def update(self, bar: dict, ret: float) -> float | None:
         self.n += 1
         before = self.sigma.sigma
         self.sigma.update(ret, 6.0)
         x = max(-15.0, min(15.0, ret / max(before, 1e-9)))
-        freedom, scale = 2 * self.alpha, self.beta * (self.kappa + 1) / (self.alpha * self.kappa)
-        density = _lgamma((freedom + 1) / 2) - _lgamma(freedom / 2) - 0.5 * np.log(freedom * math.pi * scale) - (freedom + 1) / 2 * np.log1p((x - self.mu) ** 2 / (freedom * scale))
+        alpha = 1 + self.steps / 2
+        freedom, scale = 2 * alpha, self.beta * (self.kappa + 1) / (alpha * self.kappa)
+        density = _log_gamma(self.steps) - 0.5 * np.log(freedom * math.pi * scale) - (freedom + 1) / 2 * np.log1p((x - self.mu) ** 2 / (freedom * scale))
         joint = self.log + density
         grown = joint + self.stay
         log = np.concatenate(([np.logaddexp.reduce(joint) + self.change], grown))
         mu = np.concatenate(([0.0], (self.kappa * self.mu + x) / (self.kappa + 1)))
         beta = np.concatenate(([1.0], self.beta + self.kappa * (x - self.mu) ** 2 / (2 * (self.kappa + 1))))
-        kappa, alpha = np.concatenate(([1.0], self.kappa + 1)), np.concatenate(([1.0], self.alpha + 0.5))
+        kappa, steps = np.concatenate(([1.0], self.kappa + 1)), np.concatenate(([0], self.steps + 1))
         if len(log) > self.longest + 1:
             tail = np.logaddexp(log[-2], log[-1])
             log = np.append(log[:-2], tail)
             drop = len(mu) - 2  # the longer run keeps its parameters
-            mu, kappa, alpha, beta = (np.delete(a, drop) for a in (mu, kappa, alpha, beta))
+            mu, kappa, steps, beta = (np.delete(a, drop) for a in (mu, kappa, steps, beta))
         self.log = log - np.logaddexp.reduce(log)
-        self.mu, self.kappa, self.alpha, self.beta = mu, kappa, alpha, beta
+        self.mu, self.kappa, self.steps, self.beta = mu, kappa, steps, beta
         return float(np.exp(self.log[: self.short]).sum()) if self.n >= self.least else None
 
 
