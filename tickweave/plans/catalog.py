@@ -368,7 +368,7 @@ def replay_summary(spark, d):
 
 
 @query(SCORED + FIRST + """, p AS (SELECT a.event, a.hit IS NOT NULL AS d1, b.hit IS NOT NULL AS d0, (a.hit - b.hit) / 60000.0 AS gap FROM fa a JOIN fa b USING (event) WHERE a.method = 'z3' AND b.method = 'z2')
-SELECT 'z3' AS method, count(*) AS n, round(avg(d1::INT - d0::INT), 6) AS diff, quantile_cont(gap, 0.5)::DOUBLE AS median_gap_min, 'lower' AS verdict FROM p""")
+SELECT 'z3' AS method, count(*) AS n, round(avg(d1::INT - d0::INT), 6) AS diff, quantile_cont(gap, 0.5)::DOUBLE AS median_gap_min, CASE WHEN avg(d1::INT - d0::INT) - 1 > 0 THEN 'higher' WHEN avg(d1::INT - d0::INT) - 0.001 < 0 THEN 'lower' ELSE 'no clear difference' END AS verdict FROM p""")
 def paired_difference(spark, d):
     out = V.paired(outcomes(spark, d), "z2")
     return out.select("method", "n", r6("diff"), "median_gap_min", V.verdict(F.col("diff") - 1, F.col("diff") - 0.001).alias("verdict"))
