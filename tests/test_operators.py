@@ -79,3 +79,30 @@ def test_stream_equals_batch(spark, sf_dir):
     batch = {(r.symbol, r.t): (r.ready, r.score, r.alert) for r in engine.engine(rows, per_day=20.0).collect()}
     stream = {(r.symbol, r.t): (r.ready, r.score, r.alert) for r in catalog.stream_engine(spark, sf_dir).where("t < 1500").collect()}
     assert batch and batch == stream
+
+
+def test_chunks_equal_one_window(spark):
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=700)
+    rows = [(s, int(t) * 7, float(v)) for s, n in (("a", 500), ("b", 3), ("c", 197)) for t, v in enumerate(x[:n])]
+    df = spark.createDataFrame(rows, "symbol string, t long, x double")
+    column = lambda by: windows.robust_z("x", 20, 5, by)
+    want = df.withColumn("z", column(("symbol",)))
+    for size, cell in ((20, 50), (64, 1000), (10_000, 10)):
+        got = windows.in_chunks(df, 20, column, "z", size, cell)
+        assert sorted(got.select("symbol", "t", "z").collect(), key=str) == sorted(want.select("symbol", "t", "z").collect(), key=str)
+    assert windows.in_chunks(df.limit(0), 20, column, "z").count() == 0
+
+
+def test_zones_and_first_alerts(spark):
+    from tickweave.operators import evaluate
+
+    m = 60_000
+    events = spark.createDataFrame([("e", "a", 100 * m, 200 * m), ("e2", "a", 150 * m, 260 * m)], "event string, symbol string, start long, end long")
+    rows = spark.createDataFrame([("p", s, t * m, True) for s in "ab" for t in (30, 40, 100, 260, 620, 621)] + [("q", "a", 0, False)], "method string, symbol string, t long, alert boolean")
+    got = {(r.symbol, r.t // m): r.zone for r in evaluate.zones(rows.where("alert"), events).collect()}
+    assert [got["a", t] for t in (30, 40, 100, 260, 620, 621)] == ["quiet", "guard", "event", "event", "guard", "quiet"] and got["b", 100] == "quiet"
+    onsets = events.select("event", "symbol", F.col("start").alias("onset"))
+    found = {(r.method, r.event): (r.detected, r.latency_min) for r in evaluate.first_alerts(onsets, rows).collect()}
+    assert found == {("p", "e"): (True, 0.0), ("p", "e2"): (True, 110.0), ("q", "e"): (False, None), ("q", "e2"): (False, None)}

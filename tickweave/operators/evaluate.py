@@ -8,24 +8,35 @@ from pyspark.sql import functions as F
 from ..functions.columns import DAY, MINUTE
 
 
-def in_any(rows: DataFrame, spans: DataFrame, low: Column, high: Column, width: int = DAY) -> DataFrame:
-    """Rows with a span of their symbol around them (semi join): an equi-join on days that the spans touch, then the exact test."""
-    cells = spans.select(F.col("symbol").alias("s"), low.alias("lo"), high.alias("hi")).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    return rows.withColumn("c", F.floor(F.col("t") / width)).join(cells, (F.col("symbol") == F.col("s")) & (F.col("c") == F.col("cell")) & (F.col("t") >= F.col("lo")) & (F.col("t") <= F.col("hi")), "left_semi").drop("c")
+def met(rows: DataFrame, spans: DataFrame, low: Column, high: Column, how: str = "inner", width: int = DAY) -> DataFrame:
+    """Rows and the spans of their symbol with ``lo`` <= t <= ``hi``: an equi-join on the days that a span touches, then the exact test."""
+    cells = spans.withColumn("lo", low).withColumn("hi", high).withColumnRenamed("symbol", "s").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    return rows.withColumn("c", F.floor(F.col("t") / width)).join(cells, (F.col("symbol") == F.col("s")) & (F.col("c") == F.col("cell")) & F.col("t").between(F.col("lo"), F.col("hi")), how).drop("c", "cell", "s")
+
+
+def in_any(rows: DataFrame, spans: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Rows with a span of their symbol around them."""
+    return met(rows, spans.select("symbol", low.alias("l"), high.alias("h")), F.col("l"), F.col("h"), "left_semi")
 
 
 def zones(rows: DataFrame, events: DataFrame, ahead: int = 60 * MINUTE, behind: int = 360 * MINUTE) -> DataFrame:
-    """``zone`` of each row: event inside a window, guard just before or after one, else quiet."""
-    inside = in_any(rows, events, F.col("start"), F.col("end")).select("symbol", "t").distinct().withColumn("zi", F.lit(1))
-    around = in_any(rows, events, F.col("start") - ahead, F.col("end") + behind).select("symbol", "t").distinct().withColumn("zg", F.lit(1))
-    out = rows.join(inside, ["symbol", "t"], "left").join(around, ["symbol", "t"], "left")
-    return out.withColumn("zone", F.when(F.col("zi") == 1, "event").when(F.col("zg") == 1, "guard").otherwise("quiet")).drop("zi", "zg")
+    """``zone`` of each row: event inside a window, guard just before or after one, else quiet.
+
+    The windows of a symbol and day become one array, so rows meet them in a single join that never repeats a row.
+    """
+    first, last = F.col("start") - ahead, F.col("end") + behind
+    cells = events.select(F.col("symbol").alias("s"), F.struct(F.col("start").alias("a"), F.col("end").alias("b")).alias("w"), F.explode(F.sequence(F.floor(first / DAY), F.floor(last / DAY))).alias("cell"))
+    packed = cells.groupBy("s", "cell").agg(F.collect_set("w").alias("near"))
+    out = rows.withColumn("c", F.floor(F.col("t") / DAY)).join(packed, (F.col("symbol") == F.col("s")) & (F.col("c") == F.col("cell")), "left")
+    inside = F.exists("near", lambda w: F.col("t").between(w["a"], w["b"]))
+    around = F.exists("near", lambda w: F.col("t").between(w["a"] - ahead, w["b"] + behind))
+    return out.withColumn("zone", F.when(inside, "event").when(around, "guard").otherwise("quiet")).drop("c", "cell", "s", "near")
 
 
 def slices(bars: DataFrame, events: DataFrame, warmup: int, tail: int) -> DataFrame:
     """Bars of each event from ``warmup`` before its start to ``tail`` after its end, both included."""
-    cells = events.select("event", F.col("symbol").alias("s"), (F.col("start") - warmup).alias("lo"), (F.col("end") + tail).alias("hi")).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / DAY), F.floor(F.col("hi") / DAY))))
-    return bars.withColumn("c", F.floor(F.col("t") / DAY)).join(cells, (F.col("symbol") == F.col("s")) & (F.col("c") == F.col("cell")) & F.col("t").between(F.col("lo"), F.col("hi"))).drop("c", "cell", "s")
+    spans = events.select("event", "symbol", (F.col("start") - warmup).alias("first"), (F.col("end") + tail).alias("last"))
+    return met(bars, spans, F.col("first"), F.col("last")).drop("first", "last")
 
 
 def sufficiency(sliced: DataFrame, events: DataFrame, width: int, share: float = 0.95) -> DataFrame:
@@ -36,11 +47,14 @@ def sufficiency(sliced: DataFrame, events: DataFrame, width: int, share: float =
     return out.withColumn("expected", want.cast("long")).withColumn("reason", F.when(F.col("bars") == 0, "no data").when(F.col("bars") < share * want, "insufficient data")).drop("lo", "hi")
 
 
-def first_alerts(onsets: DataFrame, alerts: DataFrame, lead: int = 30 * MINUTE, lag: int = 120 * MINUTE) -> DataFrame:
-    """Per event and method whether an alert falls into [onset - lead, onset + lag], and its delay in minutes."""
-    a = alerts.select("method", F.col("symbol").alias("s"), F.col("t").alias("at"))
-    found = onsets.join(a, (F.col("symbol") == F.col("s")) & F.col("at").between(F.col("onset") - lead, F.col("onset") + lag)).groupBy("method", "event").agg(F.min("at").alias("at"))
-    every = onsets.join(F.broadcast(alerts.select("method").distinct()))
+def first_alerts(onsets: DataFrame, scored: DataFrame, lead: int = 30 * MINUTE, lag: int = 120 * MINUTE) -> DataFrame:
+    """Per event and method whether an alert falls into [onset - lead, onset + lag], and its delay in minutes.
+
+    A method that never alerts has its rows too.
+    """
+    alerts = scored.where("alert").select("method", "symbol", F.col("t"))
+    found = met(alerts, onsets, F.col("onset") - lead, F.col("onset") + lag).groupBy("method", "event").agg(F.min("t").alias("at"))
+    every = onsets.join(F.broadcast(scored.select("method").distinct()))
     return every.join(found, ["method", "event"], "left").select("method", "event", "symbol", F.col("at").isNotNull().alias("detected"), ((F.col("at") - F.col("onset")) / MINUTE).alias("latency_min"))
 
 
@@ -52,7 +66,7 @@ def replay(scored: DataFrame, events: DataFrame) -> DataFrame:
         F.count_if(alert).alias("alerts"), F.count_if(alert & (F.col("zone") == "event")).alias("in_window"),
         F.count_if(alert & (F.col("zone") == "quiet")).alias("false_alarms"), F.count_if(F.col("ready") & (F.col("zone") == "quiet")).alias("quiet_bars"),
     )
-    hits = events.join(scored.where("alert").select("method", F.col("symbol").alias("s"), "t"), (F.col("symbol") == F.col("s")) & F.col("t").between(F.col("start"), F.col("end")))
+    hits = met(scored.where("alert").select("method", "symbol", "t"), events.select("event", "symbol", "start", "end"), F.col("start"), F.col("end"))
     first = hits.groupBy("method", "event").agg(F.min(F.col("t") - F.col("start")).alias("delay"))
     found = first.groupBy("method").agg(F.count(F.lit(1)).alias("detected"), F.sort_array(F.collect_list("delay")).alias("d"))
     n = events.count()
@@ -92,5 +106,31 @@ def bootstrap(values: DataFrame, replicates: DataFrame) -> DataFrame:
     return reps.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")).join(F.broadcast(values.agg(F.avg("x").alias("est"))))
 
 
+def study_summary(outcomes: DataFrame, replicates: DataFrame, reference: str, least: int = 20) -> DataFrame:
+    """Per method: recall, false alarms a quiet day, median delay, and their differences to the reference, each with 95 % bounds.
+
+    ``outcomes`` has method, event, cluster, detected, latency_min, fa and quiet_days; ``replicates`` (rep, cluster, times) says how
+    often each cluster counts. The estimate is a replicate of its own in which each counts once. Delays are compared over the
+    events that both methods detect. Replicates without a value are passed over; fewer than ``least`` give no bounds.
+    """
+    names = ["recall", "rate", "latency", "d_recall", "d_rate", "d_latency"]
+    theirs = outcomes.where(F.col("method") == reference).select("event", F.col("detected").cast("double").alias("rd"), F.col("latency_min").alias("rl"), F.col("fa").alias("rf"), F.col("quiet_days").alias("rq"))
+    once = outcomes.select("cluster").distinct().select(F.lit(-1).cast("long").alias("rep"), "cluster", F.lit(1).cast("long").alias("times"))
+    drawn = replicates.select(F.col("rep").cast("long").alias("rep"), "cluster", F.col("times").cast("long").alias("times")).where("times > 0").unionByName(once)
+    rows = outcomes.withColumn("d", F.col("detected").cast("double")).join(theirs, "event").join(drawn, "cluster")
+    mean = lambda x: F.sum(F.col("times") * F.col(x)) / F.sum("times")
+    ratio = lambda x, y: F.try_divide(F.sum(F.col("times") * F.col(x)), F.sum(F.col("times") * F.col(y)))
+    middle = lambda x: F.percentile(x, 0.5, F.col("times"))
+    values = [mean("d"), ratio("fa", "quiet_days"), middle(F.col("latency_min")), mean("d") - mean("rd"), ratio("fa", "quiet_days") - ratio("rf", "rq"), middle(F.col("latency_min") - F.col("rl"))]
+    points = rows.groupBy("method", "rep").agg(F.count(F.lit(1)).alias("n"), *(v.alias(x) for v, x in zip(values, names)))
+    out = []
+    for x in names:
+        drew = F.when(F.col("rep") >= 0, F.col(x))
+        out.append(F.max(F.when(F.col("rep") < 0, F.col(x))).alias(x))
+        out += [F.when(F.count(drew) >= least, F.percentile(drew, q)).alias(f"{x}_{end}") for end, q in (("lo", 0.025), ("hi", 0.975))]
+    made = points.groupBy("method").agg(F.max(F.when(F.col("rep") < 0, F.col("n"))).alias("n"), *out)
+    return made.withColumn("verdict", F.when(F.col("method") == reference, "reference").otherwise(verdict(F.col("d_recall_lo"), F.col("d_recall_hi"))))
+
+
 def verdict(low: Column, high: Column) -> Column:
     return F.when(low.isNull() | high.isNull() | F.isnan(low) | F.isnan(high), "n/a").when(low > 0, "higher").when(high < 0, "lower").otherwise("no clear difference")

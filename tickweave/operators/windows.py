@@ -2,42 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import guarded_corr, mad_scale, sorted_median
+from ..functions.columns import DAY, guarded_corr, mad_scale, sorted_median
+
+SYMBOL = ("symbol",)
+
+
+def before(size: int, by: tuple[str, ...] = SYMBOL):
+    return Window.partitionBy(*by).orderBy("t").rowsBetween(-size, -1)
+
+
+def numbered(rows: DataFrame, cell: int = DAY) -> DataFrame:
+    """``idx``: the row's number within its symbol in time order, from 0.
 
+    Rows are numbered within cells of time, and counts of cells say how many came before; only those are summed up by symbol, so
+    a symbol's rows are dealt out over as many tasks as it has cells.
+    """
+    cells = rows.withColumn("cell", F.floor(F.col("t") / cell))
+    counts = cells.groupBy("symbol", "cell").agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("symbol").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = cells.withColumn("own", F.row_number().over(Window.partitionBy("symbol", "cell").orderBy("t")))
+    return own.join(counts.select("symbol", "cell", ahead.alias("ahead")), ["symbol", "cell"]).withColumn("idx", F.col("ahead") + F.col("own") - 1).drop("cell", "own", "ahead")
+
+
+def in_chunks(rows: DataFrame, overlap: int, column: Callable[[tuple[str, ...]], Column], name: str, size: int | None = None, cell: int = DAY) -> DataFrame:
+    """The rows with a causal window's column, for series too long for one task a symbol.
 
-def before(size: int):
-    return Window.partitionBy("symbol").orderBy("t").rowsBetween(-size, -1)
+    A symbol is cut into chunks of ``size`` rows; the last ``overlap`` rows of each also go into the next one, where they only fill
+    frames. ``column`` is given the names to partition by. Frames must reach back at most ``overlap`` rows; results are those of
+    one window over the symbol. t must be unique within a symbol; neither is null.
+    """
+    size = size or max(8 * overlap, 4096)
+    if not 0 < overlap <= size:
+        raise ValueError("overlap must be positive and at most size")
+    home = F.floor(F.col("idx") / size)
+    places = F.when(F.col("idx") % size >= size - overlap, F.array(home, home + 1)).otherwise(F.array(home))
+    dealt = numbered(rows, cell).withColumn("chunk", F.explode(places))
+    return dealt.withColumn(name, column(("symbol", "chunk"))).where(F.col("chunk") == home).drop("chunk", "idx")
 
 
-def robust_z(x: str, size: int = 240, least: int = 60) -> Column:
+def robust_z(x: str, size: int = 240, least: int = 60, by: tuple[str, ...] = SYMBOL) -> Column:
     """Rows whose value is null must be filtered first, as frames count rows."""
-    seen = F.collect_list(x).over(before(size))
+    seen = F.collect_list(x).over(before(size, by))
     return F.when(F.size(seen) >= least, F.abs(F.col(x) - sorted_median(seen)) / F.greatest(mad_scale(seen), F.lit(1e-6)))
 
 
-def mid_rank(x: str, size: int = 2000, least: int = 200) -> Column:
-    seen = F.collect_list(x).over(before(size))
+def mid_rank(x: str, size: int = 2000, least: int = 200, by: tuple[str, ...] = SYMBOL) -> Column:
+    seen = F.collect_list(x).over(before(size, by))
     count = lambda test: F.size(F.filter(seen, test))
     u = (count(lambda y: y < F.col(x)) + 0.5 * count(lambda y: y == F.col(x))) / (F.size(seen) + 1)
     return F.when(F.size(seen) >= least, -F.log(1 - u))
 
 
-def quantiles(x: str, qs: list[float], size: int = 1440, least: int = 300) -> Column:
+def quantiles(x: str, qs: list[float], size: int = 1440, least: int = 300, by: tuple[str, ...] = SYMBOL) -> Column:
     """Quantiles of one window for many budgets at once."""
-    w = before(size)
+    w = before(size, by)
     return F.when(F.count(x).over(w) >= least, F.percentile(x, F.array(*map(F.lit, qs))).over(w))
 
 
-def volume_spike(size: int = 240, least: int = 60) -> Column:
-    w = before(size)
+def volume_spike(size: int = 240, least: int = 60, by: tuple[str, ...] = SYMBOL) -> Column:
+    w = before(size, by)
     return F.when(F.count("volume").over(w) >= least, F.col("volume") / F.greatest(F.percentile("volume", 0.5).over(w), F.lit(1e-9)))
 
 
-def plain_z(x: str = "ret", size: int = 100) -> Column:
-    w = before(size)
+def plain_z(x: str = "ret", size: int = 100, by: tuple[str, ...] = SYMBOL) -> Column:
+    w = before(size, by)
     sd = F.stddev_samp(x).over(w)
     return F.when((F.count(x).over(w) == size) & (sd > 0), F.abs(F.col(x) - F.avg(x).over(w)) / sd).otherwise(0.0)
 
@@ -84,3 +117,10 @@ def lead_lag(rows: DataFrame, size: int = 240, most: int = 6, least_corr: float
     led = (F.col("lag") != 0) & (F.col("lag_corr") >= least_corr) & (F.col("lag_corr") > F.col("corr") + margin)
     first = F.col("lag") > 0
     return best.where(F.col("n") >= least).select("a", "b", "corr", "lag", "lag_corr", F.when(led, F.when(first, F.col("a")).otherwise(F.col("b"))).alias("leader"), F.when(led, F.when(first, F.col("b")).otherwise(F.col("a"))).alias("follower"))
+
+
+def warnings(links: DataFrame, scores: DataFrame, threshold: float, most: int = 5) -> DataFrame:
+    """The ``most`` strongest links with a leader, and whether the leader's latest score reaches the threshold, which warns its follower."""
+    latest = scores.groupBy(F.col("symbol").alias("leader")).agg(F.max_by("x", "t").alias("score"))
+    strongest = links.where("leader is not null").orderBy(F.desc("lag_corr"), "a", "b").limit(most)
+    return strongest.join(latest, "leader", "left").select("leader", "follower", "lag", "lag_corr", "score", F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("warned"))
