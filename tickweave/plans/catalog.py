@@ -113,6 +113,14 @@ def robust_z(spark, d):
     return zscores(spark, d).select("symbol", "t", r6("z"))
 
 
+@query(""" SELECT symbol, seq, CASE WHEN count(*) OVER w >= 60 THEN round(abs(price - quantile_cont(price, 0.5) OVER w) / greatest(1.4826 * mad(price) OVER w, 1e-6), 6) END AS z FROM ticks WHERE price > 0 WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 240 PRECEDING AND 1 PRECEDING)""")
+def tick_robust_z(spark, d):
+    """Each event's value against the 240 before it; a symbol's events are dealt out in chunks that overlap."""
+    rows = B.valid(ticks(spark, d)).select("symbol", F.col("seq").alias("t"), "price")
+    out = R.in_chunks(rows, 240, lambda by: R.robust_z("price", by=by), "z", cell=20_000)
+    return out.select("symbol", F.col("t").alias("seq"), r6("z"))
+
+
 @query(" SELECT symbol, t, round(z, 6) AS z FROM z WHERE z IS NOT NULL ORDER BY round(z, 6) DESC, symbol, t LIMIT 20")
 def top_robust_z(spark, d):
     return zscores(spark, d).select("symbol", "t", r6("z")).where("z is not null").orderBy(F.desc("z"), "symbol", "t").limit(20)
@@ -289,16 +297,27 @@ def pair_correlation(spark, d):
     return R.rolling_corr(_aligned(spark, d)).select("a", "b", "t", r6("corr"))
 
 
-@query(ALIGNED.format(value="abs(ret)") + f""", w AS (SELECT * FROM x WHERE idx > (SELECT max(idx) FROM x) - 240), l AS (SELECT unnest(range(-6, 7)) AS lag),
+LEADS = ALIGNED.format(value="abs(ret)") + f""", w AS (SELECT * FROM x WHERE idx > (SELECT max(idx) FROM x) - 240), l AS (SELECT unnest(range(-6, 7)) AS lag),
 s AS (SELECT a.symbol AS a, b.symbol AS b, l.lag, count(*) AS n, sum(a.x) AS sx, sum(b.x) AS sy, sum(a.x * a.x) AS xx, sum(b.x * b.x) AS yy, sum(a.x * b.x) AS xy FROM w a, l, w b WHERE a.symbol < b.symbol AND b.idx = a.idx + l.lag GROUP BY a.symbol, b.symbol, l.lag),
 c AS (SELECT a, b, lag, n, {CORR} AS corr FROM s),
-g AS (SELECT a, b, arg_max(lag, (corr, -lag)) AS lag, max(corr) AS lag_corr, max(corr) FILTER (WHERE lag = 0) AS corr FROM c GROUP BY a, b)
-SELECT a, b, round(corr, 6) AS corr, lag, round(lag_corr, 6) AS lag_corr, CASE WHEN lag <> 0 AND lag_corr >= 0.05 AND lag_corr > corr + 0.05 THEN CASE WHEN lag > 0 THEN a ELSE b END END AS leader FROM g""")
+g AS (SELECT a, b, arg_max(lag, (corr, -lag)) AS lag, max(corr) AS lag_corr, max(corr) FILTER (WHERE lag = 0) AS corr FROM c GROUP BY a, b)"""
+
+
+@query(LEADS + """ SELECT a, b, round(corr, 6) AS corr, lag, round(lag_corr, 6) AS lag_corr, CASE WHEN lag <> 0 AND lag_corr >= 0.05 AND lag_corr > corr + 0.05 THEN CASE WHEN lag > 0 THEN a ELSE b END END AS leader FROM g""")
 def lead_lag_best(spark, d):
     out = R.lead_lag(_aligned(spark, d, "abs(ret)"), least_corr=0.05)
     return out.select("a", "b", r6("corr"), F.col("lag").cast("long").alias("lag"), r6("lag_corr"), "leader")
 
 
+@query(LEADS + """, k AS (SELECT a, b, lag, lag_corr, CASE WHEN lag > 0 THEN a ELSE b END AS leader, CASE WHEN lag > 0 THEN b ELSE a END AS follower FROM g WHERE lag <> 0 AND lag_corr >= 0.05 AND lag_corr > corr + 0.05 ORDER BY lag_corr DESC, a, b LIMIT 5),
+n AS (SELECT symbol, arg_max(x, t) AS score FROM x GROUP BY symbol) SELECT leader, follower, lag, round(lag_corr, 6) AS lag_corr, round(score, 6) AS score, score >= 0.5 AS warned FROM k LEFT JOIN n ON n.symbol = k.leader""")
+def lead_lag_warnings(spark, d):
+    """The five strongest links, and which followers their leader's latest score warns."""
+    rows = _aligned(spark, d, "abs(ret)")
+    out = R.warnings(R.lead_lag(rows, least_corr=0.05), rows, 0.5)
+    return out.select("leader", "follower", F.col("lag").cast("long").alias("lag"), r6("lag_corr"), r6("score"), "warned")
+
+
 @query(ALIGNED.format(value="abs(ret)") + " SELECT t, max(idx) AS idx, round(max(x), 6) AS top FROM x GROUP BY t HAVING max(idx) % 5 = 0")
 def aligned_emit(spark, d):
     """Times that all symbols have, every fifth."""
@@ -341,7 +360,7 @@ def quiet_bars(spark, d):
 
 
 SCORED = """, sc AS (SELECT 'z2' AS method, symbol, t, z IS NOT NULL AS ready, coalesce(z > 2, false) AS alert FROM z UNION ALL SELECT 'z3', symbol, t, z IS NOT NULL, coalesce(z > 3, false) FROM z)"""
-FIRST = """, fa AS (SELECT m.method, ev.event, ev.symbol, min(sc.t) AS hit, any_value(ev.start) AS onset FROM ev CROSS JOIN (SELECT DISTINCT method FROM sc WHERE alert) m LEFT JOIN sc ON sc.method = m.method AND sc.symbol = ev.symbol AND sc.alert AND sc.t BETWEEN ev.start - 10800000 AND ev.start + 43200000 GROUP BY m.method, ev.event, ev.symbol)"""
+FIRST = """, fa AS (SELECT m.method, ev.event, ev.symbol, min(sc.t) AS hit, any_value(ev.start) AS onset FROM ev CROSS JOIN (SELECT DISTINCT method FROM sc) m LEFT JOIN sc ON sc.method = m.method AND sc.symbol = ev.symbol AND sc.alert AND sc.t BETWEEN ev.start - 10800000 AND ev.start + 43200000 GROUP BY m.method, ev.event, ev.symbol)"""
 
 
 def scored(spark, d) -> DataFrame:
@@ -352,7 +371,7 @@ def scored(spark, d) -> DataFrame:
 
 def outcomes(spark, d) -> DataFrame:
     onsets = windows(spark, d).select("event", "symbol", F.col("start").alias("onset"))
-    return V.first_alerts(onsets, scored(spark, d).where("alert"), 3 * HOUR, 12 * HOUR)
+    return V.first_alerts(onsets, scored(spark, d), 3 * HOUR, 12 * HOUR)
 
 
 @query(SCORED + FIRST + " SELECT method, event, symbol, hit IS NOT NULL AS detected, (hit - onset) / 60000.0::DOUBLE AS latency_min FROM fa")
@@ -411,6 +430,30 @@ def overlapping_subsets(spark, d):
     return windows(spark, d).select("event", F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
 
 
+STUDY = """, so AS (SELECT sc.method, ev.event, any_value(ev.day) AS cluster, count(*) FILTER (WHERE sc.alert AND zo.zone = 'quiet') AS fa, count(*) FILTER (WHERE sc.ready AND zo.zone = 'quiet') / 24.0::DOUBLE AS quiet_days
+FROM sc JOIN ev ON ev.symbol = sc.symbol AND sc.t BETWEEN start - 86400000 AND "end" + 86400000 JOIN zo ON zo.symbol = sc.symbol AND zo.t = sc.t GROUP BY sc.method, ev.event),
+oc AS (SELECT so.*, fa.hit IS NOT NULL AS detected, (fa.hit - fa.onset) / 60000.0::DOUBLE AS lat FROM so JOIN fa USING (method, event)),
+dr AS (SELECT cluster, rep, CASE WHEN rep < 0 THEN 1 ELSE (cluster * 7919 + rep * 104729) % 4 END AS times FROM (SELECT DISTINCT cluster FROM oc), (SELECT unnest(range(-1, 200)) AS rep)),
+ex AS (SELECT a.*, b.detected AS rd, b.lat AS rl, b.fa AS rf, b.quiet_days AS rq, rep, unnest(range(0, times)) AS u FROM oc a JOIN oc b ON b.event = a.event AND b.method = 'z2' JOIN dr ON dr.cluster = a.cluster),
+pp AS (SELECT method, rep, count(DISTINCT event) AS n, avg(detected::INT) AS recall, sum(fa) / nullif(sum(quiet_days), 0) AS rate, quantile_cont(lat, 0.5) AS latency, avg(detected::INT) - avg(rd::INT) AS d_recall, sum(fa) / nullif(sum(quiet_days), 0) - sum(rf) / nullif(sum(rq), 0) AS d_rate, quantile_cont(lat - rl, 0.5) AS d_latency FROM ex GROUP BY method, rep)"""
+MEASURES = ("recall", "rate", "latency", "d_recall", "d_rate", "d_latency")
+_BOUNDS = ", ".join(f"round(max({x}) FILTER (WHERE rep < 0), 6)::DOUBLE AS {x}, " + ", ".join(f"CASE WHEN count({x}) FILTER (WHERE rep >= 0) >= 20 THEN round(quantile_cont({x}, {q}) FILTER (WHERE rep >= 0), 6)::DOUBLE END AS {x}_{e}" for e, q in (("lo", 0.025), ("hi", 0.975))) for x in MEASURES)
+
+
+@query(ZONES + SCORED + FIRST + STUDY + f""" SELECT *, CASE WHEN method = 'z2' THEN 'reference' WHEN d_recall_lo IS NULL THEN 'n/a' WHEN d_recall_lo > 0 THEN 'higher' WHEN d_recall_hi < 0 THEN 'lower' ELSE 'no clear difference' END AS verdict
+FROM (SELECT method, max(n) FILTER (WHERE rep < 0) AS n, {_BOUNDS} FROM pp GROUP BY method)""")
+def study_summary(spark, d):
+    e = windows(spark, d)
+    zoned = V.slices(V.zones(scored(spark, d), e), e, DAY, DAY)
+    quiet = F.col("zone") == "quiet"
+    fa = zoned.groupBy("method", "event").agg(F.count_if(F.col("alert") & quiet).alias("fa"), (F.count_if(F.col("ready") & quiet) / 24.0).alias("quiet_days"))
+    rows = outcomes(spark, d).join(fa, ["method", "event"]).join(e.select("event", F.col("day").alias("cluster")), "event")
+    times = (F.col("cluster") * 7919 + F.col("rep") * 104729) % 4
+    reps = e.select(F.col("day").alias("cluster")).distinct().select("cluster", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep")).withColumn("times", times)
+    out = V.study_summary(rows, reps, "z2")
+    return out.select("method", "n", *(r6(f"{x}{end}") for x in MEASURES for end in ("", "_lo", "_hi")), "verdict")
+
+
 @query(""", v AS (SELECT (t // 86400000) AS cluster, abs(ret) AS x FROM r), c AS (SELECT cluster, sum(x) AS s, count(*) AS n FROM v GROUP BY cluster), p AS (SELECT unnest(range(0, 200)) AS rep),
 m AS (SELECT rep, sum(((cluster * 7919 + rep * 104729) % 4) * s) / sum(((cluster * 7919 + rep * 104729) % 4) * n) AS m FROM p, c GROUP BY rep)
 SELECT round((SELECT avg(x) FROM v), 6) AS est, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
@@ -469,7 +512,7 @@ def rate_limit(spark, d):
     return E.fold(zscores(spark, d).where("z > 1.5").select("symbol", "t"), make, "symbol string, t long, sent boolean")
 
 
-@query(""", s AS (SELECT symbol, seq, t % 1000 + 1 AS x, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS i FROM ticks WHERE seq < 2000),
+@query(""", s AS (SELECT symbol, seq, t % 1000 + 1 AS x, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS i FROM ticks),
 p AS (SELECT symbol, i, seq, x::DOUBLE AS lag FROM s WHERE i = 1 UNION ALL SELECT s.symbol, s.i, s.seq, 0.98 * p.lag + 0.02 * s.x FROM p JOIN s ON s.symbol = p.symbol AND s.i = p.i + 1) SELECT symbol, seq, round(lag, 6) AS lag FROM p""")
 def feed_lag(spark, d):
     def make():
@@ -481,7 +524,7 @@ def feed_lag(spark, d):
 
         return step
 
-    rows = ticks(spark, d).where("seq < 2000").select("symbol", "seq", (F.col("t") % 1000 + 1).alias("x"))
+    rows = ticks(spark, d).select("symbol", "seq", (F.col("t") % 1000 + 1).alias("x"))
     return E.fold(rows, make, "symbol string, seq long, lag double", order="seq").select("symbol", "seq", r6("lag"))
 
 
@@ -515,14 +558,14 @@ def book_imbalance(spark, d):
     return t.select("seq", r6(messages.imbalance(bids, asks), "obi"))
 
 
-@query(" SELECT t, max(price) AS open, arg_max(price, seq) AS close, arg_max(qty, seq) AS volume FROM ticks WHERE price > 0 AND seq % 9 <> 0 GROUP BY t HAVING count(*) = 1")
+@query(" SELECT t, count(*) AS n, max(price) AS high, min(price) AS low, sum(qty) AS volume FROM ticks WHERE price > 0 AND seq % 9 <> 0 GROUP BY t")
 def kline_lines(spark, d):
     """Kline lines with headers, junk and microseconds among them."""
     t = ticks(spark, d)
     at = F.when(F.col("seq") % 2 == 0, F.col("t") * 1000).otherwise(F.col("t"))
     line = F.when(F.col("seq") % 9 == 0, "open_time,open,high,low,close,volume").otherwise(F.concat_ws(",", at.cast("string"), "price", "price", "price", "price", "qty"))
     rows = files.minute_klines(t.select(line.alias("value")))
-    return rows.groupBy("t").agg(F.max("open").alias("open"), F.max("close").alias("close"), F.max("volume").alias("volume"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    return rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.max("close").alias("high"), F.min("open").alias("low"), F.sum("volume").alias("volume"))
 
 
 @query(""" SELECT strftime(make_timestamp(t * 1000), '%Y-%m-%d') AS day, count(*) AS n, max(price) AS high FROM ticks WHERE price > 0 AND seq % 9 <> 0 GROUP BY 1""")
@@ -667,8 +710,7 @@ def _drain(spark, make) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, kind)
     try:
-        home = _checkpoint(spark)
-        return drained(make(), "s" + home.rpartition("-")[2], home)
+        return drained(make(), _checkpoint(spark))
     finally:
         spark.conf.set(key, before)
 
@@ -692,14 +734,13 @@ def stream_engine(spark, d):
     return _drain(spark, make)
 
 
-@query(" SELECT symbol, t - t % 3600000 AS t, count(DISTINCT seq) AS n, sum(price) FILTER (WHERE price > 0) IS NOT NULL AS some FROM ticks GROUP BY 1, 2")
+@query(""" SELECT symbol, t - t % 3600000 AS t, count(*) AS n, max(price) AS high FROM ticks GROUP BY 1, 2 HAVING t - t % 3600000 + 3600000 <= (SELECT max(t) - 2000 FROM ticks)""")
 def stream_windows(spark, d):
-    """Tumbling event-time windows with a watermark and duplicates dropped, by the built-in operators."""
+    """Tumbling event-time windows by the built-in operators, duplicates dropped; windows that the watermark has passed."""
 
     def make():
-        at = F.timestamp_millis(F.col("t"))
-        rows = _stream(spark, d).withColumn("at", at).withWatermark("at", "2 seconds").dropDuplicatesWithinWatermark(["symbol", "id"])
-        return rows.select("symbol", "t", "price")
+        rows = _stream(spark, d).withColumn("at", F.timestamp_millis(F.col("t"))).withWatermark("at", "2 seconds").dropDuplicatesWithinWatermark(["symbol", "id"])
+        made = rows.groupBy("symbol", F.window("at", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("price").alias("high"))
+        return made.select("symbol", F.unix_millis("w.start").alias("t"), "n", "high")
 
-    out = _drain(spark, make)
-    return out.groupBy("symbol", (F.col("t") - F.col("t") % HOUR).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("price") > 0).alias("some"))
+    return _drain(spark, make)
