@@ -96,6 +96,16 @@ def test_neardup(spark, case):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in range(len(texts))}
 
 
+def test_neardup_sql(spark, case, sf_dir):
+    import duckdb
+
+    for d in (case[0], sf_dir):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet{'/*.parquet' if d == case[0] else ''}')")
+        got = neardup.op6_neardup(spark, d).select("doc_id", "n_shingles", "component_id", "kept").collect()
+        assert sorted(map(tuple, got)) == sorted(con.execute(neardup.ORACLE["op6_neardup"]).fetchall())
+
+
 def test_neardup_blocks(spark, monkeypatch):
     """A bucket over several blocks, whose members link in a chain and not all with its centre."""
     monkeypatch.setattr(neardup, "BLOCK", 7)

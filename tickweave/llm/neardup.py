@@ -244,3 +244,20 @@ def cluster(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def op6_neardup(spark, sf_dir: str) -> DataFrame:
     return cluster(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same rows from exact sets alone, for tables small enough to join all shingles.
+ORACLE = {
+    "op6_neardup": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM w),
+x AS (SELECT doc_id, i, n, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS h FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, list_sort(list(DISTINCT h)) AS s FROM x WHERE i <= greatest(1, n - 4) GROUP BY doc_id),
+g AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM s GROUP BY s),
+e AS (SELECT rep, n, unnest(s) AS h FROM g),
+c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.h = b.h AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.rep, b.rep),
+l AS (SELECT a, b FROM c WHERE 100 * shared >= 85 * (na + nb - shared)),
+r AS (SELECT rep AS node, rep AS seen FROM g UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
+k AS (SELECT node, min(seen) AS component FROM r GROUP BY node),
+m AS (SELECT s.doc_id, len(s.s) AS n, k.component FROM s JOIN g ON g.s = s.s JOIN k ON k.node = g.rep)
+SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(m.component, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id"""
+}
