@@ -18,7 +18,8 @@ OUTPUT = "symbol string, t long, ready boolean, p double, score double, threshol
 def fold(rows: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, keys: tuple[str, ...] = ("symbol",), order: str = "t") -> DataFrame:
     """For each key, ``make()`` gives a function that takes the rows one by one in order and returns each row's output.
 
-    Rows stream through in Arrow batches of sorted partitions, so a key's rows are never held together.
+    Rows stream through in Arrow batches of sorted partitions, so a key's rows are never held together. The number of partitions
+    is stated, as keys cost far more time than their bytes show, by which small partitions would be put into one task.
     """
     ship(rows.sparkSession)
     names = [x.strip().split()[0] for x in _fields(schema)]
@@ -34,7 +35,8 @@ def fold(rows: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: st
                 out.append({**r, **step(r)})
             yield pd.DataFrame(out, columns=names)
 
-    return rows.repartition(*map(F.col, keys)).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *map(F.col, keys)).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
 
 
 def _fields(schema: str) -> list[str]:

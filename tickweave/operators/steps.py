@@ -165,8 +165,9 @@ class Bocpd:
         if len(log) > self.longest + 1:
             tail = np.logaddexp(log[-2], log[-1])
             log = np.append(log[:-2], tail)
-            drop = len(mu) - 2  # the longer run keeps its parameters
-            mu, kappa, steps, beta = (np.delete(a, drop) for a in (mu, kappa, steps, beta))
+            for a in (mu, kappa, steps, beta):  # the longer run keeps its parameters
+                a[-2] = a[-1]
+            mu, kappa, steps, beta = mu[:-1], kappa[:-1], steps[:-1], beta[:-1]
         self.log = log - np.logaddexp.reduce(log)
         self.mu, self.kappa, self.steps, self.beta = mu, kappa, steps, beta
         return float(np.exp(self.log[: self.short]).sum()) if self.n >= self.least else None
