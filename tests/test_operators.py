@@ -106,3 +106,16 @@ def test_zones_and_first_alerts(spark):
     onsets = events.select("event", "symbol", F.col("start").alias("onset"))
     found = {(r.method, r.event): (r.detected, r.latency_min) for r in evaluate.first_alerts(onsets, rows).collect()}
     assert found == {("p", "e"): (True, 0.0), ("p", "e2"): (True, 110.0), ("q", "e"): (False, None), ("q", "e2"): (False, None)}
+
+
+def test_resamples(spark):
+    from tickweave.operators import evaluate
+
+    days = spark.createDataFrame([(d,) for d in (5, 12, 12, 16, 20, 24, 29, 31)], "cluster long")
+    reps = {}
+    for r in evaluate.resamples(days, 300).collect():
+        reps.setdefault(r.rep, {})[r.cluster] = r.times
+    assert len(reps) == 300 and all(sum(x.values()) == 7 for x in reps.values())
+    assert len({tuple(sorted(x.items())) for x in reps.values()}) > 200
+    alike = sum(x.get(12, 0) == x.get(16, 0) for x in reps.values())
+    assert alike < 250

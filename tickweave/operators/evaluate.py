@@ -106,6 +106,19 @@ def bootstrap(values: DataFrame, replicates: DataFrame) -> DataFrame:
     return reps.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")).join(F.broadcast(values.agg(F.avg("x").alias("est"))))
 
 
+def resamples(clusters: DataFrame, n: int) -> DataFrame:
+    """(rep, cluster, times) of n resamples with replacement, as many draws each as there are clusters.
+
+    Draw i of a replicate takes the cluster whose place, in order, is a hash of (rep, i) modulo their number. Clusters not drawn
+    have no row.
+    """
+    placed = clusters.select("cluster").distinct().select("cluster", (F.row_number().over(Window.orderBy("cluster")) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("k"))
+    draws = placed.select("i", "k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
+    value = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 12), 16, 10).cast("long")
+    times = draws.select("rep", (value % F.col("k")).cast("int").alias("i")).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("times"))
+    return times.join(placed, "i").select("rep", "cluster", "times")
+
+
 def study_summary(outcomes: DataFrame, replicates: DataFrame, reference: str, least: int = 20) -> DataFrame:
     """Per method: recall, false alarms a quiet day, median delay, and their differences to the reference, each with 95 % bounds.
 

@@ -430,40 +430,70 @@ def overlapping_subsets(spark, d):
     return windows(spark, d).select("event", F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
 
 
-STUDY = """, so AS (SELECT sc.method, ev.event, any_value(ev.day) AS cluster, count(*) FILTER (WHERE sc.alert AND zo.zone = 'quiet') AS fa, count(*) FILTER (WHERE sc.ready AND zo.zone = 'quiet') / 24.0::DOUBLE AS quiet_days
+STUDY_OUTCOMES = """, so AS (SELECT sc.method, ev.event, any_value(ev.day) AS cluster, count(*) FILTER (WHERE sc.alert AND zo.zone = 'quiet') AS fa, count(*) FILTER (WHERE sc.ready AND zo.zone = 'quiet') / 24.0::DOUBLE AS quiet_days
 FROM sc JOIN ev ON ev.symbol = sc.symbol AND sc.t BETWEEN start - 86400000 AND "end" + 86400000 JOIN zo ON zo.symbol = sc.symbol AND zo.t = sc.t GROUP BY sc.method, ev.event),
 oc AS (SELECT so.*, fa.hit IS NOT NULL AS detected, (fa.hit - fa.onset) / 60000.0::DOUBLE AS lat FROM so JOIN fa USING (method, event)),
-dr AS (SELECT cluster, rep, CASE WHEN rep < 0 THEN 1 ELSE (cluster * 7919 + rep * 104729) % 4 END AS times FROM (SELECT DISTINCT cluster FROM oc), (SELECT unnest(range(-1, 200)) AS rep)),
-ex AS (SELECT a.*, b.detected AS rd, b.lat AS rl, b.fa AS rf, b.quiet_days AS rq, rep, unnest(range(0, times)) AS u FROM oc a JOIN oc b ON b.event = a.event AND b.method = 'z2' JOIN dr ON dr.cluster = a.cluster),
+"""
+STUDY_TURNS = """dr AS (SELECT cluster, rep, CASE WHEN rep < 0 THEN 1 ELSE (cluster * 7919 + rep * 104729) % 4 END AS times FROM (SELECT DISTINCT cluster FROM oc), (SELECT unnest(range(-1, 200)) AS rep)),
+"""
+STUDY_POINTS = """ex AS (SELECT a.*, b.detected AS rd, b.lat AS rl, b.fa AS rf, b.quiet_days AS rq, rep, unnest(range(0, times)) AS u FROM oc a JOIN oc b ON b.event = a.event AND b.method = 'z2' JOIN dr ON dr.cluster = a.cluster),
 pp AS (SELECT method, rep, count(DISTINCT event) AS n, avg(detected::INT) AS recall, sum(fa) / nullif(sum(quiet_days), 0) AS rate, quantile_cont(lat, 0.5) AS latency, avg(detected::INT) - avg(rd::INT) AS d_recall, sum(fa) / nullif(sum(quiet_days), 0) - sum(rf) / nullif(sum(rq), 0) AS d_rate, quantile_cont(lat - rl, 0.5) AS d_latency FROM ex GROUP BY method, rep)"""
+STUDY = STUDY_OUTCOMES + STUDY_TURNS + STUDY_POINTS
+#: Resamples with replacement of the clusters in {rows}: as many draws as clusters, each by a hash of (rep, draw).
+DRAWN = """, k AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM {rows})),
+d AS (SELECT rep, ('0x' || substr(md5(rep || '|' || i), 1, 12))::BIGINT % n AS i FROM k, (SELECT unnest(range(0, 2000)) AS rep))"""
 MEASURES = ("recall", "rate", "latency", "d_recall", "d_rate", "d_latency")
 _BOUNDS = ", ".join(f"round(max({x}) FILTER (WHERE rep < 0), 6)::DOUBLE AS {x}, " + ", ".join(f"CASE WHEN count({x}) FILTER (WHERE rep >= 0) >= 20 THEN round(quantile_cont({x}, {q}) FILTER (WHERE rep >= 0), 6)::DOUBLE END AS {x}_{e}" for e, q in (("lo", 0.025), ("hi", 0.975))) for x in MEASURES)
 
 
-@query(ZONES + SCORED + FIRST + STUDY + f""" SELECT *, CASE WHEN method = 'z2' THEN 'reference' WHEN d_recall_lo IS NULL THEN 'n/a' WHEN d_recall_lo > 0 THEN 'higher' WHEN d_recall_hi < 0 THEN 'lower' ELSE 'no clear difference' END AS verdict
-FROM (SELECT method, max(n) FILTER (WHERE rep < 0) AS n, {_BOUNDS} FROM pp GROUP BY method)""")
+_SUMMARY = f""" SELECT *, CASE WHEN method = 'z2' THEN 'reference' WHEN d_recall_lo IS NULL THEN 'n/a' WHEN d_recall_lo > 0 THEN 'higher' WHEN d_recall_hi < 0 THEN 'lower' ELSE 'no clear difference' END AS verdict
+FROM (SELECT method, max(n) FILTER (WHERE rep < 0) AS n, {_BOUNDS} FROM pp GROUP BY method)"""
+
+
+@query(ZONES + SCORED + FIRST + STUDY + _SUMMARY)
 def study_summary(spark, d):
+    """With 200 weightings of the days that repeat every fourth; cluster_study_summary has resamples."""
+    times = (F.col("cluster") * 7919 + F.col("rep") * 104729) % 4
+    reps = windows(spark, d).select(F.col("day").alias("cluster")).distinct().select("cluster", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep")).withColumn("times", times)
+    return _study(spark, d, reps)
+
+
+def _study(spark, d, reps):
     e = windows(spark, d)
     zoned = V.slices(V.zones(scored(spark, d), e), e, DAY, DAY)
     quiet = F.col("zone") == "quiet"
     fa = zoned.groupBy("method", "event").agg(F.count_if(F.col("alert") & quiet).alias("fa"), (F.count_if(F.col("ready") & quiet) / 24.0).alias("quiet_days"))
     rows = outcomes(spark, d).join(fa, ["method", "event"]).join(e.select("event", F.col("day").alias("cluster")), "event")
-    times = (F.col("cluster") * 7919 + F.col("rep") * 104729) % 4
-    reps = e.select(F.col("day").alias("cluster")).distinct().select("cluster", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep")).withColumn("times", times)
     out = V.study_summary(rows, reps, "z2")
     return out.select("method", "n", *(r6(f"{x}{end}") for x in MEASURES for end in ("", "_lo", "_hi")), "verdict")
 
 
+@query(ZONES + SCORED + FIRST + STUDY_OUTCOMES.rstrip(",\n") + DRAWN.format(rows="oc") + """, dr AS (SELECT cluster, -1 AS rep, 1 AS times FROM k UNION ALL SELECT cluster, rep, count(*) FROM d JOIN k USING (i) GROUP BY cluster, rep),
+""" + STUDY_POINTS + _SUMMARY)
+def cluster_study_summary(spark, d):
+    """The study's summary with 2000 resamples of its days."""
+    return _study(spark, d, V.resamples(windows(spark, d).select(F.col("day").alias("cluster")), 2000))
+
+
 @query(""", v AS (SELECT (t // 86400000) AS cluster, abs(ret) AS x FROM r), c AS (SELECT cluster, sum(x) AS s, count(*) AS n FROM v GROUP BY cluster), p AS (SELECT unnest(range(0, 200)) AS rep),
 m AS (SELECT rep, sum(((cluster * 7919 + rep * 104729) % 4) * s) / sum(((cluster * 7919 + rep * 104729) % 4) * n) AS m FROM p, c GROUP BY rep)
 SELECT round((SELECT avg(x) FROM v), 6) AS est, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
 def bootstrap_ci(spark, d):
+    """With 200 weightings of the days that repeat every fourth; cluster_bootstrap_ci has resamples."""
     values = returns(spark, d).select(F.floor(F.col("t") / DAY).cast("long").alias("cluster"), F.abs("ret").alias("x"))
     reps = values.select("cluster").distinct().select("cluster", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep"))
     reps = reps.withColumn("times", (F.col("cluster") * 7919 + F.col("rep") * 104729) % 4)
     return V.bootstrap(values, reps).select(r6("est"), r6("lo"), r6("hi"))
 
 
+@query(""", v AS (SELECT (t // 86400000) AS cluster, abs(ret) AS x FROM r), c AS (SELECT cluster, sum(x) AS s, count(*) AS m FROM v GROUP BY cluster)""" + DRAWN.format(rows="v") + """, p AS (SELECT rep, sum(s) / sum(m) AS mean FROM d JOIN k USING (i) JOIN c USING (cluster) GROUP BY rep)
+SELECT round((SELECT avg(x) FROM v), 6) AS est, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM p""")
+def cluster_bootstrap_ci(spark, d):
+    """The mean absolute return, with 2000 resamples of the days."""
+    values = returns(spark, d).select(F.floor(F.col("t") / DAY).cast("long").alias("cluster"), F.abs("ret").alias("x"))
+    return V.bootstrap(values, V.resamples(values, 2000)).select(r6("est"), r6("lo"), r6("hi"))
+
+
 @query()
 def chance_recall(spark, d):
     made = [(1440 * 2 + 720, 1500 + 30 * k, 1650 + 30 * k) for k in range(20)]
