@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id."""
-    gone = written(neardup.cluster(docs).where(~F.col("kept")).select("doc_id").distinct(), "pipeline-copies")
+    """One document of each group of 80 % alike: that with the smallest doc_id."""
+    gone = written(neardup.cluster(docs, percent=80).where(~F.col("kept")).select("doc_id").distinct(), "pipeline-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -120,6 +120,16 @@ def test_neardup_blocks(spark, monkeypatch):
     assert [collected(neardup.cluster(df))[i].component_id for i in range(40)] == roots(texts)[1]
 
 
+def test_neardup_stage_at_80(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = [f"w{k}" for k in range(200)]
+    near = [f"x{k}" if k in (30, 70, 110, 150) else w for k, w in enumerate(base)]
+    far = [f"y{k}" if k in (10, 40, 70, 100, 130, 160) else w for k, w in enumerate(base)]
+    df = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate((base, near, far))], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, df, "").collect()) == [0, 2]
+    assert all(r.kept for r in neardup.cluster(df, percent=85).collect())
+
+
 def test_odd_sketch_estimates(spark):
     import numpy as np
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +16,12 @@ from . import _flat
 from ._store import small_batches, trimmed, written
 
 SHINGLE = 5
-#: Links: PERCENT * union <= 100 * intersection.
-PERCENT = 85
-#: 25 bands of 5 minima find a pair of similarity 0.85 but for one in two million.
+#: Links: percent * union <= 100 * intersection. What op6_neardup links at, and what others do.
+OP6_PERCENT, PERCENT = 85, 80
+#: 25 bands of 5 minima find a pair of similarity 0.85 but for one in two million, of 0.80 but for one in twenty thousand.
 BANDS, ROWS = 25, 5
 MINIMA = 128
 SKETCH_BITS = 512
-#: Pairs whose sketches estimate less are not compared: 4 deviations of the estimate below PERCENT.
-SKETCH_LEAST = 0.72
 #: Members of larger buckets first meet one centre each; all members of a smaller bucket meet its centre.
 LARGE = 64
 #: Rows of a bucket that one task compares with as many others.
@@ -112,19 +112,41 @@ def full_sets(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> D
     return written(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "neardup-sets")
 
 
+@cache
+def most_odd(percent: int) -> int:
+    """Bits in which the sketches of a pair that is to be compared may differ.
+
+    By the distribution of the bits: a pair of similarity ``percent`` differs in more no oftener than the bands miss it.
+    """
+    like, k = percent / 100, np.arange(SKETCH_BITS + 1)
+    up, down = (SKETCH_BITS - k) / SKETCH_BITS, k / SKETCH_BITS
+    tossed, odd = np.zeros(SKETCH_BITS + 1), np.zeros(SKETCH_BITS + 1)
+    tossed[0] = 1
+    for differ in range(MINIMA + 1):
+        odd += comb(MINIMA, differ) * (1 - like) ** differ * like ** (MINIMA - differ) * tossed
+        for _ in range(2):  # a minimum of either set
+            tossed = np.concatenate(([0], (tossed * up)[:-1])) + np.concatenate(((tossed * down)[1:], [0]))
+    more = np.append(np.cumsum(odd[::-1])[::-1][1:], 0)
+    return int(np.flatnonzero(more <= (1 - like**ROWS) ** BANDS)[0])
+
+
+def odd_bits(a: Column, b: Column) -> Column:
+    """Bits in which two odd sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def estimate(a: Column, b: Column) -> Column:
     """Similarity that two odd sketches show: XOR leaves the parity of the minima in which the sets differ."""
-    odd = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    share = F.least(2.0 * odd / SKETCH_BITS, F.lit(0.999))
+    share = F.least(2.0 * odd_bits(a, b) / SKETCH_BITS, F.lit(0.999))
     return 1 + SKETCH_BITS / (4.0 * MINIMA) * F.log(1 - share)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough."""
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", both.alias("n"), (F.size("set_a") + F.size("set_b")).alias("total"))
-    return written(joined.where(100 * F.col("n") >= PERCENT * (F.col("total") - F.col("n"))).select("a", "b"), "neardup-links")
+    return written(joined.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b"), "neardup-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -154,7 +176,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _rest(buckets: DataFrame, seen: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest(buckets: DataFrame, seen: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of a bucket that lie in different components so far.
 
     A bucket is cut into blocks, and every two blocks meet in a group of their own, so no task holds more than two blocks and
@@ -168,7 +190,7 @@ def _rest(buckets: DataFrame, seen: DataFrame, reps: DataFrame, sets: DataFrame)
     part = F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("i"), F.greatest(j, F.col("part")).alias("j")))
     rows = rows.withColumn("part", part).withColumn("t", F.explode(tiles)).select("key", "t.i", "t.j", "part", "rep", "component", "sketch", "shingles")
-    most_odd = int(SKETCH_BITS / 2 * (1 - np.exp((SKETCH_LEAST - 1) * 4 * MINIMA / SKETCH_BITS)))
+    most = most_odd(percent)
 
     def compare(table: pa.Table) -> pa.Table:
         part, rep, comp = (table.column(c).to_numpy() for c in ("part", "rep", "component"))
@@ -184,14 +206,14 @@ def _rest(buckets: DataFrame, seen: DataFrame, reps: DataFrame, sets: DataFrame)
         links = []
         for x in left:
             odd = np.bitwise_count(sketch[right] ^ sketch[x]).sum(1, dtype=np.int64)
-            near = right[(odd <= most_odd) & (comp[right] != comp[x]) & ((right > x) | (one != two))]
+            near = right[(odd <= most) & (comp[right] != comp[x]) & ((right > x) | (one != two))]
             if not len(near):
                 continue
             own = values[begins[x] : ends[x]]
             others = np.concatenate([values[begins[y] : ends[y]] for y in near])
             found = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
             common = np.add.reduceat(found.astype(np.int64), np.cumsum(size[near]) - size[near])
-            for y in near[100 * common >= PERCENT * (size[near] + size[x] - common)]:
+            for y in near[100 * common >= percent * (size[near] + size[x] - common)]:
                 if comp[y] != comp[x]:
                     links.append((rep[x], rep[y]))
                     comp[comp == comp[y]] = comp[x]
@@ -200,8 +222,8 @@ def _rest(buckets: DataFrame, seen: DataFrame, reps: DataFrame, sets: DataFrame)
     return written(rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "neardup-rest")
 
 
-def cluster(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
+def cluster(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row; sets of a similarity of ``percent`` / 100 or more link.
 
     Equal sets are one representative, so copies never meet in pairs. Representatives that share a band are first compared with
     the smallest of their bucket (of large buckets, with the smallest of all theirs); then buckets that still hold several
@@ -230,10 +252,10 @@ def cluster(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     stars = small.union(large).where("a != b").distinct()
     marks = reps.select("doc_id", F.col("sketch"))
     near = stars.join(marks.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(marks.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    near = written(near.where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= SKETCH_LEAST).select("a", "b"), "neardup-stars")
-    links = confirmed(near, sets)
+    near = written(near.where(odd_bits(F.col("sketch_a"), F.col("sketch_b")) <= most_odd(percent)).select("a", "b"), "neardup-stars")
+    links = confirmed(near, sets, percent)
     first = written(components(links), "neardup-first")
-    rest = _rest(buckets.select("key", "rep"), first, reps, sets)
+    rest = _rest(buckets.select("key", "rep"), first, reps, sets, percent)
     if rest.take(1):
         first = written(components(links.union(rest)), "neardup-second")
     found = group.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"), F.xxhash64("s1").alias("k"))
@@ -243,7 +265,7 @@ def cluster(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def op6_neardup(spark, sf_dir: str) -> DataFrame:
-    return cluster(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return cluster(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=OP6_PERCENT)
 
 
 #: The same rows from exact sets alone, for tables small enough to join all shingles.
