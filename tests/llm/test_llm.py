@@ -196,6 +196,15 @@ def test_decontamination(spark, case):
     assert got == want and len(want) >= 8
 
 
+def test_decontamination_of_a_cut_item(spark):
+    """The first 13 words of the smallest item, of 15, share 9 of its 11 shingles."""
+    items = [[f"{n}{k}" for k in range(15)] for n in "abcdefgh"]
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(10 * n + i, " ".join(x[:n])) for n in (12, 13) for i, x in enumerate(items)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(docs, benchmark).collect()}
+    assert set(got.values()) == {0.818182} and set(got) == {(130 + i, i) for i in range(len(items))}
+
+
 def test_blocks_find_all_within_radius():
     rng = random.Random(1)
     for _ in range(3000):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +97,8 @@ def windows(documents: DataFrame, items: DataFrame, doc_id: str, text: str) -> D
     kind = "array<struct<size:int,first:int,hashes:array<long>>>"
     if not sizes:
         return documents.select(F.col(doc_id).alias("doc_id"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("array<long>").alias("hashes")).where("false")
-    least = max(1, -(-sizes[0] * 8 // 9))
+    # A text shorter than all items may hold as little as SIMILARITY of the smallest one's shingles and no others.
+    least = max(1, math.ceil(SIMILARITY * sizes[0] - 1e-9))
 
     def for_size(h: Column, places: Column, size: Column, bits: Column) -> Column:
         count = F.size(h)
