@@ -299,6 +299,16 @@ def test_toxicity(spark, case):
     assert held and min(got[i].score for i in held) > max(r.score for i, r in got.items() if i not in toxic)
 
 
+def test_toxicity_keeps_every_telling_word():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    plain = lambda: rng.integers(10_000, 20_000, 30)
+    toxic = [np.unique(np.concatenate((plain(), np.arange(1, 151)[k % 15 :: 15]))).astype(np.uint64) for k in range(600)]
+    found = toxicity.fit([(True, x) for x in toxic] + [(False, np.unique(plain()).astype(np.uint64)) for _ in range(3000)], 0.1)
+    assert set(range(1, 151)) <= set(found.words.tolist()) and all(np.diff(found.words.astype(np.int64)) > 0)
+
+
 def test_warc(spark, case):
     d, _, _, pages = case
     got = collected(warc.op3_warc(spark, d), "page_id")

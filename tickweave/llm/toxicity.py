@@ -16,8 +16,8 @@ from ._store import small_batches, trimmed, written
 
 #: Bounds of the samples that the classifier is fitted on; which rows are taken is fixed by a hash of doc_id.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
-#: Words that the classifier looks at: those whose share of texts differs most, by z-score.
-FEATURES, LEAST_Z = 96, 4.0
+#: Words that the classifier looks at: all whose share of texts differs by so high a z-score.
+LEAST_Z = 4.0
 
 #: ASCII characters other than letters part words here, so that a word next to signs is the same word.
 _PARTS = np.zeros(256, bool)
@@ -99,7 +99,7 @@ def fit(samples: list[tuple[bool, np.ndarray]], prior: float) -> Classifier:
     pooled = (np_ + nu) / (len(positive) + len(unlabelled))
     z = (rp - ru) / np.sqrt(pooled * (1 - pooled) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-12)
     good = np.flatnonzero((z >= LEAST_Z) & (np_ >= max(3, 0.01 * len(positive))))
-    words = np.sort(words[good[np.argsort(-z[good], kind="stable")[:FEATURES]]])
+    words = words[good]
     if not len(words):
         return nothing
     table = lambda rows: np.stack([np.isin(words, r) for r in rows])
