@@ -130,6 +130,18 @@ def test_neardup_stage_at_80(spark):
     assert all(r.kept for r in neardup.cluster(df, percent=85).collect())
 
 
+def test_sketches_lose_no_more_than_bands():
+    import numpy as np
+
+    rng, lost = np.random.default_rng(6), 0
+    for _ in range(10):
+        differ = 2 * rng.binomial(neardup.MINIMA, 0.15, 20_000)
+        at = np.repeat(np.arange(20_000), differ) * neardup.SKETCH_BITS + rng.integers(0, neardup.SKETCH_BITS, differ.sum())
+        odd = (np.bincount(at, minlength=20_000 * neardup.SKETCH_BITS) & 1).reshape(20_000, -1).sum(1)
+        lost += int((odd > neardup.most_odd(85)).sum())
+    assert lost <= 1 and neardup.most_odd(80) > neardup.most_odd(85)
+
+
 def test_odd_sketch_estimates(spark):
     import numpy as np
 
