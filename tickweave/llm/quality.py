@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._native import BLANKS, let, word_array
@@ -15,23 +16,35 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure's fence: ``reach`` times the distance of quartile and median beyond the quartile, with ``least`` as the smallest distance."""
+    """A rate, ``count`` over ``units``, and its fence: the quantile at ``level`` of a group's texts, and ``reach`` times its distance to the median beyond it.
+
+    Incidental marks are rare in good texts, so a tenth of a group may be junk before it moves the fence of symbols; repetition
+    is frequent in good texts, so its fence lies beyond the last hundredth.
+    """
 
     name: str
-    least: float
+    count: str
+    units: str
+    level: float
     reach: float
     both_sides: bool = False
 
 
 RULES = (
-    Rule("symbol_rate", 0.05, 4.0),
-    Rule("dup_line_rate", 0.1, 4.0),
-    Rule("repeat_rate", 0.11, 4.0),
-    Rule("word_length", 0.35, 5.0, both_sides=True),
+    Rule("symbol_rate", "n_symbols", "n_words", 0.9, 0.0),
+    Rule("dup_line_rate", "n_dup_lines", "n_lines", 0.99, 0.5),
+    Rule("repeat_rate", "n_repeat_words", "n_words", 0.99, 0.5),
+    Rule("word_length", "word_chars", "n_words", 0.75, 2.0, both_sides=True),
 )
-#: Groups with fewer texts use their language's sketch; languages with fewer, the whole corpus's.
-LEAST_GROUP = 50
-#: Thresholds are broadcast up to so many groups (some 100 bytes each), else joined by a shuffle.
+#: A group's quantiles are mixed with its language's, and those with the corpus's, as if so many texts came from there.
+PRIOR_TEXTS = 50.0
+#: A text is outside if its count differs from the fence's by more than so many deviations of a count.
+DEVIATIONS = 3.0
+#: Relative width of a sketch's buckets: quantiles are exact but for half of it.
+GAMMA = 1.01
+#: The bucket of rates of 0.
+ZERO = -1_000_000
+#: Thresholds are broadcast up to so many groups (some 150 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 100_000
 
 
@@ -86,62 +99,85 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
 
-def measures(m: Column) -> dict[str, Column]:
-    """What the fences apply to, by rule name; null for texts without words."""
-    words = F.nullif(m["n_words"], F.lit(0).cast("long")).cast("double")
-    return {
-        "symbol_rate": m["n_symbols"] / words,
-        "dup_line_rate": m["n_dup_lines"] / F.nullif(m["n_lines"], F.lit(0).cast("long")).cast("double"),
-        "repeat_rate": m["n_repeat_words"] / words,
-        "word_length": m["word_chars"] / words,
-    }
+def rate(m: Column, r: Rule) -> Column:
+    """What a rule's sketch holds; null for texts without words."""
+    return m[r.count] / F.nullif(m[r.units], F.lit(0).cast("long")).cast("double")
+
+
+def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, rule, bucket, n): quantile sketches with buckets of a constant relative width.
+
+    Two sketches merge by adding the counts of equal buckets, in any order and always to the same result, so reruns agree. A group
+    has some 700 buckets to a factor of a thousand, whatever its rows; tasks count their own rows first.
+    """
+    bucket = lambda x: F.when(x > 0, F.ceil(F.log(x) / math.log(GAMMA)).cast("int")).otherwise(F.lit(ZERO))
+    found = F.array(*(F.struct(F.lit(r.name).alias("rule"), rate(F.col("m"), r).alias("x")) for r in RULES))
+    each = rows.select(*keys, F.explode(found).alias("f")).where("f.x is not null")
+    return each.groupBy(*keys, F.col("f.rule").alias("rule"), bucket(F.col("f.x")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    return sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
+
 
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, rule, n, mid, hi, lo): the median, and the quantiles at a rule's level and opposite to it."""
+    by = Window.partitionBy(*keys, "rule")
+    value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * (2 / (GAMMA + 1)))
+    level = F.element_at(F.create_map(*(F.lit(x) for r in RULES for x in (r.name, r.level))), F.col("rule"))
+    rows = sketch.withColumn("seen", F.sum("n").over(by.orderBy("bucket"))).withColumn("all", F.sum("n").over(by)).withColumn("level", level).withColumn("value", value)
+    at = lambda p: F.min(F.when(F.col("seen") >= F.greatest(F.lit(1), F.ceil(p * F.col("all") - 1e-9)), F.col("value")))
+    return rows.groupBy(*keys, "rule").agg(F.max("all").alias("n"), at(F.lit(0.5)).alias("mid"), at(F.col("level")).alias("hi"), at(1 - F.col("level")).alias("lo"))
 
-def thresholds(rows: DataFrame, lang: str, source: str) -> DataFrame:
-    """One row per (lang, source) with n and lo_/hi_ bounds of each rule.
 
-    ``rows`` has a column for each rule. Every task sketches the groups that it reads, so what is shuffled is a sketch per group
-    and task; sketches of groups are merged into those of languages and of the corpus.
+def thresholds(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """One row per (lang, source) with n and lo_/hi_ bounds of each rule; ``rows`` has the counts as a struct ``m``.
+
+    What is shuffled is a group's buckets in each task; sketches of groups are merged into those of languages and of the corpus.
     """
-    names = [r.name for r in RULES]
-    by_group = rows.groupBy(F.col(lang).alias("lang"), F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(n).alias(n) for n in names))
-    by_group = written(by_group, "quality-sketches")
-    merged = [F.kll_merge_agg_double(n).alias(n) for n in names]
-    by_lang = by_group.groupBy(F.col("lang").alias("of_lang")).agg(F.sum("n").alias("lang_n"), F.struct(*merged).alias("lang_k"))
-    total = by_group.groupBy(F.least(F.col("n"), F.lit(1)).alias("one")).agg(F.struct(*merged).alias("all_k"))
-    joined = by_group.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang"))).withColumn("one", F.least(F.col("n"), F.lit(1))).join(total, "one")
-    own = F.struct(*names)
-    chosen = joined.select("lang", "source", "n", F.when(F.col("n") >= LEAST_GROUP, own).when(F.col("lang_n") >= LEAST_GROUP, F.col("lang_k")).otherwise(F.col("all_k")).alias("k"))
-    out = [F.col("lang"), F.col("source"), F.col("n")]
+    keys = ["lang", "source"]
+    own = written(sketches(rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), "m"), keys), "quality-sketches")
+    names = ["mid", "hi", "lo"]
+    renamed = lambda df, mark: df.select(*(F.col(c).alias(f"{mark}_{c}") for c in df.columns))
+    total, by_lang = (merged(own, k) for k in ([], ["lang"]))
+    total, by_lang = renamed(quantiles(total, []), "a"), renamed(quantiles(by_lang, ["lang"]), "l")
+    mixed = lambda n, x, y: (n * x + PRIOR_TEXTS * y) / (n + PRIOR_TEXTS)
+    rows = quantiles(own, keys).join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rule") == F.col("l_rule"))).join(total, F.col("rule") == F.col("a_rule"))
+    rows = rows.select("lang", "source", "rule", "n", *(mixed(F.col("n"), F.col(c), mixed(F.col("l_n"), F.col(f"l_{c}"), F.col(f"a_{c}"))).alias(c) for c in names))
+    out = []
     for r in RULES:
-        k = F.col("k")[r.name]
-        q = {at: F.when(F.kll_sketch_get_n_double(k) > 0, F.kll_sketch_get_quantile_double(k, F.lit(at))) for at in (0.25, 0.5, 0.75)}
-        up, down = (F.greatest(q[0.75] - q[0.5], F.lit(r.least)), F.greatest(q[0.5] - q[0.25], F.lit(r.least)))
-        out.append((q[0.75] + r.reach * up).alias(f"hi_{r.name}"))
-        out.append(((q[0.25] - r.reach * down) if r.both_sides else F.lit(None).cast("double")).alias(f"lo_{r.name}"))
-    return chosen.select(*out)
+        hi, lo = F.col("hi") + r.reach * (F.col("hi") - F.col("mid")), F.col("lo") - r.reach * (F.col("mid") - F.col("lo"))
+        out.append(F.max(F.when(F.col("rule") == r.name, hi)).alias(f"hi_{r.name}"))
+        out.append(F.max(F.when((F.col("rule") == r.name) & F.lit(r.both_sides), lo)).alias(f"lo_{r.name}"))
+    return rows.groupBy(*keys).agg(F.max("n").alias("n"), *out)
+
+
+def outside(m: Column, r: Rule, low: Column, high: Column) -> Column:
+    """Whether a text's count lies beyond a fence by more than the chance of a text of its length explains; null bounds hold nothing out."""
+    k, n = m[r.count].cast("double"), m[r.units].cast("double")
+    spread = lambda bound: DEVIATIONS * F.sqrt(F.greatest(bound, F.lit(0.0)) * n + 1)
+    return F.coalesce(k - high * n > spread(high), F.lit(False)) | F.coalesce(low * n - k > spread(low), F.lit(False))
 
 
 def judge(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", carry: bool = False) -> DataFrame:
     """One row per row of ``documents`` with its counts, base_failed and the verdict ``kept``.
 
-    A text that the base rules fail is not kept. Another is kept if each measure lies within the fences of its (lang, source);
-    rows without language or source form groups of their own. Null and empty texts have no words and so fail the base.
-    Repeated rows are judged one by one. With ``carry`` the columns of ``documents`` come along as a struct ``row``; otherwise
-    no column but those named here is read. An empty table gives no rows.
+    A text that the base rules fail is not kept, and no sketch counts it. Another is kept if each measure lies within the fences
+    of its (lang, source); rows without language or source form groups of their own. Null and empty texts have no words and so
+    fail the base. Repeated rows are judged one by one, and each counts in its group's sketch. With ``carry`` the columns of
+    ``documents`` come along as a struct ``row``; otherwise no column but those named here is read. An empty table gives no rows.
     """
     base = documents.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), measure(F.col(text)).alias("m"), *([F.struct("*").alias("row")] if carry else []))
-    base = base.withColumn("base_failed", base_failed(F.col("m")))
-    rated = written(base.select("*", *(c.alias(n) for n, c in measures(F.col("m")).items())), "quality-measures")
-    bounds = thresholds(rated.where(~F.col("base_failed")), "lang", "source")
+    rated = written(base.withColumn("base_failed", base_failed(F.col("m"))), "quality-measures")
+    bounds = thresholds(rated.where(~F.col("base_failed")))
     bounds = written(bounds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[c for c in bounds.columns if c[:3] in ("hi_", "lo_")]), "quality-bounds")
     if bounds.count() <= MOST_BROADCAST:
         bounds = F.broadcast(bounds)
     joined = rated.join(bounds, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    outside = F.lit(False)
+    out = F.lit(False)
     for r in RULES:
-        outside = outside | F.coalesce(F.col(r.name) > F.col(f"hi_{r.name}"), F.lit(False)) | F.coalesce(F.col(r.name) < F.col(f"lo_{r.name}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~outside)
+        out = out | outside(F.col("m"), r, F.col(f"lo_{r.name}"), F.col(f"hi_{r.name}"))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~out)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
