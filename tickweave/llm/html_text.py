@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -48,51 +49,73 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 @dataclass
 class Block:
-    """A line of text with the elements around it: (number, tag, against, for) from the outermost on."""
+    """A line of text with what is around it: the nearest block element, whether any element speaks against or for main text, and the number of the innermost element's parent.
+
+    ``depth`` is how many elements are open, ``shared`` how many of them were already open for the line before.
+    """
 
     text: str
     tag: str
-    path: tuple
     link_chars: int
-    hidden: bool = False
+    against: bool
+    good: bool
+    hidden: bool
+    parent: int
+    depth: int
+    shared: int
 
 
 @dataclass
 class _Open:
+    """An open element; all but its number and tag hold for the elements around it too."""
+
     number: int
     tag: str
+    block: str
     against: bool
     good: bool
     hidden: bool
+    article: bool
 
 
 def blocks(html: str) -> list[Block]:
     """The lines of text of a page in order, character references decoded, white space runs as one space; empty lines left out."""
     out: list[Block] = []
+    top = _Open(0, "", "body", False, False, False, False)
     stack: list[_Open] = []
+    opened: Counter = Counter()
     parts: list[tuple[str, bool]] = []
-    count, links, unseen = 0, 0, 0
+    count, links, unseen, shared = 0, 0, 0, 0
 
     def end() -> None:
+        nonlocal shared
         text = SPACE.sub(" ", "".join(p for p, _ in parts)).strip()
         if text:
             linked = sum(len(p) for p, in_link in parts if in_link)
-            tag = next((o.tag for o in reversed(stack) if o.tag in BLOCK), "body")
-            in_article = False
-            path = []
-            for o in stack:
-                in_article |= o.tag in FOR_TAGS
-                # A header inside an article is the article's.
-                path.append((o.number, o.tag, o.against or o.tag in AGAINST_TAGS or (o.tag == "header" and not in_article), o.good or o.tag in FOR_TAGS))
-            out.append(Block(text, tag, tuple(path), linked, any(o.hidden for o in stack)))
+            o = stack[-1] if stack else top
+            out.append(Block(text, o.block, linked, o.against, o.good, o.hidden, stack[-2].number if len(stack) > 1 else 0, len(stack), shared))
+            shared = len(stack)
         parts.clear()
 
     def close(k: int) -> None:
-        nonlocal links, unseen
+        nonlocal links, unseen, shared
         for o in stack[k:]:
             links -= o.tag == "a"
             unseen -= o.tag in UNSEEN
+            opened[o.tag] -= 1
         del stack[k:]
+        shared = min(shared, k)
+
+    def close_last(tags: set[str], stop: set[str]) -> None:
+        """Close the innermost element of these tags, unless one of ``stop`` is in between."""
+        if not any(opened[t] for t in tags):
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k].tag in tags:
+                close(k)
+                return
+            if stack[k].tag in stop:
+                return
 
     def put(text: str) -> None:
         if text and not unseen:
@@ -114,12 +137,7 @@ def blocks(html: str) -> list[Block]:
             if tag in BLOCK:
                 end()
             if tag in UNSEEN or tag in BLOCK or tag not in VOID:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == tag:
-                        close(k)
-                        break
-                    if tag not in BLOCK and stack[k].tag in BLOCK:
-                        break  # an inline end tag reaches no further than its line
+                close_last({tag}, set() if tag in BLOCK else BLOCK)  # an inline end tag reaches no further than its line
             continue
         if tag in RAW:
             m = re.compile(f"</{tag}", re.I).search(html, pos)
@@ -134,35 +152,24 @@ def blocks(html: str) -> list[Block]:
         if tag in BLOCK:
             end()
             if tag in CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == "p":
-                        close(k)
-                        break
-                    if stack[k].tag in SCOPE:
-                        break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in SIBLING.get(tag, ()):
-                    close(k)
-                    break
-                if stack[k].tag in SCOPE:
-                    break
-        elif tag == "body" or tag == "a":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == "a":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-        if tag == "body":
-            for k, o in enumerate(stack):
-                if o.tag == "head":
-                    close(k)
-                    break
+                close_last({"p"}, SCOPE)
+            if tag in SIBLING:
+                close_last(SIBLING[tag], SCOPE)
+        elif tag == "a":
+            close_last({"a"}, BLOCK)
+        if tag == "body" and opened["head"]:
+            close(next(k for k, o in enumerate(stack) if o.tag == "head"))
         if tag in VOID or token.endswith("/>"):
             continue
         words = {w for g in HINT.findall(token) for w in re.split(r"[^a-z]+", "".join(g).lower())} if "=" in token else set()
         count += 1
-        stack.append(_Open(count, tag, bool(words & AGAINST), bool(words & FOR) and not words & AGAINST, " " in token and bool(HIDDEN.search(token))))
+        o = stack[-1] if stack else top
+        article = o.article or tag in FOR_TAGS
+        # A header inside an article is the article's.
+        against = bool(words & AGAINST) or tag in AGAINST_TAGS or (tag == "header" and not article)
+        good = tag in FOR_TAGS or (bool(words & FOR) and not words & AGAINST)
+        stack.append(_Open(count, tag, tag if tag in BLOCK else o.block, o.against or against, o.good or good, o.hidden or (" " in token and bool(HIDDEN.search(token))), article))
+        opened[tag] += 1
         links += tag == "a"
         unseen += tag in UNSEEN
     end()
@@ -174,8 +181,7 @@ FEATURES = 11
 
 def features(b: Block) -> list[float]:
     n, words = len(b.text), b.text.count(" ") + 1
-    against = any(p[2] for p in b.path) or b.hidden
-    good = any(p[3] for p in b.path)
+    against, good = b.against or b.hidden, b.good
     return [
         1.0, against, good and not against, min(1.0, b.link_chars / n), min(np.log1p(words), 6.0) / 6, b.text[-1] in ".!?:;\"')…»”",
         b.tag in HEADINGS, b.tag in ("p", "blockquote", "pre"), b.tag in ("li", "td", "th", "dt", "dd"), words < 4, against and good,
@@ -227,62 +233,88 @@ def edges(lines: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(lines):
         if i:
-            a = lines[i - 1].path
-            common = 0
-            while common < min(len(a), len(b.path)) and a[common][0] == b.path[common][0]:
-                common += 1
-            out.append((i - 1, i, SMOOTH / (1 + max(0, len(a) + len(b.path) - 2 * common - 2))))
-        parent = b.path[-2][0] if len(b.path) > 1 else 0
-        if parent in last and last[parent] < i - 1:
-            out.append((last[parent], i, SMOOTH / 2))
-        last[parent] = i
+            out.append((i - 1, i, SMOOTH / (1 + max(0, lines[i - 1].depth + b.depth - 2 * b.shared - 2))))
+        if b.parent in last and last[b.parent] < i - 1:
+            out.append((last[b.parent], i, SMOOTH / 2))
+        last[b.parent] = i
     return out
 
 
 def cut(for_main: np.ndarray, for_other: np.ndarray, links: list[tuple[int, int, float]]) -> list[bool]:
     """The labels of least cost: for_main[i] is what label 'other' costs line i, for_other[i] what label 'main' costs.
 
-    Maximum flow by shortest augmenting paths. A line's two terminal capacities are cancelled against each other first, so paths
-    run only between lines that lean to different labels. Of equal cuts the one with the fewest lines of main text results.
+    Maximum flow by blocking flows: a search from all lines that lean to main text gives levels, and walks along rising levels
+    saturate all shortest paths before the next search. A line's two terminal capacities are cancelled against each other first,
+    so paths run only between lines that lean to different labels. Of equal cuts the one with the fewest lines of main text results.
     """
     n = len(for_main)
     free = (for_main - for_other).tolist()
-    near: list[dict[int, float]] = [{} for _ in range(n)]
+    joined: dict[tuple[int, int], float] = {}
     for a, b, c in links:
-        near[a][b] = near[a].get(b, 0.0) + c
-        near[b][a] = near[b].get(a, 0.0) + c
+        key = (min(a, b), max(a, b))
+        joined[key] = joined.get(key, 0.0) + c
+    # Arc 2k runs one way along link k, arc 2k + 1 the other way.
+    heads: list[int] = []
+    room: list[float] = []
+    arcs: list[list[int]] = [[] for _ in range(n)]
+    for (a, b), c in joined.items():
+        arcs[a].append(len(heads))
+        arcs[b].append(len(heads) + 1)
+        heads += [b, a]
+        room += [c, c]
     tiny = 1e-9
-    if any(x < -tiny for x in free) and any(x > tiny for x in free):
-        while True:
-            back: dict[int, int] = {i: -1 for i in range(n) if free[i] > tiny}
-            queue, goal = list(back), -1
-            for v in queue:
-                for u, c in near[v].items():
-                    if c > tiny and u not in back:
-                        back[u] = v
-                        if free[u] < -tiny:
-                            goal = u
-                            break
-                        queue.append(u)
-                if goal >= 0:
-                    break
-            if goal < 0:
+    while any(x < -tiny for x in free):
+        level = [0 if x > tiny else -1 for x in free]
+        queue, met = [i for i in range(n) if level[i] == 0], n + 1
+        for v in queue:
+            if level[v] >= met:
                 break
-            path, v = [goal], goal
-            while back[v] >= 0:
-                v = back[v]
-                path.append(v)
-            flow = min(free[path[-1]], -free[goal], *(near[b][a] for a, b in zip(path, path[1:])))
-            free[path[-1]] -= flow
-            free[goal] += flow
-            for a, b in zip(path, path[1:]):
-                near[b][a] -= flow
-                near[a][b] += flow
+            for e in arcs[v]:
+                u = heads[e]
+                if level[u] < 0 and room[e] > tiny:
+                    level[u] = level[v] + 1
+                    queue.append(u)
+                    if free[u] < -tiny:
+                        met = min(met, level[u])
+        if met > n:
+            break
+        at = [0] * n
+        for first in range(n):
+            path: list[int] = []
+            v = first if level[first] == 0 else -1
+            while v >= 0 and free[first] > tiny:
+                if free[v] < -tiny and path:
+                    flow = min(free[first], -free[v], *(room[e] for e in path))
+                    free[first] -= flow
+                    free[v] += flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    # Go on from the first full arc's tail.
+                    k = next((k for k, e in enumerate(path) if room[e] <= tiny), len(path) if free[v] < -tiny else len(path) - 1)
+                    del path[k:]
+                    v = heads[path[-1]] if path else first
+                    continue
+                while at[v] < len(arcs[v]):
+                    e = arcs[v][at[v]]
+                    if room[e] > tiny and level[heads[e]] == level[v] + 1 and level[heads[e]] <= met:
+                        break
+                    at[v] += 1
+                if at[v] < len(arcs[v]):
+                    path.append(arcs[v][at[v]])
+                    v = heads[path[-1]]
+                elif path:
+                    level[v] = -2  # no way on from here in these levels
+                    v = heads[path.pop() ^ 1]
+                    at[v] += 1
+                else:
+                    break
     main = [x > tiny for x in free]
     queue = [i for i in range(n) if main[i]]
     for v in queue:
-        for u, c in near[v].items():
-            if c > tiny and not main[u]:
+        for e in arcs[v]:
+            u = heads[e]
+            if room[e] > tiny and not main[u]:
                 main[u] = True
                 queue.append(u)
     return main
