@@ -69,25 +69,16 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
         g[:n] += decay / len(p) * w[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    # Last, where 0.5 lies: between the bias for which unlabelled texts score the prior on average, and the one for which a share
-    # of them as large as the prior scores 0.5 or more, in the middle of the widest gap that they leave.
-    low, high, rest = -20.0, 20.0, u[:, :n] @ w[:n]
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if sigmoid(rest + mid).mean() < prior else (low, mid)
-    ranked = np.sort(rest)[::-1]
-    bounds = sorted((-mid, max(float(ranked[min(len(ranked) - 1, round(prior * len(ranked)))]), 0.0)))
-    inner = np.unique(np.concatenate((bounds, rest[(rest >= bounds[0]) & (rest <= bounds[1])])))
-    if len(inner) > 1:
-        k = int(np.argmax(np.diff(inner)))
-        mid = -float(inner[k] + inner[k + 1]) / 2
-    return w[:n], mid
+    return w[:n], float(w[n])
 
 
 def fit(samples: list[tuple[bool, np.ndarray]], prior: float) -> Classifier:
-    """A classifier from (confirmed, distinct word hashes of a text). Without confirmed or unlabelled texts it gives the prior."""
+    """A classifier from (confirmed, distinct word hashes of a text). Without confirmed or unlabelled texts it gives the prior.
+
+    The prior may be any share; 0 and 1 count as a millionth from them, as a bias must be finite.
+    """
     positive, unlabelled = ([x for c, x in samples if c is kind] for kind in (True, False))
-    prior = min(max(prior, 1e-3), 0.5)
+    prior = min(max(prior, 1e-6), 1 - 1e-6)
     nothing = Classifier(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not positive or not unlabelled:
         return nothing
@@ -98,7 +89,7 @@ def fit(samples: list[tuple[bool, np.ndarray]], prior: float) -> Classifier:
     rp, ru = np_ / len(positive), nu / len(unlabelled)
     pooled = (np_ + nu) / (len(positive) + len(unlabelled))
     z = (rp - ru) / np.sqrt(pooled * (1 - pooled) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-12)
-    good = np.flatnonzero((z >= LEAST_Z) & (np_ >= max(3, 0.01 * len(positive))))
+    good = np.flatnonzero(z >= LEAST_Z)
     words = words[good]
     if not len(words):
         return nothing
@@ -116,7 +107,8 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     The class prior is the share of 1 among the given labels, unless stated. A row's label is read only to confirm a toxic text
     and for that share; the unlabelled sample is taken from all documents given. Rows with null labels or null texts confirm
-    nothing. Samples have at most MOST_POSITIVE and MOST_UNLABELLED texts, each as its distinct word hashes.
+    nothing. Samples have at most MOST_POSITIVE and MOST_UNLABELLED texts, each as its distinct word hashes; of rows that repeat
+    a doc_id one text is taken.
     """
     spark = documents.sparkSession
     ship(spark)
