@@ -28,8 +28,8 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _urn(kind: str, page: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page.cast("string"), F.lit("-")), digest))
+def _urn(kind: str, page: Column, digest: Column, row: Column) -> Column:
+    h = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page.cast("string"), F.lit("-")), digest, F.nullif(row, F.lit(0).cast("long")).cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
@@ -43,37 +43,52 @@ def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "u
     """Write a request, a response (or revisit) and a metadata record for each row, as gzipped WARC files under ``path``.
 
     The payload is the html in UTF-8; null is an empty one. Of rows with equal payloads that with the smallest page_id is the
-    response and the others are revisits that refer to it. Null urls are empty and line breaks in them become spaces. Rows that
-    repeat a page_id and its payload are the same capture.
+    response and the others are revisits that refer to it; rows without page_id come after all others, and where no row has one,
+    all are responses. Rows that repeat a page_id and its payload are captures of their own, with record ids of their own; if
+    theirs is the smallest page_id, each is a response, and revisits refer to one of them. Null urls are empty and line breaks
+    in them become spaces. An empty table leaves an archive without records.
 
     The text writer ends each row with the blank lines that end a record, so records are written by Spark's own commit protocol.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), "[\r\n]", " ").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
-    shared = rows.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    shared = written(shared, "warc-shared")
-    if shared.count() <= MOST_BROADCAST:
+    rows = rows.withColumn("row", F.lit(0).cast("long"))
+
+    def repeated(df: DataFrame) -> DataFrame:
+        """Digests of several rows: smallest page_id, its smallest row number, and the most rows of one page."""
+        pairs = df.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
+        met = pairs.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("row", "page_id").alias("first_row"), F.sum("n").alias("n"), F.max("n").alias("most"))
+        return written(met.where("n > 1").select("digest", "first", "first_row", "most"), "warc-shared")
+
+    shared = repeated(rows)
+    facts = shared.agg(F.count(F.lit(1)).alias("n"), F.max("most").alias("most")).first()
+    if (facts["most"] or 1) > 1:
+        # Equal rows are told apart by numbers, which are stored with the rows, so that whatever reads them again sees the same.
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id() + 1), "warc-rows")
+        shared = repeated(rows)
+    if facts["n"] <= MOST_BROADCAST:
         shared = F.broadcast(shared)
     else:  # a second key has both sides dealt out for the join itself, so that a payload of very many pages can be split
         rows, shared = rows.withColumn("k", F.xxhash64("digest")), shared.withColumn("k", F.xxhash64("digest"))
     rows = rows.join(shared, [c for c in ("digest", "k") if c in shared.columns], "left")
     page, digest = F.col("page_id"), F.col("digest")
-    first = F.coalesce("first", "page_id")
-    again = F.coalesce(page != first, F.lit(False))
-    own, stamp, target = _urn("response", page, digest), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))
+    # Only payloads that a page has several times need numbers in their record ids.
+    row, first_row = (F.when(F.col("most") > 1, F.col(c)).otherwise(F.lit(0).cast("long")) for c in ("row", "first_row"))
+    again = F.col("first").isNotNull() & ~page.eqNullSafe(F.col("first"))
+    own, stamp, target = _urn("response", page, digest, row), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(END))
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
     line = F.concat(F.lit("GET "), F.regexp_extract("url", r"^(?:[a-z]+://[^/?#]*)?([^#]*)", 1), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END))
     kind = lambda c: ("WARC-Type", c if isinstance(c, Column) else F.lit(c))
     media = lambda c: ("Content-Type", F.lit(c))
-    request = _record([kind("request"), ("WARC-Record-ID", _urn("request", page, digest)), stamp, target, ("WARC-Concurrent-To", own), media("application/http;msgtype=request")], line)
+    request = _record([kind("request"), ("WARC-Record-ID", _urn("request", page, digest, row)), stamp, target, ("WARC-Concurrent-To", own), media("application/http;msgtype=request")], line)
     response = _record(
-        [kind(F.when(again, "revisit").otherwise("response")), ("WARC-Record-ID", own), stamp, target, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), ("WARC-Refers-To", F.when(again, _urn("response", first, digest))), ("WARC-Profile", F.when(again, PROFILE)), media("application/http;msgtype=response")],
+        [kind(F.when(again, "revisit").otherwise("response")), ("WARC-Record-ID", own), stamp, target, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), ("WARC-Refers-To", F.when(again, _urn("response", F.col("first"), digest, first_row))), ("WARC-Profile", F.when(again, PROFILE)), media("application/http;msgtype=response")],
         F.when(again, head).otherwise(F.concat(head, F.col("payload"))),
     )
     notes = F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit("\r\n"))
-    metadata = _record([kind("metadata"), ("WARC-Record-ID", _urn("metadata", page, digest)), stamp, target, ("WARC-Concurrent-To", own), media("application/warc-fields")], notes)
+    metadata = _record([kind("metadata"), ("WARC-Record-ID", _urn("metadata", page, digest, row)), stamp, target, ("WARC-Concurrent-To", own), media("application/warc-fields")], notes)
     rows.select(F.concat_ws(END, request, response, metadata).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
@@ -191,6 +206,6 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_b
 d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   1 + ((('0x' || substr(h, CAST(1 + 10 * (i // 8) AS INT), 10))::UBIGINT >> (35 - 5 * (i % 8))::UBIGINT) & 31)::INT, 1)), '') AS payload_digest FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f"""
 }
