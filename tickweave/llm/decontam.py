@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,18 +16,31 @@ SIMILARITY = 0.8
 #: Fingerprints of sets this similar differ in some 10 of 64 bits with a deviation of 3; all within RADIUS are found.
 RADIUS = 19
 #: With RADIUS // BLOCKS errors at most in one of so many blocks, by the pigeonhole principle.
-BLOCKS = 10
-#: The index holds some 75 short rows an item and is broadcast up to so many items, else joined by a shuffle.
-MOST_BROADCAST = 20_000
+BLOCKS = 5
+#: The index holds some 1800 rows of 50 bytes an item and is broadcast up to so many items, else joined by a shuffle.
+MOST_BROADCAST = 1_000
+#: Shingles of items (8 bytes each) are broadcast up to so many items, else joined by a shuffle.
+MOST_ITEMS = 20_000
 #: Bits of the filter of benchmark shingles that is sent with the plan: from and to.
 FILTER_BITS = (1 << 16, 1 << 22)
 
 
-def shingles(text: Column) -> Column:
-    """array<long>: a hash for each run of five words in order, lower-cased; none for shorter texts."""
-    runs = lambda w: F.transform(F.slice(w, F.lit(1), F.size(w) - (SHINGLE - 1)), lambda x, i: F.xxhash64(x, *(F.element_at(w, i + k + 1) for k in range(1, SHINGLE))))
-    hashed = lambda w: F.when(F.size(w) < SHINGLE, F.array().cast("array<long>")).otherwise(let(F.transform(w, lambda x: F.xxhash64(x)), runs))
-    return let(word_array(F.lower(text)), hashed)
+def grams(hashes: Column, n: int) -> Column:
+    """array<long>: a hash for each run of n words, given the words' hashes; none for fewer words."""
+    runs = F.transform(F.slice(hashes, F.lit(1), F.size(hashes) - (n - 1)), lambda x, i: F.xxhash64(x, *(F.element_at(hashes, i + k + 1) for k in range(1, n))))
+    return F.when(F.size(hashes) < n, F.array().cast("array<long>")).otherwise(runs)
+
+
+def word_hashes(text: Column) -> Column:
+    """array<long>: the words' hashes in order, lower-cased."""
+    return F.transform(word_array(F.lower(text)), lambda x: F.xxhash64(x))
+
+
+def item(text: Column) -> Column:
+    """struct<size, hashes>: an item's five-word shingles and their number; of fewer words the whole sequence, its size minus the number of words."""
+    short = lambda w: F.coalesce(*(F.when(F.size(w) == n, F.struct(F.lit(-n).alias("size"), grams(w, n).alias("hashes"))) for n in range(1, SHINGLE)))
+    made = lambda w: F.when(F.size(w) < SHINGLE, short(w)).otherwise(F.struct((F.size(w) - (SHINGLE - 1)).alias("size"), grams(w, SHINGLE).alias("hashes")))
+    return let(word_hashes(text), made)
 
 
 def need(size: Column) -> Column:
@@ -51,18 +65,21 @@ def _parts() -> list[tuple[int, int]]:
 
 def blocks(code: Column, near: bool) -> Column:
     """array<struct<block, value>>: the parts of a fingerprint; with ``near`` also all values within RADIUS // BLOCKS bits."""
-    assert RADIUS // BLOCKS == 1
-    out = []
-    for k, (at, width) in enumerate(_parts()):
+
+    def spots(k: int, at: int, width: int) -> Column:
         value = F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1).cast("long")).cast("int")
-        for mask in [0, *(1 << b for b in range(width))] if near else [0]:
-            out.append(F.struct(F.lit(k).alias("block"), value.bitwiseXOR(F.lit(mask)).alias("value")))
-    return F.array(*out)
+        flips = [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1 if near else 1) for bits in combinations(range(width), n)]
+        masks = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<int>")
+        return let(value, lambda v: F.transform(masks, lambda m: F.struct(F.lit(k).alias("block"), v.bitwiseXOR(m).alias("value"))))
+
+    return F.flatten(F.array(*(spots(k, *part) for k, part in enumerate(_parts()))))
 
 
 def occurrences(hashes: Column) -> Column:
     """Hashes made distinct by how often each came before, so that intersections of sets count repeats."""
-    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, F.lit(1), i), lambda y: y == h))))
+    plain = F.transform(hashes, lambda h: F.xxhash64(h, F.lit(0)))
+    numbered = F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, F.lit(1), i), lambda y: y == h))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), plain).otherwise(numbered)
 
 
 def _bits(values: DataFrame, n: int) -> Column:
@@ -87,35 +104,50 @@ def windows(documents: DataFrame, items: DataFrame, doc_id: str, text: str) -> D
     Such a window shares ``need(size)`` shingles with the item. Two filters of fixed size tell which shingles occur in any item,
     and in an item of this size; a window with fewer of them is not alike, whatever its fingerprint. As sliding a window right to
     its next such shingle loses none, windows begin at one, or end with the text. Texts shorter than the items of a size are one
-    window of it. All this happens inside the row: no shuffle, and a text without benchmark shingles makes no window.
+    window of it. Runs as long as an item of fewer than five words are windows where they first occur. All this happens inside
+    the row: no shuffle, and a text without benchmark shingles makes no window. Sizes for which a text has too few benchmark
+    shingles cost it one comparison each; there are no more sizes than words in the longest item.
     """
     flat = items.select("size", F.explode("hashes").alias("h"))
     n = min(max(1 << (64 * max(1, flat.count()) - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-    any_bits = _bits(flat, n)
+    any_bits = _bits(flat.where("size > 0"), n)
     sized_bits = _bits(flat.select(F.xxhash64("h", "size").alias("h")), n)
-    sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]
+    known = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]
+    sizes, short = [s for s in known if s > 0], [-s for s in known if s < 0]
     kind = "array<struct<size:int,first:int,hashes:array<long>>>"
-    if not sizes:
+    none = F.array().cast(kind)
+    if not known:
         return documents.select(F.col(doc_id).alias("doc_id"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("array<long>").alias("hashes")).where("false")
-    # A text shorter than all items may hold as little as SIMILARITY of the smallest one's shingles and no others.
-    least = max(1, math.ceil(SIMILARITY * sizes[0] - 1e-9))
+    listed = F.split(F.lit(",".join(map(str, sizes))), ",").cast("array<int>")
+
+    def enough(count: Column, size: Column) -> Column:
+        """Shingles to share; a text shorter than the size must share those of the longer list with it."""
+        return F.when(count >= size, need(size)).otherwise(F.ceil((count + size) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).cast("int"))
 
     def for_size(h: Column, places: Column, size: Column, bits: Column) -> Column:
-        count = F.size(h)
-        last = F.greatest(F.lit(0), count - size)
-        # A text shorter than the size must share need shingles of the longer list with it.
-        enough = F.when(count >= size, need(size)).otherwise(F.ceil((count + size) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).cast("int"))
+        least, last = enough(F.size(h), size), F.greatest(F.lit(0), F.size(h) - size)
         own = F.filter(places, lambda i: _set(bits, F.xxhash64(F.element_at(h, i + 1), size), n))
-        dense = lambda p: F.filter(F.transform(p, lambda x, j: F.when((j + enough <= F.size(p)) & (F.get(p, j + enough - 1) - x < size), F.least(x, last))), lambda x: x.isNotNull())
-        starts = let(own, lambda p: F.when(F.size(p) < enough, F.array().cast("array<int>")).otherwise(F.array_distinct(dense(p))))
+        dense = lambda p: F.filter(F.transform(p, lambda x, j: F.when((j + least <= F.size(p)) & (F.get(p, j + least - 1) - x < size), F.least(x, last))), lambda x: x.isNotNull())
+        starts = let(own, lambda p: F.when(F.size(p) < least, F.array().cast("array<int>")).otherwise(F.array_distinct(dense(p))))
         return F.transform(starts, lambda s: F.struct(size.alias("size"), s.alias("first"), F.slice(h, s + 1, size).alias("hashes")))
 
     def found(h: Column) -> Column:
+        # A text shorter than all items may hold as little as SIMILARITY of the smallest one's shingles and no others.
+        least = max(1, math.ceil(SIMILARITY * sizes[0] - 1e-9))
         places = let(any_bits, lambda bits: F.filter(F.transform(h, lambda x, i: F.when(_set(bits, x, n), i)), lambda i: i.isNotNull()))
-        every = lambda p: let(sized_bits, lambda bits: F.flatten(F.transform(F.array(*(F.lit(s) for s in sizes)), lambda s: for_size(h, p, s, bits))))
-        return let(places, lambda p: F.when(F.size(p) < least, F.array().cast(kind)).otherwise(every(p).cast(kind)))
+        able = lambda p: F.filter(listed, lambda s: F.size(p) >= enough(F.size(h), s))
+        every = lambda p: let(sized_bits, lambda bits: F.flatten(F.transform(able(p), lambda s: for_size(h, p, s, bits))))
+        return let(places, lambda p: F.when(F.size(p) < least, none).otherwise(every(p).cast(kind)))
+
+    def runs(w: Column, k: int) -> Column:
+        hits = lambda g: let(sized_bits, lambda bits: F.array_distinct(F.filter(g, lambda x: _set(bits, F.xxhash64(x, F.lit(-k)), n))))
+        return let(grams(w, k), lambda g: F.transform(hits(g), lambda x: F.struct(F.lit(-k).alias("size"), (F.array_position(g, x) - 1).cast("int").alias("first"), F.array(x).alias("hashes"))).cast(kind))
+
+    def every(w: Column) -> Column:
+        parts = [let(grams(w, SHINGLE), found)] if sizes else []
+        return F.concat(*parts, *(runs(w, k) for k in short))
 
-    rows = documents.where(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), let(shingles(F.col(text)), found).alias("w"))
+    rows = documents.where(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), let(word_hashes(F.col(text)), every).alias("w"))
     return rows.where(F.size("w") > 0).select("doc_id", F.explode("w").alias("w")).select("doc_id", "w.size", "w.first", "w.hashes")
 
 
@@ -129,29 +161,34 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """One row per (doc_id, item_id) whose text has a window of the item's size that is SIMILARITY alike to it, or more.
 
     Columns: doc_id, item_id, similarity (of the best window), first_word and n_words of that window. Pairs come from the index of
-    fingerprints and are then compared exactly. Null, empty and blank texts have no shingles; items of fewer than five words
-    are not searched. Of equal windows the earliest is reported, repeated rows are reported once, and items with the same text
-    each have their row. Either table may be empty; then no row results.
+    fingerprints and are then compared exactly. Null, empty and blank texts have no shingles; an item of fewer than five words is
+    found where its words stand in a row. Of equal windows the earliest is reported, repeated rows are reported once, and items
+    with the same text each have their row; an item_id that repeats with another text counts by its best one. Either table may
+    be empty; then no row results. No other columns are read.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), shingles(F.col(item_text)).alias("hashes")).where(F.size("hashes") > 0)
-    items = written(items.select("item_id", F.size("hashes").alias("size"), "hashes", simhash(F.col("hashes")).alias("code")), "decontam-items")
-    few = items.count() <= MOST_BROADCAST
+    made = benchmark.select(F.col(item_id).alias("item_id"), item(F.col(item_text)).alias("i")).where("i is not null").select("item_id", "i.size", "i.hashes")
+    items = written(made.distinct().select("item_id", F.xxhash64("item_id", "hashes").alias("item"), "size", "hashes", simhash(F.col("hashes")).alias("code")), "decontam-items")
+    count = items.count()
     spots = windows(documents, items, doc_id, text)
     # In a frame of its own, so that later steps read the windows, not the texts again.
     spots = written(spots.select("doc_id", "size", "first", "hashes", simhash(F.col("hashes")).alias("code")), "decontam-windows")
-    index = items.select("item_id", "size", F.col("hashes").alias("item_hashes"), F.col("code").alias("item_code"), F.explode(blocks(F.col("code"), near=True)).alias("b")).select("*", "b.block", "b.value").drop("b")
-    probes = spots.select("doc_id", "size", "first", "hashes", "code", F.explode(blocks(F.col("code"), near=False)).alias("b")).select("*", "b.block", "b.value").drop("b")
+    # One number for size, block and value, 16 bits for the last two.
+    key = (F.col("size").cast("long") * (1 << 16) + F.col("b.block") * (1 << 13) + F.col("b.value")).alias("key")
+    index = items.select("item", "size", F.col("code").alias("item_code"), F.explode(blocks(F.col("code"), near=True)).alias("b")).select("item", "item_code", "b.block", key)
+    probes = spots.select("doc_id", "size", "first", "hashes", "code", F.explode(blocks(F.col("code"), near=False)).alias("b")).select("doc_id", "first", "hashes", "code", key)
     within = F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= RADIUS
     # A pair may be met in several blocks; the first block within reach keeps it, so none is compared twice.
     first_block = F.lit(BLOCKS)
     for k, (at, width) in reversed(list(enumerate(_parts()))):
         differ = F.bit_count(F.shiftrightunsigned(F.col("code").bitwiseXOR(F.col("item_code")), at).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
         first_block = F.when(differ <= RADIUS // BLOCKS, F.lit(k)).otherwise(first_block)
-    p, x = probes.alias("p"), (F.broadcast(index) if few else index).alias("x")
-    met = p.join(x, (F.col("p.size") == F.col("x.size")) & (F.col("p.block") == F.col("x.block")) & (F.col("p.value") == F.col("x.value")) & within & (F.col("p.block") == first_block))
-    alike = met.select("doc_id", "item_id", "first", F.size("hashes").alias("n"), similarity(F.col("hashes"), F.col("item_hashes")).alias("similarity")).where(F.col("similarity") >= SIMILARITY)
+    met = probes.join(F.broadcast(index) if count <= MOST_BROADCAST else index, "key").where(within & (F.col("block") == first_block))
+    full = items.select("item", "item_id", "size", F.col("hashes").alias("item_hashes"))
+    pairs = met.select("item", "doc_id", "first", "hashes").join(F.broadcast(full) if count <= MOST_ITEMS else full, "item")
+    words = F.when(F.col("size") < 0, -F.col("size")).otherwise(F.size("hashes") + SHINGLE - 1)
+    alike = pairs.select("doc_id", "item_id", "first", words.alias("n"), similarity(F.col("hashes"), F.col("item_hashes")).alias("similarity")).where(F.col("similarity") >= SIMILARITY)
     best = alike.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first")).alias("back"), "n")).alias("m"))
-    return best.select("doc_id", "item_id", F.round("m.similarity", 6).alias("similarity"), (-F.col("m.back")).cast("long").alias("first_word"), (F.col("m.n") + SHINGLE - 1).cast("long").alias("n_words"))
+    return best.select("doc_id", "item_id", F.round("m.similarity", 6).alias("similarity"), (-F.col("m.back")).cast("long").alias("first_word"), F.col("m.n").cast("long").alias("n_words"))
 
 
 def op5_decontam(spark, sf_dir: str) -> DataFrame:
