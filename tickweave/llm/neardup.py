@@ -24,8 +24,8 @@ MINIMA = 128
 SKETCH_BITS = 512
 #: Members of larger buckets first meet one centre each; all members of a smaller bucket meet its centre.
 LARGE = 64
-#: Rows of a bucket that one task compares with as many others.
-BLOCK = 500
+#: Rows of a bucket that one task compares with as many others: by sketches (some 100 bytes each), and by full sets.
+SKETCHES, BLOCK = 8192, 500
 #: Ids are broadcast up to so many (8 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -176,28 +176,44 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _tiles(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of each key cut into parts by a hash of rep, and every two parts of a key as one group (i, j); ``rows`` has their number n."""
+    parts = F.ceil(F.col("n") / size).cast("int")
+    part = F.pmod(F.xxhash64("rep", "key"), parts).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("i"), F.greatest(j, F.col("part")).alias("j")))
+    return rows.withColumn("parts", parts).withColumn("part", part).withColumn("t", F.explode(tiles)).withColumn("i", F.col("t.i")).withColumn("j", F.col("t.j")).drop("t", "parts", "n")
+
+
+def _sketches(table: pa.Table) -> np.ndarray:
+    return table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
+
+
 def _rest(buckets: DataFrame, seen: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of a bucket that lie in different components so far.
 
     A bucket is cut into blocks, and every two blocks meet in a group of their own, so no task holds more than two blocks and
-    what a large bucket costs is spread over tasks. In numpy, each member is compared with those of other components whose odd
-    sketches are alike, on full sets. A link joins two components, so a group has fewer links than members.
+    what a large bucket costs is spread over tasks. First large blocks of ids and sketches alone tell which members have one of
+    another component with a sketch like theirs. Only those are then compared on full sets, in small blocks. A link joins two
+    components, so a group has fewer links than members.
     """
-    labelled = buckets.join(seen.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.xxhash64("key").alias("k"))
-    rows = labelled.withColumn("k", F.xxhash64("key")).join(mixed, ["key", "k"]).select("key", "rep", "component", "parts")
-    rows = rows.join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
-    part = F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("i"), F.greatest(j, F.col("part")).alias("j")))
-    rows = rows.withColumn("part", part).withColumn("t", F.explode(tiles)).select("key", "t.i", "t.j", "part", "rep", "component", "sketch", "shingles")
     most = most_odd(percent)
 
+    def alike(table: pa.Table) -> pa.Table:
+        part, rep, comp = (table.column(c).to_numpy() for c in ("part", "rep", "component"))
+        sketch, met = _sketches(table), np.zeros(len(rep), bool)
+        left, right = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+        for x in left:
+            near = (comp[right] != comp[x]) & (np.bitwise_count(sketch[right] ^ sketch[x]).sum(1, dtype=np.int64) <= most)
+            if near.any():
+                met[x] = True
+                met[right[near]] = True
+        key = table.column("key").to_numpy()
+        return pa.table({"key": pa.array(key[met], pa.int64()), "rep": pa.array(rep[met], pa.int64())})
+
     def compare(table: pa.Table) -> pa.Table:
         part, rep, comp = (table.column(c).to_numpy() for c in ("part", "rep", "component"))
         comp = comp.copy()
-        flat = lambda c: table.column(c).combine_chunks()
-        sketch = flat("sketch").flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
-        column = flat("shingles")
+        sketch, column = _sketches(table), table.column("shingles").combine_chunks()
         values, ends = column.flatten().to_numpy().view(np.uint64), np.cumsum(column.value_lengths().to_numpy())
         begins = np.concatenate(([0], ends[:-1]))
         size = ends - begins
@@ -219,7 +235,16 @@ def _rest(buckets: DataFrame, seen: DataFrame, reps: DataFrame, sets: DataFrame,
                     comp[comp == comp[y]] = comp[x]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return written(rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "neardup-rest")
+    labelled = buckets.join(seen.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and n > 2").select("key", "n", F.xxhash64("key").alias("k"))
+    rows = labelled.withColumn("k", F.xxhash64("key")).join(mixed, ["key", "k"]).select("key", "rep", "component", "n")
+    rows = written(rows.join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep"), "neardup-mixed")
+    pairs = _tiles(rows, SKETCHES).groupBy("key", "i", "j").applyInArrow(alike, "key long, rep long")
+    wanted = written(pairs.distinct(), "neardup-alike")
+    counts = wanted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.xxhash64("key"))
+    few = rows.drop("n").join(wanted, ["key", "rep"], "left_semi").withColumn("k", F.xxhash64("key")).join(counts, ["key", "k"]).drop("k")
+    full = few.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    return written(_tiles(full, BLOCK).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "neardup-rest")
 
 
 def cluster(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
