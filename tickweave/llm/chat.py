@@ -25,8 +25,14 @@ LEGAL = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",
 MERGE, RELABEL, GUESS, INSERT = 1.0, 2.0, 1.0, 3.0
 #: Names that count as one of the roles.
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant", "function": "tool"}
-#: Turn numbers that one task repairs together.
+#: Turn numbers that one task repairs together; rows of one turn number beyond as many are cut into blocks of their own.
 BLOCK = 2048
+#: The block of rows without a turn number, before all others.
+NO_TURN = -(1 << 62)
+#: Conversations with such turn numbers are broadcast up to so many (some 100 bytes each), else joined by a shuffle.
+MOST_BROADCAST = 100_000
+#: Blocks whose products one batch takes.
+BATCH = 4096
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -108,72 +114,106 @@ def _segments(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tu
     yield from groupby(rows, key)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with block, seg and part, which in this order are the order of the turns.
+
+    A block is BLOCK turn numbers. A turn number with more than BLOCK rows is cut from it: ``seg`` counts the cuts up to a row, and
+    ``part`` divides the turn's rows by ranges of their hashes, in the order of which they are taken.
+    """
+    block = F.when(F.col("turn").isNull(), F.lit(NO_TURN)).otherwise(F.floor(F.col("turn") / BLOCK)).cast("long")
+    rows = rows.withColumn("block", block).withColumn("t", F.coalesce("turn", F.lit(0).cast("long")))
+    many = rows.groupBy("conv_id", "block", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    hot = many.groupBy(F.col("conv_id").alias("c"), F.col("block").alias("b")).agg(F.sort_array(F.collect_list(F.struct("t", F.ceil(F.col("n") / BLOCK).alias("parts")))).alias("hot"))
+    hot = written(hot, "chat-turns")
+    count = hot.count()
+    if not count:
+        return rows.withColumn("seg", F.lit(0)).withColumn("part", F.lit(0).cast("long")).drop("t")
+    own = F.get(F.filter("hot", lambda h: h["t"] == F.col("t")), F.lit(0))
+    seg = 2 * F.size(F.filter("hot", lambda h: h["t"] < F.col("t"))) + F.when(F.col("own").isNotNull(), 1).otherwise(0)
+    # The upper 31 bits of the hash, the smallest hash as 0.
+    high = F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63))), 33)
+    part = F.coalesce(F.floor(high * F.col("own.parts") / (1 << 31)), F.lit(0)).cast("long")
+    met = rows.join(F.broadcast(hot) if count <= MOST_BROADCAST else hot, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left").withColumn("own", own)
+    return met.withColumn("seg", F.coalesce(seg, F.lit(0))).withColumn("part", part).drop("t", "hot", "own", "c", "b")
+
+
 def repair(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per row of ``conversations`` with what the repair does to it.
 
     Columns: conv_id, turn, role (as given), new_role, action (keep, relabel, merge), before and after (roles of empty turns
-    inserted ahead of it, and at the conversation's end), cost, rendered. The rendered parts of a conversation, joined in the
-    order of (turn, place), are its formatted text.
+    inserted ahead of it, and at the conversation's end), cost, rendered, block, seg, part and place. The rendered parts of a
+    conversation, joined in the order of (block, seg, part, place), are its formatted text.
 
     Turns are taken in the order of turn number, nulls first; rows of the same number by a hash of role and text, so ties and
     repeated rows have a fixed order. Null or unknown roles are given one for a lower cost; null texts are empty turns. Rows
-    without conv_id are one conversation. In a mark of the format inside a text the bar becomes a space. An empty table gives no rows.
-    Rows of one conversation and one turn number are one task's.
+    without conv_id are one conversation. In a mark of the format inside a text the bar becomes a space. An empty table gives no
+    rows; other columns are not read. A task holds a block: at most some BLOCK turn numbers, or a share of the rows of one; rows
+    that are equal in all of conversation, turn number, role and text stay together. What joins a conversation's blocks is a
+    matrix of 25 numbers a block.
     """
     spark = conversations.sparkSession
     ship(spark)
     small_batches(spark)
-    block = F.floor(F.coalesce(F.col("turn"), F.lit(0)) / BLOCK).cast("long")
     rows = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    rows = rows.select("conv_id", block.alias("block"), "turn", F.xxhash64("role", "text").alias("tie"), "role", role_of(F.col("role")).alias("known"), "text")
-    order = ["conv_id", "block", "turn", "tie"]
+    rows = placed(rows.select("conv_id", "turn", F.xxhash64("role", "text").alias("tie"), "role", role_of(F.col("role")).alias("known"), "text"))
+    key = ["conv_id", "block", "seg", "part"]
+    order = [*key, "turn", "tie"]
     n = spark.conf.get("spark.sql.shuffle.partitions")
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64())]
         out = []
-        for (conv, blk), turns in _segments(batches, 2):
+        for spot, turns in _segments(batches, 4):
             m = None
             for r in turns:
                 m = MATRICES[r["known"]] if m is None else times(m, MATRICES[r["known"]])
-            out.append((conv, blk, m.ravel().tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.float64()))], names=["conv_id", "block", "m"])
+            out.append((*spot, m.ravel().tolist()))
+            if len(out) == BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[*key, "m"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[*key, "m"])
 
-    slim = rows.select("conv_id", "block", "turn", "tie", "known").repartition(int(n), "conv_id", "block").sortWithinPartitions(*order)
-    made = slim.mapInArrow(products, "conv_id long, block long, m array<double>")
+    slim = rows.select(*order, "known").repartition(int(n), *key).sortWithinPartitions(*order)
+    made = slim.mapInArrow(products, "conv_id long, block long, seg int, part long, m array<double>")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        names, out = ["c", "b", "s", "p", "entry", "leave", "last"], []
         for (conv,), parts in _segments(batches, 1):
-            numbers, mats, costs = [], [], [np.where(np.arange(len(STATES)) == 0, 0.0, np.inf)]
+            spots, mats, costs = [], [], [np.where(np.arange(len(STATES)) == 0, 0.0, np.inf)]
             for r in parts:
-                numbers.append(r["block"])
+                spots.append((r["block"], r["seg"], r["part"]))
                 mats.append(np.array(r["m"]).reshape(len(STATES), -1))
                 costs.append((costs[-1][:, None] + mats[-1]).min(0))
             state = int(np.argmin(costs[-1] + END_COST))
-            for k in range(len(numbers) - 1, -1, -1):
+            for k in range(len(spots) - 1, -1, -1):
                 entry = int(np.argmin(costs[k] + mats[k][:, state]))
-                out.append((conv, numbers[k], entry, state, k == len(numbers) - 1))
+                out.append((conv, *spots[k], entry, state, k == len(spots) - 1))
                 state = entry
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-        columns = list(zip(*out)) if out else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["c", "b", "entry", "leave", "last"])
+                if len(out) == BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    bounds = made.repartition(int(n), "conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(joined, "c long, b long, entry int, leave int, last boolean")
+    bounds = made.repartition(int(n), "conv_id").sortWithinPartitions(*key).mapInArrow(joined, "c long, b long, s int, p long, entry int, leave int, last boolean")
     bounds = written(bounds, "chat-bounds")
-    met = rows.join(bounds, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv_id", "block", "entry", "leave", "last", "turn", "tie", "role", "known", "text")
-    met = met.repartition(int(n), "conv_id", "block").sortWithinPartitions(*order)
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")) & (F.col("seg") == F.col("s")) & (F.col("part") == F.col("p"))
+    met = rows.join(bounds, same).select(*key, "entry", "leave", "last", "turn", "tie", "role", "known", "text")
+    met = met.repartition(int(n), *key).sortWithinPartitions(*order)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.float64(), pa.string()]
-        names = ["conv_id", "turn", "place", "role", "new_role", "action", "before", "after", "cost", "rendered"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.float64(), pa.string()]
+        names = ["conv_id", "turn", "block", "seg", "part", "place", "role", "new_role", "action", "before", "after", "cost", "rendered"]
         held: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held) if held else [()] * 10, kinds)], names=names)
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held) if held else [()] * 13, kinds)], names=names)
             held.clear()
             return out
 
-        for (conv, _, entry, leave, last), turns in _segments(batches, 5):
+        for (conv, blk, seg, part, entry, leave, last), turns in _segments(batches, 7):
             turns = list(turns)
             states = trace([r["known"] for r in turns], entry, leave)
             before = entry
@@ -188,13 +228,13 @@ def repair(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
                 if last and k == len(turns) - 1:
                     shown += f"{CLOSE}\n" + "".join(f"{OPEN}{x}\n{CLOSE}\n" for x in after)
                 action = "merge" if kind == "merge" else "keep" if r["known"] == b else "relabel"
-                held.append((conv, r["turn"], k, r["role"], b, action, list(added), list(after), cost + INSERT * len(after), shown))
+                held.append((conv, r["turn"], blk, seg, part, k, r["role"], b, action, list(added), list(after), cost + INSERT * len(after), shown))
                 before = s
                 if len(held) >= 2000:
                     yield batch()
         yield batch()
 
-    return met.mapInArrow(parts, "conv_id long, turn long, place long, role string, new_role string, action string, before array<string>, after array<string>, cost double, rendered string")
+    return met.mapInArrow(parts, "conv_id long, turn long, block long, seg int, part long, place long, role string, new_role string, action string, before array<string>, after array<string>, cost double, rendered string")
 
 
 def op1_chat(spark, sf_dir: str) -> DataFrame:
