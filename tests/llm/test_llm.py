@@ -109,6 +109,7 @@ def test_neardup_sql(spark, case, sf_dir):
 def test_neardup_blocks(spark, monkeypatch):
     """A bucket over several blocks, whose members link in a chain and not all with its centre."""
     monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "SKETCHES", 9)
     monkeypatch.setattr(neardup, "LARGE", 3)
     rng = random.Random(2)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
@@ -117,7 +118,8 @@ def test_neardup_blocks(spark, monkeypatch):
         base[k * 5] = f"n{k}"
         texts.append(" ".join(base))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [collected(neardup.cluster(df))[i].component_id for i in range(40)] == roots(texts)[1]
+    got = collected(neardup.cluster(df))
+    assert [got[i].component_id for i in range(40)] == roots(texts)[1]
 
 
 def test_neardup_stage_at_80(spark):
@@ -268,7 +270,10 @@ def test_bpe(spark, case):
     assert codec.decode(np.concatenate(ids), np.array([len(x) for x in ids])) == [tok.decode(x, skip_special_tokens=False) for x in want]
 
 
-def test_lm(spark, case):
+@pytest.mark.parametrize("heavy", [1 << 22, 40])
+def test_lm(spark, case, monkeypatch, heavy):
+    """With ranges of at most 40 words frequent words' pairs are split over several shards."""
+    monkeypatch.setattr(lm, "PAIRS", heavy)
     d, texts, *_ = case
     docs = {i: words(t) for i, t in enumerate(texts)}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}

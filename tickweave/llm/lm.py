@@ -7,15 +7,18 @@ The model is counted in three Spark steps, each of which leaves arrays in the sh
 3. followers: for each word how many different words it follows.
 
 Ids are dealt to shards by ranges, so shards in order are one sorted array, and as ids rank hashes every range has as many words.
-Rows are pre-aggregated before each shuffle. Only counts of counts and the list of shards reach the driver.
+Pairs are dealt by ranges of their keys that the words' counts make equally heavy: a range has first words that occur PAIRS times
+in all, and a word that alone occurs more often has several ranges, by its second words. So a shard of pairs stays as small in a
+large corpus, and there are more of them. Rows are pre-aggregated before each shuffle. Only counts of counts and the list of
+shards reach the driver.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from ._store import folder, map_array, put_array, small_batches, trimmed, writte
 
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0x5BD1E9955BD1E995)
+#: Training words whose pairs one shard holds at most.
+PAIRS = 1 << 22
 #: Keys that a task gathers before it sums them.
 GATHER = 1 << 21
 
@@ -110,35 +115,83 @@ def discounts(m: list[int]) -> list[float]:
 
 
 @dataclass
-class Shard:
+class Words:
+    """A range of words: the first id, their number, and the names of their arrays."""
+
     first: int
     size: int
-    words: str = ""
-    pairs: str = ""
-    n_pairs: int = 0
-    pair_type: str = "<u4"
+    name: str = ""
     followers: str = ""
 
 
+@dataclass
+class Pairs:
+    """A range of pairs: its first words, or the one that it shares with other ranges, and the name of its arrays."""
+
+    first: int
+    size: int
+    split: bool = False
+    name: str = ""
+    n: int = 0
+    count_type: str = "<u4"
+
+
 @dataclass
 class Model:
     """What a worker needs to open the arrays."""
 
-    shards: list[Shard]
+    words: list[Words]
     n_words: int
     n_tokens: int
+    n_texts: int
+    pairs: list[Pairs] = field(default_factory=list)
+    #: The first key of each range of pairs.
+    cuts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    #: Of first words whose pairs are split: how many follow once, twice, more often.
+    kinds: dict[int, list[int]] = field(default_factory=dict)
     total_followers: int = 0
     pair_discounts: tuple = (0.5, 1.0, 1.5)
     word_discounts: tuple = (0.5, 1.0, 1.5)
     word_rest: float = 1.0
 
+    def cut_pairs(self, facts: dict[int, dict]) -> None:
+        """Lay out the ranges of pairs from what the words' shards tell."""
+        cuts: list[int] = []
+
+        def add(first: int, size: int, pieces: int) -> None:
+            for j in range(pieces):
+                cuts.append((first << 32) | (j * (self.n_words + 1) // pieces))
+                self.pairs.append(Pairs(first, size, pieces > 1))
+
+        for k, w in enumerate(self.words):
+            for first, size, pieces in facts.get(k, {}).get("ranges", []):
+                add(w.first + first, size, pieces)
+        add(self.n_words, 1, max(1, -(-self.n_texts // PAIRS)))  # what begins texts
+        self.cuts = np.array(cuts, np.uint64)
+
+
+def _ranges(counts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first, size, pieces): places in the array in ranges that count up to PAIRS; one with more alone, in pieces."""
+    out, first = [], 0
+    heavy = np.flatnonzero(counts > PAIRS).tolist()
+    sums = np.concatenate(([0], np.cumsum(counts)))
+    for stop in [*heavy, len(counts)]:
+        while first < stop:
+            last = min(stop, max(first + 1, int(np.searchsorted(sums, sums[first] + PAIRS, "right")) - 1))
+            out.append((first, last - first, 1))
+            first = last
+        if stop < len(counts):
+            out.append((stop, 1, -(-int(counts[stop]) // PAIRS)))
+            first = stop + 1
+    return out
+
 
 class Reader:
     """A model's arrays, mapped when first used."""
 
     def __init__(self, model: Model):
         self.model, self.maps = model, {}
-        self.firsts = np.array([s.first for s in model.shards], np.int64)
+        self.firsts = np.array([s.first for s in model.words], np.int64)
         self.bos, self.end = model.n_words, -1
         found, _ = self.words(np.array([END]))
         self.end = int(found[0])
@@ -149,7 +202,7 @@ class Reader:
         return self.maps[uri]
 
     def shard_of(self, hashes: np.ndarray) -> np.ndarray:
-        return ((hashes >> np.uint64(32)) * np.uint64(len(self.model.shards))) >> np.uint64(32)
+        return ((hashes >> np.uint64(32)) * np.uint64(len(self.model.words))) >> np.uint64(32)
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: not met in training) and counts."""
@@ -159,26 +212,26 @@ class Reader:
         own = keys[fresh]
         ids, counts = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
         shard = self.shard_of(own)
-        edges = np.searchsorted(shard, np.arange(len(self.model.shards) + 1, dtype=np.uint64))
-        for s, a, b in zip(self.model.shards, edges[:-1], edges[1:]):
+        edges = np.searchsorted(shard, np.arange(len(self.model.words) + 1, dtype=np.uint64))
+        for s, a, b in zip(self.model.words, edges[:-1], edges[1:]):
             if a < b and s.size:
-                table = self.array(s.words + ".hash", "<u8")
+                table = self.array(s.name + ".hash", "<u8")
                 at = np.minimum(np.searchsorted(table, own[a:b]), s.size - 1)
                 hit = table[at] == own[a:b]
                 ids[a:b] = np.where(hit, at + s.first, -1)
-                counts[a:b] = np.where(hit, self.array(s.words + ".count", "<u8")[at], 0)
+                counts[a:b] = np.where(hit, self.array(s.name + ".count", "<u8")[at], 0)
         repeat = np.diff(np.append(fresh, len(keys)))
         out_ids, out_counts = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
         out_ids[order], out_counts[order] = np.repeat(ids, repeat), np.repeat(counts, repeat)
         return out_ids, out_counts
 
-    def followers(self, ids: np.ndarray) -> np.ndarray:
-        """For sorted known ids, how many words each follows."""
+    def per_word(self, ids: np.ndarray, uri: Callable[[Words], str], kind: str) -> np.ndarray:
+        """What an array of the words' shards holds for sorted known ids."""
         out = np.zeros(len(ids), np.int64)
         edges = np.searchsorted(ids, np.append(self.firsts, self.model.n_words))
-        for s, a, b in zip(self.model.shards, edges[:-1], edges[1:]):
+        for s, a, b in zip(self.model.words, edges[:-1], edges[1:]):
             if a < b:
-                out[a:b] = self.array(s.followers, "<u4")[ids[a:b] - s.first]
+                out[a:b] = self.array(uri(s), kind)[ids[a:b] - s.first]
         return out
 
     def word_chance(self, ids: np.ndarray) -> np.ndarray:
@@ -187,7 +240,7 @@ class Reader:
         order = np.argsort(ids)
         known = ids[order] >= 0
         n = np.zeros(len(ids), np.int64)
-        n[order[known]] = self.followers(ids[order[known]])
+        n[order[known]] = self.per_word(ids[order[known]], lambda w: w.followers, "<u4")
         own = np.maximum(n - np.array([0, *m.word_discounts])[np.minimum(n, 3)], 0) / max(1, m.total_followers)
         return own + m.word_rest / (m.n_words + 1)
 
@@ -201,20 +254,29 @@ class Reader:
         order = np.argsort(keys)
         keys, some = keys[order], some[order]
         first = (keys >> np.uint64(32)).astype(np.int64)
-        edges = np.searchsorted(first, np.append(self.firsts, m.n_words + 1))
+        # A word is followed as often as it occurs; what begins texts, as often as there are texts.
+        begins = int(np.searchsorted(first, self.bos))
+        total = np.full(len(first), float(m.n_texts))
+        total[:begins] = self.per_word(first[:begins], lambda w: w.name + ".count", "<u8")
         take = np.array([0, *m.pair_discounts])
-        for s, a, b in zip(m.shards, edges[:-1], edges[1:]):
-            if a == b or not s.n_pairs:
-                continue
-            table = self.array(s.pairs + ".key", "<u8")
-            at = np.minimum(np.searchsorted(table, keys[a:b]), s.n_pairs - 1)
-            n = np.where(table[at] == keys[a:b], self.array(s.pairs + ".count", s.pair_type)[at], 0).astype(np.int64)
-            context = first[a:b] - s.first
-            total = self.array(s.pairs + ".total", "<u8")[context].astype(float)
-            kinds = self.array(s.pairs + ".kinds", "<u4").reshape(3, -1)[:, context]
+        shard = np.searchsorted(m.cuts, keys, "right") - 1
+        starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))[: len(shard)])
+        for a, b in zip(starts, np.append(starts[1:], len(shard))):
+            s = m.pairs[shard[a]]
+            n = np.zeros(b - a, np.int64)
+            if s.n:
+                table = self.array(s.name + ".key", "<u8")
+                at = np.minimum(np.searchsorted(table, keys[a:b]), s.n - 1)
+                n = np.where(table[at] == keys[a:b], self.array(s.name + ".count", s.count_type)[at], 0).astype(np.int64)
+            if s.split:
+                kinds = np.array(m.kinds.get(s.first, [0, 0, 0])).reshape(3, 1)
+            elif s.n:
+                kinds = self.array(s.name + ".kinds", "<u4").reshape(3, -1)[:, first[a:b] - s.first]
+            else:
+                kinds = np.zeros((3, 1))
             rest = sum(d * k for d, k in zip(m.pair_discounts, kinds))
-            p = (np.maximum(n - take[np.minimum(n, 3)], 0) + rest * low[some[a:b]]) / np.maximum(total, 1)
-            out[some[a:b]] = np.where(total > 0, p, low[some[a:b]])
+            p = (np.maximum(n - take[np.minimum(n, 3)], 0) + rest * low[some[a:b]]) / np.maximum(total[a:b], 1)
+            out[some[a:b]] = np.where(rest > 0, p, low[some[a:b]])
         return out
 
 
@@ -249,17 +311,20 @@ def train(documents: DataFrame, text: str = "text", shards: int | None = None) -
             name = f"{home}/words-{shard}-{uuid.uuid4().hex}"
             put_array(name + ".hash", tally.keys)
             put_array(name + ".count", tally.counts.astype("<u8"))
-            yield _told(shard, {"name": name, "n": len(tally.keys), "sum": int(tally.counts.sum())})
+            ends = int(tally.counts[tally.keys == END].sum())
+            yield _told(shard, {"name": name, "n": len(tally.keys), "sum": int(tally.counts.sum()), "texts": ends, "ranges": _ranges(tally.counts)})
 
     told = _facts(written(texts.mapInArrow(lambda b: trimmed(count_words(b)), ROWS).repartitionById(count, F.col("shard")).mapInArrow(store_words, TOLD), "lm-words"))
     layout, first = [], 0
     for k in range(count):
         f = told.get(k, {"name": "", "n": 0})
-        layout.append(Shard(first, f["n"], f["name"]))
+        layout.append(Words(first, f["n"], f["name"]))
         first += f["n"]
-    model = Model(layout, first, sum(f["sum"] for f in told.values()))
-    # The mark of a beginning is the last id; its pairs belong to the last shard.
-    firsts = np.array([s.first for s in layout], np.int64)
+    if first >= (1 << 32) - 1:
+        raise ValueError("more distinct words than two 32-bit ids in a key can tell apart")
+    model = Model(layout, first, sum(f["sum"] for f in told.values()), sum(f["texts"] for f in told.values()))
+    model.cut_pairs(told)
+    firsts, cuts = np.array([s.first for s in layout], np.int64), model.cuts
     spark_model = spark.sparkContext.broadcast(model)
 
     def count_pairs(batches):
@@ -271,26 +336,22 @@ def train(documents: DataFrame, text: str = "text", shards: int | None = None) -
                 after = np.insert(ids, marks[1:], reader.end).astype(np.uint64)
                 tally.add((before << np.uint64(32)) | after)
         tally.settle()
-        yield from _rows(np.searchsorted(firsts, (tally.keys >> np.uint64(32)).astype(np.int64), "right") - 1, tally.keys, tally.counts)
+        yield from _rows(np.searchsorted(cuts, tally.keys, "right") - 1, tally.keys, tally.counts)
 
     def store_pairs(batches):
         shard, tally = _gather(batches)
         if shard < 0:
             return
-        own = spark_model.value.shards[shard]
-        # An id's range ends where the next begins; empty ranges at the same place come before the one that has it.
-        size = own.size + (own.first + own.size == spark_model.value.n_words)
+        own = spark_model.value.pairs[shard]
         context = (tally.keys >> np.uint64(32)).astype(np.int64) - own.first
         kind = "<u4" if not len(tally.counts) or tally.counts.max() < 2**32 else "<u8"
         name = f"{home}/pairs-{shard}-{uuid.uuid4().hex}"
         put_array(name + ".key", tally.keys)
         put_array(name + ".count", tally.counts.astype(kind))
-        starts = np.searchsorted(context, np.arange(size + 1))
-        sums = np.concatenate(([0], np.cumsum(tally.counts)))
-        put_array(name + ".total", (sums[starts[1:]] - sums[starts[:-1]]).astype("<u8"))
-        kinds = [np.bincount(context[pick], minlength=size) for pick in (tally.counts == 1, tally.counts == 2, tally.counts > 2)]
-        put_array(name + ".kinds", np.stack(kinds).astype("<u4"))
-        yield _told(shard, {"name": name, "n": len(tally.keys), "type": kind, "m": _of_counts(tally.counts)})
+        kinds = np.stack([np.bincount(context[pick], minlength=own.size) for pick in (tally.counts == 1, tally.counts == 2, tally.counts > 2)])
+        if not own.split:
+            put_array(name + ".kinds", kinds.astype("<u4"))
+        yield _told(shard, {"name": name, "n": len(tally.keys), "type": kind, "m": _of_counts(tally.counts), "kinds": kinds[:, 0].tolist() if own.split else None})
         after = np.sort(tally.keys & np.uint64(0xFFFFFFFF))
         at = np.flatnonzero(np.concatenate(([True], after[1:] != after[:-1])))
         ids, n = after[at], np.diff(np.append(at, len(after)))
@@ -298,16 +359,19 @@ def train(documents: DataFrame, text: str = "text", shards: int | None = None) -
         for b in _rows(target, ids, n):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(len(b), pa.string())], names=["shard", "key", "n", "facts"])
 
-    stored = written(texts.mapInArrow(lambda b: trimmed(count_pairs(b)), ROWS).repartitionById(count, F.col("shard")).mapInArrow(store_pairs, TOLD), "lm-pairs")
+    stored = written(texts.mapInArrow(lambda b: trimmed(count_pairs(b)), ROWS).repartitionById(len(cuts), F.col("shard")).mapInArrow(store_pairs, TOLD), "lm-pairs")
     told = _facts(stored)
     for k, f in told.items():
-        layout[k].pairs, layout[k].n_pairs, layout[k].pair_type = f["name"], f["n"], f["type"]
+        s = model.pairs[k]
+        s.name, s.n, s.count_type = f["name"], f["n"], f["type"]
+        if s.split:
+            model.kinds[s.first] = [x + y for x, y in zip(model.kinds.get(s.first, [0, 0, 0]), f["kinds"])]
 
     def store_followers(batches):
         shard, tally = _gather(batches)
         if shard < 0:
             return
-        own = spark_model.value.shards[shard]
+        own = spark_model.value.words[shard]
         dense = np.zeros(own.size, "<u4")
         dense[tally.keys.astype(np.int64) - own.first] = tally.counts
         name = f"{home}/followers-{shard}-{uuid.uuid4().hex}"

@@ -18,6 +18,9 @@ SYMBOLS = "#*$%&|<>"
 class Rule:
     """A rate, ``count`` over ``units``, and its fence: the quantile at ``level`` of a group's texts, and ``reach`` times its distance to the median beyond it.
 
+    With ``far`` that distance is at least the one of the quantile at ``far`` over ``ratio``, so that a group with one usual value
+    keeps a width; for the normal distribution the two are equal.
+
     Incidental marks are rare in good texts, so a tenth of a group may be junk before it moves the fence of symbols; repetition
     is frequent in good texts, so its fence lies beyond the last hundredth.
     """
@@ -28,13 +31,15 @@ class Rule:
     level: float
     reach: float
     both_sides: bool = False
+    far: float | None = None
+    ratio: float = 1.0
 
 
 RULES = (
     Rule("symbol_rate", "n_symbols", "n_words", 0.9, 0.0),
     Rule("dup_line_rate", "n_dup_lines", "n_lines", 0.99, 0.5),
     Rule("repeat_rate", "n_repeat_words", "n_words", 0.99, 0.5),
-    Rule("word_length", "word_chars", "n_words", 0.75, 2.0, both_sides=True),
+    Rule("word_length", "word_chars", "n_words", 0.75, 2.0, both_sides=True, far=0.95, ratio=2.44),
 )
 #: A group's quantiles are mixed with its language's, and those with the corpus's, as if so many texts came from there.
 PRIOR_TEXTS = 50.0
@@ -120,14 +125,18 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
 
 
+QUANTILES = ("mid", "hi", "lo", "far_hi", "far_lo")
+
+
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, rule, n, mid, hi, lo): the median, and the quantiles at a rule's level and opposite to it."""
+    """(*keys, rule, n, mid, hi, lo, far_hi, far_lo): the median, and the quantiles at a rule's two levels and opposite to them."""
     by = Window.partitionBy(*keys, "rule")
     value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * (2 / (GAMMA + 1)))
-    level = F.element_at(F.create_map(*(F.lit(x) for r in RULES for x in (r.name, r.level))), F.col("rule"))
-    rows = sketch.withColumn("seen", F.sum("n").over(by.orderBy("bucket"))).withColumn("all", F.sum("n").over(by)).withColumn("level", level).withColumn("value", value)
+    of_rule = lambda get: F.element_at(F.create_map(*(F.lit(x) for r in RULES for x in (r.name, get(r)))), F.col("rule"))
+    rows = sketch.withColumn("seen", F.sum("n").over(by.orderBy("bucket"))).withColumn("all", F.sum("n").over(by)).withColumn("value", value)
+    rows = rows.withColumn("level", of_rule(lambda r: r.level)).withColumn("far", of_rule(lambda r: r.far or r.level))
     at = lambda p: F.min(F.when(F.col("seen") >= F.greatest(F.lit(1), F.ceil(p * F.col("all") - 1e-9)), F.col("value")))
-    return rows.groupBy(*keys, "rule").agg(F.max("all").alias("n"), at(F.lit(0.5)).alias("mid"), at(F.col("level")).alias("hi"), at(1 - F.col("level")).alias("lo"))
+    return rows.groupBy(*keys, "rule").agg(F.max("all").alias("n"), at(F.lit(0.5)).alias("mid"), *(at(c).alias(n) for n, c in zip(QUANTILES[1:], (F.col("level"), 1 - F.col("level"), F.col("far"), 1 - F.col("far")))))
 
 
 def thresholds(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -137,16 +146,16 @@ def thresholds(rows: DataFrame, lang: str = "lang", source: str = "source") -> D
     """
     keys = ["lang", "source"]
     own = written(sketches(rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), "m"), keys), "quality-sketches")
-    names = ["mid", "hi", "lo"]
     renamed = lambda df, mark: df.select(*(F.col(c).alias(f"{mark}_{c}") for c in df.columns))
     total, by_lang = (merged(own, k) for k in ([], ["lang"]))
     total, by_lang = renamed(quantiles(total, []), "a"), renamed(quantiles(by_lang, ["lang"]), "l")
     mixed = lambda n, x, y: (n * x + PRIOR_TEXTS * y) / (n + PRIOR_TEXTS)
     rows = quantiles(own, keys).join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rule") == F.col("l_rule"))).join(total, F.col("rule") == F.col("a_rule"))
-    rows = rows.select("lang", "source", "rule", "n", *(mixed(F.col("n"), F.col(c), mixed(F.col("l_n"), F.col(f"l_{c}"), F.col(f"a_{c}"))).alias(c) for c in names))
+    rows = rows.select("lang", "source", "rule", "n", *(mixed(F.col("n"), F.col(c), mixed(F.col("l_n"), F.col(f"l_{c}"), F.col(f"a_{c}"))).alias(c) for c in QUANTILES))
     out = []
     for r in RULES:
-        hi, lo = F.col("hi") + r.reach * (F.col("hi") - F.col("mid")), F.col("lo") - r.reach * (F.col("mid") - F.col("lo"))
+        up, down = (F.greatest(sign * (F.col(q) - F.col("mid")), sign * (F.col(f"far_{q}") - F.col("mid")) / r.ratio) for q, sign in (("hi", 1), ("lo", -1)))
+        hi, lo = F.col("hi") + r.reach * up, F.col("lo") - r.reach * down
         out.append(F.max(F.when(F.col("rule") == r.name, hi)).alias(f"hi_{r.name}"))
         out.append(F.max(F.when((F.col("rule") == r.name) & F.lit(r.both_sides), lo)).alias(f"lo_{r.name}"))
     return rows.groupBy(*keys).agg(F.max("n").alias("n"), *out)
