@@ -433,3 +433,235 @@ def test_pipeline(spark, case):
     got = pipeline.run(spark, d).select("doc_id", "n_tokens").collect()
     assert {r.doc_id for r in got} == kept - leaks
     assert isinstance(pd.DataFrame(got), pd.DataFrame) and all(r.n_tokens > 0 for r in got)
+
+
+def plain_fences(rows):
+    """(lang, source) -> rule -> (low, high), from sorted lists of bucket numbers instead of sketches."""
+    width, values = math.log(quality.GAMMA), collections.defaultdict(list)
+    for lang, source, m in rows:
+        for r in quality.RULES:
+            if m[r.units]:
+                x = m[r.count] / m[r.units]
+                for key in ((lang, source), lang, None) if lang is not None else ((lang, source), "no lang", None):
+                    values[key, r.name].append(math.ceil(math.log(x) / width) if x > 0 else quality.ZERO)
+    out = collections.defaultdict(dict)
+
+    def known(key, r):
+        got = sorted(values[key, r.name])
+        at = lambda p: got[max(1, math.ceil(p * len(got) - 1e-9)) - 1]
+        value = lambda b: 0.0 if b == quality.ZERO else quality.GAMMA**b * 2 / (quality.GAMMA + 1)
+        far = r.far or r.level
+        return len(got), [value(at(p)) for p in (0.5, r.level, 1 - r.level, far, 1 - far)]
+
+    mix = lambda n, x, y: [(n * a + quality.PRIOR_TEXTS * b) / (n + quality.PRIOR_TEXTS) for a, b in zip(x, y)]
+    for lang, source in {(a, b) for a, b, _ in rows}:
+        for r in quality.RULES:
+            if not values[(lang, source), r.name]:
+                continue
+            (n, own), (k, language), (_, everything) = (known(key, r) for key in ((lang, source), "no lang" if lang is None else lang, None))
+            mid, hi, lo, far_hi, far_lo = mix(n, own, mix(k, language, everything))
+            high = hi + r.reach * max(hi - mid, (far_hi - mid) / r.ratio)
+            low = lo - r.reach * max(mid - lo, (mid - far_lo) / r.ratio) if r.both_sides else None
+            out[lang, source][r.name] = low, high
+    return out
+
+
+def plain_kept(rows):
+    fences, out = plain_fences([(a, b, m) for a, b, m, failed in rows if not failed]), []
+    for lang, source, m, failed in rows:
+        good = not failed
+        for r in quality.RULES:
+            if good and m[r.units] and r.name in fences[lang, source]:
+                low, high = fences[lang, source][r.name]
+                k, n = m[r.count], m[r.units]
+                good = not (k - high * n > quality.DEVIATIONS * math.sqrt(max(high, 0) * n + 1)) and not (low is not None and low * n - k > quality.DEVIATIONS * math.sqrt(max(low, 0) * n + 1))
+        out.append(good)
+    return out
+
+
+def test_quality_equals_plain_fences(spark, case, sf_dir):
+    for d in (case[0], sf_dir):
+        df = quality.judge(spark.read.parquet(f"{d}/documents.parquet"))
+        rows = df.orderBy("doc_id").select("lang", "source", "m", "base_failed", "kept").collect()
+        assert [r.kept for r in rows] == plain_kept([(r.lang, r.source, r.m.asDict(), r.base_failed) for r in rows])
+
+
+def test_quality_bounds_differ_by_group_and_reruns_agree(spark):
+    rng, rows = random.Random(3), []
+    for i in range(3000):
+        source = "abc"[i % 3]
+        word = "w" * {"a": 3, "b": 6, "c": 6}[source]
+        marks = " ### " * (rng.randrange(12) if source == "c" else 0)
+        rows.append((i, " ".join(f"{word}{rng.randrange(900)}" for _ in range(rng.randint(60, 120))) + marks, "en", source, 0))
+    rows += [(5000 + i, " ".join(f"{'w' * 3}{rng.randrange(900)}" for _ in range(80)) + " ### " * 9, "en", s, 0) for i, s in enumerate("abc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rated = df.select("lang", "source", quality.measure(F.col("text")).alias("m"))
+    bounds = {r.source: r for r in quality.thresholds(rated).collect()}
+    assert bounds["c"].hi_symbol_rate > 0.1 and bounds["a"].hi_symbol_rate < 0.05 and bounds["b"].lo_word_length > bounds["a"].hi_word_length
+    one, two = (collected(quality.judge(x)) for x in (df, df.repartition(7)))
+    assert {i: r.kept for i, r in one.items()} == {i: r.kept for i, r in two.items()}
+    assert not one[5000].kept and not one[5001].kept and sum(r.kept for r in one.values()) > 2900
+
+
+def test_warc_repeated_rows_and_extra_columns(spark, tmp_path):
+    rows = [(1, "u", "<p>"), (1, "u", "<p>"), (None, "a", "<p>"), (None, "b", "<p>"), (3, "c", "<p>"), (2, "d", "x"), (None, "e", "y"), (None, "e", "y"), (4, "z", None), (4, "z", "")]
+    want = [(1, "response", None), (1, "response", None), (None, "revisit", 1), (None, "revisit", 1), (3, "revisit", 1), (2, "response", None), (None, "response", None), (None, "response", None), (4, "response", None), (4, "response", None)]
+    for k, (given, told) in enumerate(((rows, want), ([], []))):
+        df = spark.createDataFrame(given, "page_id long, url string, html string").withColumn("payload", F.lit("x")).withColumn("digest", F.lit(1)).withColumn("row", F.lit(2))
+        df.write.parquet(f"{tmp_path}/{k}/pages.parquet")
+        got = [(r.page_id, r.record_type, r.refers_to) for r in warc.op3_warc(spark, f"{tmp_path}/{k}").collect()]
+        assert sorted(got, key=str) == sorted(told, key=str)
+
+
+def test_secrets_in_texts_of_many_hits(spark):
+    import time
+
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("0123456789abcdef", k=32)) for _ in range(50_000))
+    model = secrets.train(secrets.sample_strings(spark))
+    df = spark.createDataFrame([(text,)], "text string").withColumn("s", secrets.spans(F.col("text"), model))
+    df.limit(0).collect()
+    began = time.time()
+    r = df.select(F.size("s").alias("n"), F.element_at("s", -1).alias("z"), F.length(secrets.masked(F.col("text"), F.col("s"))).alias("m")).first()
+    assert (r.n, r.z.start, r.z.end, r.m) == (50_000, len(text) - 32, len(text), 50_000 * 9 - 1)
+    assert time.time() - began < 60
+
+
+def test_secret_spans_overlap_and_bytes(spark):
+    model = secrets.train(secrets.sample_strings(spark))
+    rng = random.Random(4)
+    mixed = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    pieces = ["0123456789abcdef" * 2, "é 😀", "token=" + mixed(12), mixed(36), "some_plain_identifier_name", "AKIA" + "B" * 14, "secret: " + "0a" * 17]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", " ", "", "\n"]) for _ in range(rng.randint(1, 12))) for _ in range(80)] + [" ".join(rng.choice(pieces) for _ in range(700))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("s", secrets.spans(F.col("text"), model))
+    found = 0
+    for r in df.withColumn("m", secrets.masked(F.col("text"), F.col("s"))).collect():
+        base = [(x.kind, x.start, x.end) for x in r.s if x.kind != "markov"]
+        assert base == base_spans(r.text)
+        out, at = "", 0
+        for x in r.s:
+            assert r.text.encode()[x.first : x.last].decode() == r.text[x.start : x.end]
+            assert x.kind != "markov" or not any(a < x.end and x.start < b for _, a, b in base)
+            out += r.text[at : x.start] + "[SECRET]" if x.start >= at else ""
+            at = max(at, x.end)
+            found += x.kind == "markov"
+        assert r.m == out + r.text[at:]
+    assert found > 50
+
+
+def test_markov_spans_of_documents(spark, sf_dir):
+    """Ordinary documents hold next to no such spans; planted random strings, with digits and without, are found."""
+    model = secrets.train(secrets.sample_strings(spark))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    count = lambda df: df.select(F.sum(F.size(F.filter(secrets.spans(F.col("text"), model), lambda x: x["kind"] == "markov")))).first()[0]
+    assert count(docs) <= 0.002 * docs.count()
+    rng = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    planted = [("a text with " + "".join(rng.choices(alphabet + "0123456789" * (k % 2), k=40)) + " in it",) for k in range(200)]
+    assert count(spark.createDataFrame(planted, "text string")) >= 195
+
+
+def test_decontamination_recall(spark):
+    """Edited copies of items within longer texts, against a brute-force search, by similarity; and items of few words."""
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = [say(rng.choice([20, 40, 60])) for _ in range(60)] + [["short", "one"], ["just", "four", "words", "here"]]
+    docs, want = [], {}
+    for w in items[:60]:
+        for _ in range(12):
+            x = list(w)
+            for _ in range(rng.randint(0, 2 if len(w) < 60 else 3)):
+                x[rng.choice([0, 1, len(x) - 1, len(x) - 2, rng.randrange(len(x))])] = f"e{rng.randrange(10**6)}"
+            docs.append(say(30) + x + say(20))
+    docs += [[*say(3), "Short", "one", *say(2)], ["just", "four", "words", "here"], ["just", "four", "words"]]
+    lists = [[tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in items]
+    for j, x in enumerate(docs):
+        x = [y.lower() for y in x]
+        g = [tuple(x[k : k + 5]) for k in range(len(x) - 4)]
+        for i, w in enumerate(items):
+            if len(w) < 5 and any(x[k : k + len(w)] == w for k in range(len(x))):
+                want[j, i] = 1.0
+            elif set(lists[i]) & set(g):
+                best, a = 0.0, collections.Counter(lists[i])
+                for p in range(max(1, len(g) - len(lists[i]) + 1)):
+                    b = collections.Counter(g[p : p + len(lists[i])])
+                    both = sum((a & b).values())
+                    best = max(best, both / (len(lists[i]) + sum(b.values()) - both))
+                if best >= 0.8:
+                    want[j, i] = round(best, 6)
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], f"{name} long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == want
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        assert sum(low <= v < high for v in want.values()) > 30
+
+
+def test_html_of_deep_and_long_pages():
+    import time
+
+    weights = html_text.train()
+    alternating = "<p>This is a long line of text, which goes on and on.</p><p><a href=/x>Link here</a></p>" * 11_500
+    for page in ("<div>x" * 170_000, alternating, "<span>" * 100_000 + "</i>" * 100_000, "<div>" * 50_000 + "</section>x" * 50_000):
+        began = time.time()
+        assert isinstance(html_text.main_text(page, weights), str)
+        assert time.time() - began < 10
+
+
+def test_cut_is_the_smallest_of_least_cuts():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        n = int(rng.integers(1, 9))
+        a, b = rng.integers(0, 6, n).astype(float), rng.integers(0, 6, n).astype(float)
+        links = [(i, j, float(rng.integers(0, 4))) for i in range(n) for j in range(i) if rng.random() < 0.5]
+        cost = lambda lab: (sum(b[i] if x else a[i] for i, x in enumerate(lab)) + sum(c for i, j, c in links if lab[i] != lab[j]), sum(lab))  # noqa: B023, E731
+        assert cost(html_text.cut(a, b, links)) == min(map(cost, itertools.product([True, False], repeat=n)))
+
+
+def test_chat_order_of_equal_and_missing_turns(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    rng = random.Random(3)
+    rows = [(100, None, rng.choice(["user", "assistant", "tool"]), f"x{i}", 1) for i in range(40)] + [(100, -5, "user", "z", 1), (None, 1, "user", "q", 1), (None, 1, "user", "q", 1)]
+    rows += [(101, 4, rng.choice(["user", "assistant", None]), f"x{i}", 1) for i in range(40)] + [(101, t, "user", "y", 1) for t in (3, 5, 6, -1)]
+    out = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seg int")).orderBy("block", "seg", "part", "place").collect()
+    ties = {(r.role, r.text): r.h for r in spark.createDataFrame(list({(r[2], r[3]) for r in rows}), "role string, text string").select("role", "text", F.xxhash64("role", "text").alias("h")).collect()}
+    for conv in (100, 101, None):
+        given = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, ties[r[2], r[3]]))
+        got = [r for r in out if r.conv_id == conv]
+        assert [(r.turn, r.role) for r in got] == [(r[1], r[2]) for r in given]
+        shown = re.findall(r"<\|im_start\|>(\w+)\n", "".join(r.rendered for r in got))
+        assert all(b in chat.LEGAL[a] for a, b in zip(["start", *shown], shown)) and shown[-1] == "assistant"
+        states, cost = ["start"], 0.0
+        for r in got:  # the told roles and actions cost what is told
+            ways = chat.INSERT * len(r.before) + chat.relabel({"human": "user"}.get(r.role, r.role), r.new_role)
+            cost += (chat.MERGE + chat.relabel(r.role, r.new_role) if r.action == "merge" else ways) + chat.INSERT * len(r.after)
+            states.append(r.new_role)
+        assert cost == pytest.approx(sum(r.cost for r in got))
+
+
+def test_toxicity_without_words_keeps_its_prior_low():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    plain = lambda: rng.integers(10_000, 20_000, 30).astype(np.uint64)
+    toxic = [np.unique(np.append(plain(), np.uint64(1 + k % 5))) for k in range(400)]
+    found = toxicity.fit([(True, x) for x in toxic] + [(False, np.unique(plain())) for _ in range(3600)] + [(False, x) for x in toxic[:200]], 0.7)
+    assert {1, 2, 3, 4, 5} <= set(found.words.tolist()) and np.isfinite(found.bias)
+    calm = toxicity.fit([(True, x) for x in toxic] + [(False, np.unique(plain())) for _ in range(3600)] + [(False, x) for x in toxic[:200]], 0.05)
+    told = calm.weights[np.isin(calm.words, np.arange(1, 6, dtype=np.uint64))]
+    assert calm.bias < 0 < calm.bias + told.min()
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f g h i j", "en", "s", 5, "x")] * 3 + [(2, "k l m n o p q r s t", None, None, 5, "x"), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long, hashes string").withColumn("key", F.lit(1)).withColumn("m", F.lit(2))
+    items = spark.createDataFrame([(1, "a b c d e f g h i j", 3, 4), (1, "a b c d e f g h i j", 3, 4)], "item_id long, text string, doc_id long, size long")
+    assert [(r.doc_id, r.item_id, r.similarity) for r in decontam.leaks(docs, items).collect()] == [(1, 1, 1.0)]
+    labels = spark.createDataFrame([(1, 1, "t"), (1, 1, "t"), (2, 0, "t")], "doc_id long, toxic int, text string")
+    assert toxicity.rate(docs, toxicity.train(docs, labels)).count() == 5
+    assert quality.judge(docs).count() == lm.score(docs, lm.train(docs)).count() == 5
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", "t")] * 2 + [(None, None, None, None)], "page_id long, url string, html string, text string")
+    assert html_text.extract(pages).count() == 3
