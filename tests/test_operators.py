@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tickweave.functions.columns import DAY
@@ -11,6 +12,7 @@ from tickweave.sources import files, messages, sinks
 
 def lines(spark, *rows):
     return spark.createDataFrame([(r,) for r in rows], "value string")
+from tickweave.operators.steps import Engine, EngineParams
 
 
 def test_messages(spark):
@@ -119,3 +121,121 @@ def test_resamples(spark):
     assert len({tuple(sorted(x.items())) for x in reps.values()}) > 200
     alike = sum(x.get(12, 0) == x.get(16, 0) for x in reps.values())
     assert alike < 250
+
+
+def test_streams_of_several_batches(spark, tmp_path):
+    """State is carried from batch to batch and over a restart; history seeds it; the clock finishes idle symbols."""
+    from tickweave.streaming import aggregator as S
+
+    schema = "symbol string, t long, price double, qty double, id string, seq long"
+    rng = np.random.default_rng(4)
+    ticks = [(s, int(t), float(100 + rng.normal()), 1.0, f"{s}{k}", k) for s in ("a", "b") for k, t in enumerate(np.sort(rng.integers(0, 40 * 60_000, 300)))]
+    key, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, kind)
+    try:
+        def put(part, n):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{n}")
+
+        def run(make, out):
+            raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+            return S.drained(make(raw), f"{tmp_path}/{out}")
+
+        bars = lambda raw: S.stream_bars(raw, 60_000)
+        scores = lambda raw: S.stream_scores(raw.select("symbol", F.col("seq").alias("t"), F.col("price").alias("close"), F.col("qty").alias("volume")), detectors=("volume_spike", "robust_z"), ecdf_least=20, least=20)
+        for n in range(3):
+            put([r for r in ticks if r[5] // 100 == n], n)
+            if n == 1:  # two batches, then a restart for the third
+                run(bars, "bars"), run(scores, "scores")
+        made, scored = run(bars, "bars"), run(scores, "scores")
+        assert scored.count() == len(ticks)
+        for s in ("a", "b"):
+            whole = S.Aggregator(60_000)
+            want = [b for r in ticks if r[0] == s for b in whole.push(r[1], r[2], r[3], r[4])]
+            got = made.where(F.col("symbol") == s).orderBy("t").collect()
+            assert [(r.t, r.close, r.volume) for r in got] == [(b["t"], b["close"], b["volume"]) for b in want]
+            engine = Engine(EngineParams(detectors=("volume_spike", "robust_z"), ecdf_least=20, least=20))
+            told = [engine.update({"t": r[5], "close": r[2], "volume": r[3]}) for r in ticks if r[0] == s]
+            assert [(r.t, r.score, r.alert) for r in scored.where(F.col("symbol") == s).orderBy("t").collect()] == [(x["t"], x["score"], x["alert"]) for x in told]
+        history = spark.createDataFrame([("a", 20 * 60_000, 99.0)], "symbol string, t long, close double")
+        seeded = run(lambda raw: S.stream_bars(raw, 60_000, history=history), "seeded")
+        assert seeded.where("symbol = 'a'").agg(F.min("t")).first()[0] == 21 * 60_000 and seeded.where("symbol = 'b'").agg(F.min("t")).first()[0] < 5 * 60_000
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_an_idle_symbol_is_finished_by_the_clock(spark, tmp_path):
+    import time
+
+    from tickweave.streaming import aggregator as S
+
+    schema = "symbol string, t long, price double, qty double, id string, seq long"
+    key, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, kind)
+    try:
+        now = int(time.time() * 1000)
+        start = (now - 120_000) // 1000 * 1000
+        spark.createDataFrame([("a", start, 10.0, 1.0, "1", 1), ("a", start + 1500, 11.0, 1.0, "2", 2)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+        raw = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        running = S.pumped(S.stream_bars(raw, 1_000, grace=2_000, most_fill=1_000, idle=200), f"{tmp_path}/out", "200 milliseconds")
+        try:
+            end, got = time.time() + 60, []
+            while time.time() < end and len(got) < 50:
+                time.sleep(1)
+                if any(p.suffix == ".parquet" for p in (tmp_path / "out/rows").glob("*.parquet")):
+                    got = spark.read.schema(S.BARS).parquet(f"{tmp_path}/out/rows").orderBy("t").collect()
+            assert running.exception() is None
+            assert [(r.t, r.close, r.volume) for r in got[:3]] == [(start, 10.0, 1.0), (start + 1000, 11.0, 1.0), (start + 2000, 11.0, 0.0)]
+        finally:
+            running.stop()
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_weights_and_score_series(spark):
+    from tickweave.operators import engine as E
+    from tickweave.sources.simulated import simulated
+
+    bars = simulated(spark, [1, 2], 500)
+    w = E.weight_series(bars, every=50)
+    assert w.count() == 20 and all(len(r.w) == len(r.names) == 6 and min(r.w) >= 0 for r in w.collect())
+    scored = E.score_series(bars, ["zscore_fixed"])
+    assert scored.groupBy("symbol").agg(F.min("idx").alias("lo"), F.count(F.lit(1)).alias("n")).select("lo", "n").distinct().collect() == [(310, 190)]
+
+
+def test_monthly_archives(spark, tmp_path):
+    import zipfile
+    from datetime import date
+
+    from tickweave.sources import files
+
+    for m in (1, 3):
+        with zipfile.ZipFile(tmp_path / f"AB-1d-2024-{m:02d}.zip", "w") as z:
+            z.writestr("x.csv", f"open_time,open,high,low,close,volume\n{1704067200000 + m * 86400000},1,2,0.5,1,9\n")
+    lines, missing = files.kline_months(spark, str(tmp_path), "AB", date(2024, 1, 1), date(2024, 3, 31))
+    assert missing == [(2024, 2)] and files.daily_klines(lines).count() == 2
+
+
+def test_configuration_document(spark):
+    from tickweave.sources import files
+
+    text = '{"seed": 3, "budgets": [1.0, 2.0]}'
+    row = files.config(spark.createDataFrame([(text,)], "value string"), "seed int, budgets array<double>").first()
+    import hashlib
+
+    assert row.config.budgets == [1.0, 2.0] and row.sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_summary_and_fan_out(spark, tmp_path):
+    from tickweave.sources import sinks
+
+    rows = spark.createDataFrame([("bar", 1), ("alert", 2), ("bar", 3)], "kind string, x int")
+    sinks.fan_out(["bar", "alert"], str(tmp_path / "m"))(rows, 0)
+    sinks.fan_out(["bar", "alert"], str(tmp_path / "m"))(rows, 0)
+    assert spark.read.parquet(str(tmp_path / "m/bar")).count() == 2
+    sinks.write_summary(rows, {"a": 1}, str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).where("config = '{\"a\": 1}'").count() == 3
+    sent = []
+    sinks.notify(sent.append)(spark.createDataFrame([("hi",)], "message string"), 0)
+    assert sent == ["hi"]

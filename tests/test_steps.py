@@ -10,11 +10,13 @@ import pytest
 from tickweave.functions import stats
 from tickweave.functions.rng import Uniform32
 from tickweave.operators import alerts
-from tickweave.operators.steps import Baseline, Bocpd, Cusum, Engine, EngineParams, Ensemble, Policy, RobustZ, VolatilityRatio, VolumeSpike, Window
+from tickweave.operators.steps import Alignment, Baseline, Bocpd, Cusum, Engine, EngineParams, Ensemble, Policies, Policy, RobustZ, VolatilityRatio, VolumeSpike, Window
 from tickweave.sources.files import days, download, first_entry, months
 from tickweave.sources.simulated import simulate
 from tickweave.sources.socket import Reconnect
-from tickweave.streaming.aggregator import Aggregator, BoundedQueue
+from tickweave.sources.sinks import replay_report, study_report, subset_report
+from tickweave.sources.subscriptions import subscriptions
+from tickweave.streaming.aggregator import Aggregator, BoundedQueue, metrics
 
 M = 60_000
 
@@ -47,7 +49,7 @@ def test_gaps():
     made = push(a, [(1000, 10, 1), (62500, 12, 1), (4 * M + 5000, 14, 1)])
     assert [b["t"] for b in made] == [0, M, 2 * M, 3 * M] and [(b["volume"], b["close"]) for b in made[2:]] == [(0, 12)] * 2 and a.counts["filled"] == 2
     a = Aggregator(most_fill=2)
-    assert [b["t"] for b in push(a, [(1000, 10, 1), (10 * M + 5000, 14, 1)])] == [0] and a.counts["skipped"] > 0
+    assert [b["t"] for b in push(a, [(1000, 10, 1), (10 * M + 5000, 14, 1)])] == [0] and a.counts["skipped"] == 1
 
 
 def test_idle_seed_book_and_state():
@@ -219,3 +221,96 @@ def test_zip_and_download(tmp_path):
     from datetime import date
 
     assert months(date(2024, 11, 1), date(2025, 1, 1)) == [(2024, 11), (2024, 12), (2025, 1)] and len(days(date(2024, 1, 1), date(2024, 1, 3))) == 3
+
+
+def test_a_clock_ahead_is_not_kept():
+    a = Aggregator()
+    push(a, [(1000, 10, 1), (62500, 12, 1)])
+    a.advance(3 * M + 2001)
+    assert a.seen == 62500
+    assert push(a, [(3 * M + 10, 13, 1)]) == [] and a.counts["late"] == 0
+
+
+def test_change_points_begin_after_the_warm_up():
+    part, rng = Bocpd(), np.random.default_rng(1)
+    out = [part.update({}, x) for x in rng.normal(0, 0.001, 400)]
+    assert out[:99] == [None] * 99 and out[99:103] == pytest.approx([1.0] * 4) and out[110] < 1
+    assert len(part.log) == 151
+
+
+def test_student_density_sums_to_one():
+    grid = np.linspace(-60, 60, 20001)
+    assert np.exp([stats.student_t_log_pdf(x, 0.5, 2.0, 3.0, 1.5) for x in grid]).sum() * (grid[1] - grid[0]) == pytest.approx(1, abs=1e-3)
+    assert stats.student_t_log_pdf(0.0, 0.0, 1.0, 1.0, 1.0) == pytest.approx(math.lgamma(1.5) - 0.5 * math.log(4 * math.pi))
+
+
+def test_a_flat_series_teaches_nothing_but_calm():
+    engine, told = Engine(EngineParams(learn=True, ecdf_least=20, least=20, detectors=("volume_spike",))), []
+    engine.ensemble.learn = lambda x, y: told.append(y)
+    for i in range(400):
+        engine.update({"t": i * M, "close": 100.0, "volume": float(i % 7)})
+    assert told and set(told) == {0.0}
+
+
+def test_budgets_of_one_window():
+    rng = np.random.default_rng(5)
+    values = rng.random(4000)
+    apart, shared = [Policy(b, 60) for b in (2, 6, 12, 24)], Policies([2, 6, 12, 24], 60)
+    assert all([p.update(v) for p in apart] == shared.update(v) for v in values)
+
+
+def test_own_detectors():
+    class Move:
+        def update(self, bar, ret):
+            return abs(ret)
+
+    run = Engine(EngineParams(detectors=("move",), custom={"move": Move}, ecdf_least=20))
+    rng = np.random.default_rng(2)
+    out = [run.update({"t": i * M, "close": 100 * math.exp(rng.normal(0, 0.01)), "volume": 1.0}) for i in range(60)]
+    assert not out[10]["ready"] and out[50]["ready"] and [x["name"] for x in out[50]["detectors"]] == ["move"]
+    assert run.weights()["names"] == ["move"]
+
+
+def test_alignment_forgets_times_that_lag():
+    a = Alignment(["x", "y"], M, every=2)
+    assert a.push("x", 0, 1) is None and a.push("z", 0, 1) is None
+    assert a.push("y", 0, 2) == ({"x": 1, "y": 2}, False)
+    assert a.push("x", M, 3) is None and a.push("x", 7 * M, 4) is None  # M is more than five bars behind
+    assert a.push("y", M, 5) is None
+    assert a.push("y", 7 * M, 6) == ({"x": 4, "y": 6}, True)
+
+
+def test_simulated_events():
+    calm, busy = (simulate(400, 3, e)[0] for e in ([], [{"type": "vol", "at": 100, "len": 50, "mag": 4.0}]))
+    assert [b["close"] for b in calm[:100]] == [b["close"] for b in busy[:100]]
+    move = lambda bars, a, z: np.std(np.diff(np.log([b["close"] for b in bars[a:z]])))
+    assert move(busy, 100, 150) == pytest.approx(4 * move(calm, 100, 150), rel=0.15)
+    _, spans = simulate(20, 3, [{"type": "drift", "at": 5, "len": 3, "mag": 2.0}])
+    assert (spans[0]["start"], spans[0]["end"], spans[0]["onset"]) == (5 * M, 8 * M, 5 * M)
+    up = simulate(20, 3, [{"type": "jump", "at": 5, "len": 2, "mag": 40.0}], with_book=True)[0]
+    flat = simulate(20, 3, [], with_book=True)[0]
+    assert up[5]["obi"] == pytest.approx(flat[5]["obi"] + 0.4) and math.log(up[5]["close"] / flat[5]["close"]) == pytest.approx(0.02)
+
+
+def test_subscriptions():
+    found = subscriptions(["binance:BTCUSDT", "coinbase:BTC-USD", "binance:ETHUSDT", "odd"], host="us")
+    assert found[0]["url"].endswith("/stream?streams=btcusdt@trade/btcusdt@depth10@100ms/ethusdt@trade/ethusdt@depth10@100ms") and ".us:" in found[0]["url"] and found[0]["send"] == []
+    import json
+
+    assert json.loads(found[1]["send"][0]) == {"type": "subscribe", "product_ids": ["BTC-USD"], "channels": ["matches"]}
+    assert subscriptions([]) == []
+
+
+def test_reports():
+    row = {"method": "a", "verdict": "higher", "recall": 0.5, "recall_lo": 0.4, "recall_hi": None, "chance": 0.2, "skill": 0.3, "target": 3.0, "subset": "all", "diff": 0.1, "diff_lo": 0.05, "diff_hi": 0.2}
+    text = study_report([row], [{"event": "e", "onset": "2024-01-01"}], [{"event": "f", "reason": "no data"}], "0123456789abcdef")
+    assert "0.50 [0.40, n/a]" in text and "no data" in text and "0123456789ab`" in text
+    assert "0.10 [0.05, 0.20] (higher)" in subset_report([row], {"selected": 2}, "0" * 64)
+    assert "| a |" in replay_report([{"method": "a", "alerts": 1}])
+
+
+def test_live_metrics():
+    q = BoundedQueue(1)
+    q.push(1), q.push(2)
+    m = metrics({"processedRowsPerSecond": 9.6, "numInputRows": 4}, {"late": 2, "skipped": 1}, q, 7, 12.4, [5.0, 1.0, 3.0])
+    assert (m["rows_per_second"], m["queued"], m["dropped"], m["p50_us"], m["p95_us"], m["late"], m["lag_ms"], m["bars"]) == (10, 1, 1, 3, 5, 2, 12, 7)

@@ -13,9 +13,25 @@ def epoch_ms(ts: Column | str) -> Column:
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts) if isinstance(ts, str) else ts)
 
 
+#: Plain decimal numbers, with an exponent or without.
+DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def number(text: Column) -> Column:
+    """The finite number that a text of plain decimal form stands for; null for any other text."""
+    value = F.when(text.cast("string").rlike(DECIMAL), text.cast("string").try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)
+
+
+def whole(x: Column) -> Column:
+    """A double without its fraction as a long; null beyond the longs."""
+    return F.when(F.abs(x) < 9.2e18, x).try_cast("long")
+
+
 def normal_ms(t: Column) -> Column:
-    """Milliseconds from a time that may be in microseconds."""
-    return F.when(t > 1e14, F.floor(t / 1000)).otherwise(t).cast("long")
+    """Milliseconds from a time that may be in microseconds; null beyond the longs."""
+    kept = F.when(F.abs(t) < 9.2e18, t)
+    return F.when(kept > 1e14, F.floor(kept / 1000)).otherwise(kept).try_cast("long")
 
 
 def bucket(t: Column, width: int) -> Column:
@@ -48,7 +64,3 @@ def guarded_corr(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sx
 def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
-
-def half_up(x: Column, digits: int) -> Column:
-    """Half-up rounding of doubles for outputs."""
-    return F.round(x, digits)

@@ -59,6 +59,12 @@ def chance_recall(windows: Sequence[tuple[int, int, int]], per_day: float, coold
     return {"mean": sum(out) / len(out), "lo": percentile(out, 0.025), "hi": percentile(out, 0.975)}
 
 
+def student_t_log_pdf(x: float, mu: float, kappa: float, alpha: float, beta: float) -> float:
+    """Log density of the posterior predictive of a normal-gamma model."""
+    freedom, scale = 2 * alpha, beta * (kappa + 1) / (alpha * kappa)
+    return math.lgamma(alpha + 0.5) - math.lgamma(alpha) - 0.5 * math.log(freedom * math.pi * scale) - (alpha + 0.5) * math.log1p((x - mu) ** 2 / (freedom * scale))
+
+
 def recall_at(points: Sequence[tuple[float, float]], rate: float) -> float:
     """Recall at a rate by linear interpolation between the points around it; NaN outside them or for under two points."""
     known = sorted(p for p in points if not (math.isnan(p[0]) or math.isnan(p[1])))

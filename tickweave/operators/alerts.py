@@ -24,8 +24,8 @@ def valid(body: Column) -> Column:
     number = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     raw = lambda k: F.get_json_object(body, f"$.{k}")
     typed = F.lit(True)
-    for k in ("t", "price", "score", "threshold"):  # a number in quotes is no number
-        typed = typed & number(p[k]) & F.coalesce(body.rlike(f'"{k}"\\s*:\\s*-?[0-9]'), F.lit(False))
+    for k in ("t", "price", "score", "threshold"):  # the parser gives null for a number in quotes
+        typed = typed & number(p[k])
     drivers = (F.size(p["top"]) <= 6) & F.forall(p["top"], lambda d: F.coalesce(d["name"].rlike(DRIVER), F.lit(False)) & number(d["contribution"]))
     return F.coalesce(p.isNotNull() & raw("symbol").rlike(SYMBOL) & ~raw("symbol").contains("\n") & typed & p["top"].isNotNull() & drivers, F.lit(False))
 

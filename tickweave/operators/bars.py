@@ -14,6 +14,11 @@ def valid(ticks: DataFrame) -> DataFrame:
     return ticks.where(finite("price") & finite("qty") & F.col("t").isNotNull() & (F.col("price") > 0) & (F.col("qty") >= 0))
 
 
+def known(ticks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Ticks of configured symbols; others are passed over. ``symbols`` has a row for each and is small only if the user's list is."""
+    return ticks.join(symbols.select("symbol").where("symbol is not null").distinct(), "symbol", "left_semi")
+
+
 def bars(ticks: DataFrame, width: int) -> DataFrame:
     """(symbol, t, close, volume): close is the price of the latest time, of equal times the later arrival."""
     return valid(ticks).groupBy("symbol", bucket(F.col("t"), width).alias("t")).agg(F.max_by("price", F.struct("t", "seq")).alias("close"), F.sum("qty").alias("volume"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .._ship import ship
 from .steps import methods
+from .windows import numbered
 
 SCORES = "symbol string, method string, t long, ready boolean, score double, alert boolean"
 OUTPUT = "symbol string, t long, ready boolean, p double, score double, threshold double, alert boolean, detectors array<struct<name:string,raw:double,feature:double,contribution:double,imputed:boolean>>"
@@ -57,8 +58,34 @@ def engine(bars: DataFrame, **settings) -> DataFrame:
     return fold(bars, lambda: Engine(EngineParams(**settings)).update, OUTPUT)
 
 
-def run_methods(bars: DataFrame, names: list[str], **settings) -> DataFrame:
-    """Scores and alerts of several methods: bars meet the list of names, and each (symbol, method) is a run of its own."""
+def weight_series(bars: DataFrame, every: int = 10, **settings) -> DataFrame:
+    """(symbol, t, names, w, b): the learning engine's weights after each ``every``-th bar of a symbol."""
+    from .steps import Engine, EngineParams
+
+    def make():
+        run, seen = Engine(EngineParams(**{"learn": True, **settings})), [0]
+
+        def step(bar: dict) -> dict:
+            run.update(bar)
+            seen[0] += 1
+            return {"told": seen[0] % every == 0, **run.weights()}
+
+        return step
+
+    return fold(bars, make, "symbol string, t long, told boolean, names array<string>, w array<double>, b double").where("told").drop("told")
+
+
+def score_series(bars: DataFrame, names: list[str], **settings) -> DataFrame:
+    """(symbol, method, idx, t, score) of the bars at which a method is ready; ``idx`` numbers a symbol's bars from 0."""
+    return run_methods(numbered(bars), names, keep=("idx",), **settings).where("ready").select("symbol", "method", "idx", "t", "score")
+
+
+def run_methods(bars: DataFrame, names: list[str], keep: tuple[str, ...] = (), custom: dict | None = None, **settings) -> DataFrame:
+    """Scores and alerts of several methods: bars meet the list of names, and each (symbol, method) is a run of its own.
+
+    ``custom`` adds methods of the caller's own by name: anything that makes an object with update(bar). ``keep`` names long
+    columns that come along.
+    """
     made = bars.withColumn("method", F.explode(F.array(*map(F.lit, names))))
     ship(bars.sparkSession)
 
@@ -67,9 +94,9 @@ def run_methods(bars: DataFrame, names: list[str], **settings) -> DataFrame:
 
         def step(r: dict) -> dict:
             if "run" not in held:
-                held["run"] = methods(**settings)[r["method"]]()
+                held["run"] = (methods(**settings) | (custom or {}))[r["method"]]()
             return held["run"].update(r)
 
         return step
 
-    return fold(made, make, SCORES, ("symbol", "method"))
+    return fold(made, make, ", ".join((SCORES, *(f"{c} long" for c in keep))), ("symbol", "method"))

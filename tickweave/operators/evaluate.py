@@ -47,14 +47,23 @@ def sufficiency(sliced: DataFrame, events: DataFrame, width: int, share: float =
     return out.withColumn("expected", want.cast("long")).withColumn("reason", F.when(F.col("bars") == 0, "no data").when(F.col("bars") < share * want, "insufficient data")).drop("lo", "hi")
 
 
-def first_alerts(onsets: DataFrame, scored: DataFrame, lead: int = 30 * MINUTE, lag: int = 120 * MINUTE) -> DataFrame:
+def masks(events: DataFrame, mask_days: DataFrame, ahead: int = 60 * MINUTE, behind: int = 360 * MINUTE) -> DataFrame:
+    """(symbol, from, to): the spans that are not quiet, around events and around whole masked days (symbol, day), both ends included."""
+    day = F.col("day").cast("long")
+    days = mask_days.select("symbol", (day * DAY).alias("start"), ((day + 1) * DAY).alias("end"))
+    both = events.select("symbol", "start", "end").unionByName(days)
+    return both.select("symbol", (F.col("start") - ahead).alias("from"), (F.col("end") + behind).alias("to")).distinct()
+
+
+def first_alerts(onsets: DataFrame, scored: DataFrame, lead: int = 30 * MINUTE, lag: int = 120 * MINUTE, methods: list[str] | None = None) -> DataFrame:
     """Per event and method whether an alert falls into [onset - lead, onset + lag], and its delay in minutes.
 
-    A method that never alerts has its rows too.
+    A method that never alerts has its rows too. The methods' names are few; those not given are looked up.
     """
+    names = methods if methods is not None else sorted(r["method"] for r in scored.select("method").distinct().collect())
     alerts = scored.where("alert").select("method", "symbol", F.col("t"))
     found = met(alerts, onsets, F.col("onset") - lead, F.col("onset") + lag).groupBy("method", "event").agg(F.min("t").alias("at"))
-    every = onsets.join(F.broadcast(scored.select("method").distinct()))
+    every = onsets.withColumn("method", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
     return every.join(found, ["method", "event"], "left").select("method", "event", "symbol", F.col("at").isNotNull().alias("detected"), ((F.col("at") - F.col("onset")) / MINUTE).alias("latency_min"))
 
 
@@ -76,19 +85,71 @@ def replay(scored: DataFrame, events: DataFrame) -> DataFrame:
     return out.select("method", "alerts", "in_window", "false_alarms", "quiet_bars", "detected", F.round(F.col("detected") / max(1, n), 6).alias("recall"), F.when(judged > 0, F.round(F.col("in_window") / judged, 3)).alias("precision"), lower.alias("median_delay_min"))
 
 
-def rate_points(outcomes: DataFrame) -> DataFrame:
-    """(method, budget, rate, recall): false alarms a quiet day, and the share of events detected."""
-    return outcomes.groupBy("method", "budget").agg((F.sum("fa") / F.sum("quiet_days")).alias("rate"), F.avg(F.col("detected").cast("double")).alias("recall"))
+def rate_points(outcomes: DataFrame, by: tuple[str, ...] = ("method",), weight: str | None = None) -> DataFrame:
+    """(*by, budget, rate, recall): false alarms a quiet day, and the share of events detected; events count ``weight`` times."""
+    w = F.col(weight) if weight else F.lit(1)
+    rate = F.try_divide(F.sum(w * F.col("fa")), F.sum(w * F.col("quiet_days")))
+    return outcomes.groupBy(*by, "budget").agg(rate.alias("rate"), (F.sum(w * F.col("detected").cast("double")) / F.sum(w)).alias("recall"))
+
+
+def recall_at(points: DataFrame, rates: list[float], by: tuple[str, ...] = ("method",)) -> DataFrame:
+    """(*by, target, recall): recall at each rate on the line between the points around it; null outside them. Points without a rate don't count."""
+    w = Window.partitionBy(*by).orderBy("rate", "budget")
+    rows = points.where("rate is not null and recall is not null").withColumn("r2", F.lead("rate").over(w)).withColumn("y2", F.lead("recall").over(w))
+    targets = F.explode(F.array(*map(F.lit, rates))).alias("target")
+    level = F.col("r2") == F.col("rate")
+    at = F.when(level, F.col("y2")).otherwise(F.col("recall") + (F.col("y2") - F.col("recall")) * (F.col("target") - F.col("rate")) / F.nullif(F.col("r2") - F.col("rate"), F.lit(0.0)))
+    each = rows.select("*", targets)
+    around = (F.col("rate") <= F.col("target")) & (F.col("r2") >= F.col("target"))
+    return each.groupBy(*by, "target").agg(F.min(F.when(around, F.struct("rate", at.alias("y")))).alias("p")).select(*by, "target", F.col("p.y").alias("recall"))
+
+
+def subset_summary(outcomes: DataFrame, replicates: DataFrame, reference: str, rates: list[float], least: int = 20, smallest: int = 5) -> DataFrame:
+    """Per subset, method and rate: recall at the rate and its difference to the reference method, each with 95 % bounds.
+
+    ``outcomes`` has subset, method, budget, event, cluster, detected, fa and quiet_days, an event once for each of its subsets;
+    ``replicates`` (subset, rep, cluster, times) says how often each cluster counts. Subsets with fewer than ``smallest`` events
+    are left out. Replicates without a value are passed over; fewer than ``least`` give no bounds.
+    """
+    n = outcomes.groupBy("subset").agg(F.countDistinct("event").alias("n")).where(F.col("n") >= smallest)
+    once = outcomes.select("subset", "cluster").distinct().select("subset", F.lit(-1).cast("long").alias("rep"), "cluster", F.lit(1).cast("long").alias("times"))
+    drawn = replicates.select("subset", F.col("rep").cast("long").alias("rep"), "cluster", F.col("times").cast("long").alias("times")).where("times > 0").unionByName(once)
+    by = ("subset", "rep", "method")
+    found = recall_at(rate_points(outcomes.join(n, "subset").join(drawn, ["subset", "cluster"]), by, "times"), rates, by)
+    theirs = found.where(F.col("method") == reference).select("subset", "rep", "target", F.col("recall").alias("theirs"))
+    points = found.join(theirs, ["subset", "rep", "target"], "left").withColumn("diff", F.col("recall") - F.col("theirs"))
+    out = []
+    for x in ("recall", "diff"):
+        drew = F.when(F.col("rep") >= 0, F.col(x))
+        out.append(F.max(F.when(F.col("rep") < 0, F.col(x))).alias(x))
+        out += [F.when(F.count(drew) >= least, F.percentile(drew, q)).alias(f"{x}_{end}") for end, q in (("lo", 0.025), ("hi", 0.975))]
+    made = points.groupBy("subset", "method", "target").agg(*out).join(n, "subset")
+    return made.withColumn("verdict", F.when(F.col("method") == reference, "reference").otherwise(verdict(F.col("diff_lo"), F.col("diff_hi"))))
+
 
+def chance(windows: DataFrame, rates: DataFrame, reps: int, bars_per_day: int = 1440, cooldown: int = 15, ready: int = 310) -> DataFrame:
+    """(method, rate, mean, lo, hi): recall of a random alerter at each method's rate of alerts, and the 95 % range over ``reps`` trials.
 
-def recall_at(points: DataFrame, rate: float) -> DataFrame:
-    """Recall at a rate on the line between the points around it; null outside them."""
-    w = Window.partitionBy("method").orderBy("rate", "budget")
-    rows = points.withColumn("r2", F.lead("rate").over(w)).withColumn("y2", F.lead("recall").over(w))
-    at = F.when(F.col("r2") == F.col("rate"), F.col("y2")).otherwise(F.col("recall") + (F.col("y2") - F.col("recall")) * (rate - F.col("rate")) / F.nullif(F.col("r2") - F.col("rate"), F.lit(0.0)))
-    around = F.struct("rate", at.alias("y"))
-    found = rows.where((F.col("rate") <= rate) & (F.col("r2") >= rate)).groupBy("method").agg(F.min(around).alias("p"))
-    return points.select("method").distinct().join(found, "method", "left").select("method", F.col("p.y").alias("recall"))
+    ``windows`` has event, first and last, in bars from the start of an event's slice; ``rates`` method and rate. An alerter starts
+    at bar ``ready`` plus a random part of the mean gap and waits ``cooldown`` bars and an exponential time more after each alert.
+    Trial r of an event takes its k-th number from a hash of (event, r, k), so a method's trials don't depend on the others. Every
+    trial is a row; what it goes through is bounded by the bars of a window. Without a positive rate recall is 0.
+    """
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", "event", F.col("rep").cast("string"), k.cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    gap = bars_per_day / F.col("rate")
+    extra = F.greatest(F.lit(1.0), gap - cooldown)
+    # Names are few: the rates become an array that each window meets.
+    listed = [(r["method"], r["rate"]) for r in rates.select("method", F.col("rate").cast("double").alias("rate")).collect()]
+    if not listed:
+        return windows.sparkSession.createDataFrame([], "method string, rate double, mean double, lo double, hi double")
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.lit(r).cast("double").alias("rate")) for m, r in listed))).alias("m")
+    trials = windows.select("event", "first", "last", each, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("event", "first", "last", "m.method", "m.rate", "rep")
+    begin = F.lit(ready) + F.floor(draw(F.lit(0)) * gap)
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((F.col("last") - ready) / (cooldown + 1)) + 2).cast("int"))
+    walk = F.aggregate(steps, begin.cast("double"), lambda at, k: F.when(at >= F.col("first"), at).otherwise(at + cooldown + F.ceil(-F.log(1 - draw(k)) * extra)))
+    hit = F.when(F.col("rate") > 0, (walk >= F.col("first")) & (walk <= F.col("last"))).otherwise(F.lit(False))
+    by_rep = trials.withColumn("hit", hit).groupBy("method", "rate", "rep").agg(F.avg(F.coalesce(F.col("hit"), F.lit(False)).cast("double")).alias("recall"))
+    return by_rep.groupBy("method", "rate").agg(F.avg("recall").alias("mean"), F.percentile("recall", 0.025).alias("lo"), F.percentile("recall", 0.975).alias("hi"))
 
 
 def paired(outcomes: DataFrame, reference: str) -> DataFrame:
@@ -106,17 +167,17 @@ def bootstrap(values: DataFrame, replicates: DataFrame) -> DataFrame:
     return reps.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")).join(F.broadcast(values.agg(F.avg("x").alias("est"))))
 
 
-def resamples(clusters: DataFrame, n: int) -> DataFrame:
-    """(rep, cluster, times) of n resamples with replacement, as many draws each as there are clusters.
+def resamples(clusters: DataFrame, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, rep, cluster, times) of n resamples with replacement, as many draws each as there are clusters (of each ``by``).
 
     Draw i of a replicate takes the cluster whose place, in order, is a hash of (rep, i) modulo their number. Clusters not drawn
     have no row.
     """
-    placed = clusters.select("cluster").distinct().select("cluster", (F.row_number().over(Window.orderBy("cluster")) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("k"))
-    draws = placed.select("i", "k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
+    placed = clusters.select(*by, "cluster").distinct().select(*by, "cluster", (F.row_number().over(Window.partitionBy(*by).orderBy("cluster")) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("k"))
+    draws = placed.select(*by, "i", "k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
     value = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 12), 16, 10).cast("long")
-    times = draws.select("rep", (value % F.col("k")).cast("int").alias("i")).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(placed, "i").select("rep", "cluster", "times")
+    times = draws.select(*by, "rep", (value % F.col("k")).cast("int").alias("i")).groupBy(*by, "rep", "i").agg(F.count(F.lit(1)).alias("times"))
+    return times.join(placed, [*by, "i"]).select(*by, "rep", "cluster", "times")
 
 
 def study_summary(outcomes: DataFrame, replicates: DataFrame, reference: str, least: int = 20) -> DataFrame:

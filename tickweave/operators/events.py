@@ -22,7 +22,7 @@ def ranked(days: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("range_pct"), "day")))
 
 
-def greedy(days: DataFrame, k: int, apart: int, by: str = "rank") -> DataFrame:
+def greedy(days: DataFrame, k: int, apart: int, by: str = "rank", value: str = "range_pct") -> DataFrame:
     """The first k days in order that are at least ``apart`` days from all picked before; each depends on the last, so a fold per symbol."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -33,12 +33,17 @@ def greedy(days: DataFrame, k: int, apart: int, by: str = "rank") -> DataFrame:
                 break
             if all(abs(r.day - d) >= apart for d in taken):
                 taken.append(r.day)
-                rows.append((r.symbol, r.day, float(r.range_pct), len(taken)))
-        return pd.DataFrame(rows, columns=["symbol", "day", "range_pct", "pick"])
+                rows.append((r.symbol, r.day, float(getattr(r, value)), len(taken)))
+        return pd.DataFrame(rows, columns=["symbol", "day", value, "pick"])
 
     # Far days can't be picked without all larger ranges; what can be picked lies in the first k * (2 apart - 1) ranks.
-    few = days.where(F.col(by) <= k * (2 * apart - 1)).select("symbol", "day", "range_pct", by)
-    return few.groupBy("symbol").applyInPandas(pick, "symbol string, day long, range_pct double, pick int")
+    few = days.where(F.col(by) <= k * (2 * apart - 1)).select("symbol", "day", value, by)
+    return few.groupBy("symbol").applyInPandas(pick, f"symbol string, day long, {value} double, pick int")
+
+
+def split_picks(picks: DataFrame, first: int) -> DataFrame:
+    """``part``: the first picks of a greedy choice are ``chosen``, those after them ``held``."""
+    return picks.withColumn("part", F.when(F.col("pick") <= first, "chosen").otherwise("held"))
 
 
 def regime(days: DataFrame, shocks: DataFrame, back: int = 7, least_pct: float = 4.0, near: int = 1) -> DataFrame:
@@ -60,7 +65,7 @@ def exact_lag(bars: DataFrame, lag: int) -> DataFrame:
 
 def onset_by_open(bars: DataFrame, days: DataFrame, pct: float, least: int) -> DataFrame:
     """First bar of the day that lies ``pct`` per cent or more off the open; null onset with too few bars or no such bar."""
-    rows = bars.withColumn("day", F.floor(F.col("t") / DAY).cast("long")).join(F.broadcast(days.select("symbol", "day")), ["symbol", "day"])
+    rows = bars.withColumn("day", F.floor(F.col("t") / DAY).cast("long")).join(days.select("symbol", "day"), ["symbol", "day"])
     opened = rows.groupBy("symbol", "day").agg(F.min_by("close", "t").alias("open"), F.count(F.lit(1)).alias("n"))
     hit = rows.join(opened, ["symbol", "day"]).where(F.abs(F.col("close") / F.col("open") - 1) * 100 >= pct)
     first = hit.groupBy("symbol", "day").agg(F.min("t").alias("at"))
@@ -74,7 +79,7 @@ def onset_by_past(moves: DataFrame, days: DataFrame, back: int = 7, multiple: fl
     """
     span = days.select("symbol", "day", F.explode(F.sequence(F.col("day") - back, F.col("day"))).alias("of"))
     rows = moves.where("lag_ret is not null").select("symbol", "t", F.abs("lag_ret").alias("m"), F.floor(F.col("t") / DAY).cast("long").alias("of"))
-    both = rows.join(F.broadcast(span), ["symbol", "of"])
+    both = rows.join(span, ["symbol", "of"])
     past = both.where("of < day").groupBy("symbol", "day").agg(F.percentile("m", 0.5).alias("med"), F.count("m").alias("n"))
     theta = past.select("symbol", "day", F.when(F.col("n") >= coverage * back * per_day, multiple * F.col("med")).alias("theta"))
     now = both.where("of = day").join(theta, ["symbol", "day"])

@@ -139,7 +139,7 @@ _log_gamma = _LogGamma()
 
 
 class Bocpd:
-    """Online change points: the posterior mass of the shortest run lengths under a normal-gamma model."""
+    """Online change points: the posterior mass of the shortest run lengths under a normal-gamma model, begun at bar ``least``."""
 
     def __init__(self, hazard: float = 1 / 200, longest: int = 150, short: int = 5, least: int = 100):
         self.stay, self.change, self.longest, self.short, self.least = math.log1p(-hazard), math.log(hazard), longest, short, least
@@ -152,6 +152,8 @@ class Bocpd:
         self.n += 1
         before = self.sigma.sigma
         self.sigma.update(ret, 6.0)
+        if self.n < self.least:
+            return None
         x = max(-15.0, min(15.0, ret / max(before, 1e-9)))
         alpha = 1 + self.steps / 2
         freedom, scale = 2 * alpha, self.beta * (self.kappa + 1) / (alpha * self.kappa)
@@ -170,7 +172,7 @@ class Bocpd:
             mu, kappa, steps, beta = mu[:-1], kappa[:-1], steps[:-1], beta[:-1]
         self.log = log - np.logaddexp.reduce(log)
         self.mu, self.kappa, self.steps, self.beta = mu, kappa, steps, beta
-        return float(np.exp(self.log[: self.short]).sum()) if self.n >= self.least else None
+        return float(np.exp(self.log[: self.short]).sum())
 
 
 class VolumeSpike:
@@ -235,6 +237,60 @@ class Policy:
         return alert, limit
 
 
+class Policies:
+    """One Policy for each of several budgets; all look into the same window, which is sorted once."""
+
+    def __init__(self, per_day: list[float], bar_seconds: float, cooldown: int = 15, size: int = 1440, least: int = 300, escalate: float = 10.0, floor: float = 0.0):
+        self.runs = [Policy(x, bar_seconds, cooldown, size, least, escalate, floor) for x in per_day]
+        self.window = Window(size)
+        for run in self.runs:
+            run.window = _Shared(self.window)
+
+    def update(self, v: float) -> list[tuple[bool, float]]:
+        out = [run.update(v) for run in self.runs]
+        self.window.push(v)
+        return out
+
+
+class _Shared:
+    """A window that its readers do not add to."""
+
+    def __init__(self, window: Window):
+        self.window = window
+
+    def __len__(self) -> int:
+        return len(self.window)
+
+    def quantile(self, q: float) -> float:
+        return self.window.quantile(q)
+
+    def push(self, x: float) -> None:
+        pass
+
+
+class Alignment:
+    """Gathers what symbols tell for a time; a time is complete when all have, and is forgotten once one is ``most`` bars ahead of it."""
+
+    def __init__(self, symbols: list[str], width: int, most: int = 5, every: int = 5):
+        self.symbols, self.horizon, self.every = set(symbols), most * width, every
+        self.pending: dict[int, dict] = {}
+        self.complete = 0
+
+    def push(self, symbol: str, t: int, value) -> tuple[dict, bool] | None:
+        """The values of a time that this one completes, and whether it is one to report; None else."""
+        if symbol not in self.symbols:
+            return None
+        row, out = self.pending.setdefault(t, {}), None
+        row[symbol] = value
+        if len(row) == len(self.symbols):
+            del self.pending[t]
+            self.complete += 1
+            out = row, self.complete % self.every == 0
+        for old in [x for x in self.pending if x < t - self.horizon]:
+            del self.pending[old]
+        return out
+
+
 @dataclass
 class EngineParams:
     """The engine's settings; ``detectors`` may leave some out (ablation) or name one (solo)."""
@@ -252,6 +308,8 @@ class EngineParams:
     multiple: float = 4.0
     detectors: tuple[str, ...] = DETECTORS
     optional: frozenset = field(default_factory=lambda: frozenset(OPTIONAL))
+    #: Detectors of the caller's own by name: what makes one, an object whose update(bar, ret) gives a number or None.
+    custom: dict = field(default_factory=dict)
 
 
 class Engine:
@@ -259,13 +317,17 @@ class Engine:
 
     def __init__(self, params: EngineParams | None = None):
         p = self.params = params or EngineParams()
-        self.parts = [(n, detector(n), Window(p.ecdf)) for n in p.detectors]
+        self.parts = [(n, p.custom[n]() if n in p.custom else detector(n), Window(p.ecdf)) for n in p.detectors]
         self.ensemble = Ensemble(len(self.parts), p.rate if p.learn else 0.0)
         self.policy = Policy(p.per_day, p.bar_seconds, p.cooldown, p.window, p.least)
         self.last, self.sigma, self.n = None, Ewma(0.99), 0
         self.sizes: deque = deque(maxlen=p.horizon)
         self.pending: deque = deque()
 
+    def weights(self) -> dict:
+        """Names of the detectors, their weights and the bias."""
+        return {"names": [n for n, _, _ in self.parts], "w": list(self.ensemble.w), "b": self.ensemble.b}
+
     @staticmethod
     def idle(bar: dict) -> dict:
         return {"t": bar["t"], "ready": False, "p": 0.0, "score": 0.0, "threshold": 1.0, "alert": False, "detectors": []}
@@ -281,7 +343,7 @@ class Engine:
         self.sizes.append(abs(ret))
         while self.pending and self.pending[0][0] + p.horizon <= self.n:
             _, x, then = self.pending.popleft()
-            self.ensemble.learn(x, 1.0 if max(self.sizes) >= p.multiple * then else 0.0)
+            self.ensemble.learn(x, 1.0 if then > 0 and max(self.sizes) >= p.multiple * then else 0.0)
         readings = []
         for name, part, ranks in self.parts:
             raw, feature = part.update(bar, ret), None

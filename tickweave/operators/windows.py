@@ -82,9 +82,9 @@ def largest_move(horizon: int = 30) -> Column:
 
 
 def aligned(rows: DataFrame, value: str, n_symbols: int) -> DataFrame:
-    """Rows at times that every symbol has, with ``idx``, their number in time order."""
+    """(symbol, t, x, ret, idx): rows at times that every symbol has; ``idx`` is their number in time order. Where ``rows`` has no returns ``ret``, the values stand for them."""
     times = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n_symbols).select("t")
-    both = rows.join(times, "t").select("symbol", "t", F.col(value).alias("x"))
+    both = rows.join(times, "t").select("symbol", "t", F.col(value).alias("x"), F.col("ret" if "ret" in rows.columns else value).alias("ret"))
     return both.withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("t")))
 
 
@@ -102,25 +102,29 @@ def rolling_corr(rows: DataFrame, size: int = 240) -> DataFrame:
 
 
 def lead_lag(rows: DataFrame, size: int = 240, most: int = 6, least_corr: float = 0.3, margin: float = 0.05, least: int = 24) -> DataFrame:
-    """Per pair the lag of the strongest correlation of scores over the last aligned rows, and who leads.
+    """Per pair the correlation of returns (``corr``) and the lag of the strongest correlation of scores over the last aligned rows, and who leads.
 
     A positive lag means that a leads b. Of equal correlations the first lag from -most on counts. There is a leader if the lag is
-    not 0 and its correlation reaches least_corr and beats that at lag 0 by the margin.
+    not 0 and its correlation reaches least_corr and beats that of the scores at lag 0 by the margin.
     """
     last = rows.groupBy().agg(F.max("idx").alias("top"))
     recent = rows.join(F.broadcast(last), F.col("idx") > F.col("top") - size).drop("top")
     lags = F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")
-    a = recent.select(F.col("symbol").alias("a"), "idx", F.col("x").alias("xa"), lags).withColumn("at", F.col("idx") + F.col("lag"))
-    b = recent.select(F.col("symbol").alias("b"), F.col("idx").alias("at"), F.col("x").alias("xb"))
-    by_lag = a.join(b, "at").where("a < b").groupBy("a", "b", "lag").agg(_sums("n", "xa", "xb").alias("corr"), F.count(F.lit(1)).alias("n"))
-    best = by_lag.groupBy("a", "b").agg(F.max_by("lag", F.struct("corr", -F.col("lag"))).alias("lag"), F.max("corr").alias("lag_corr"), F.max(F.when(F.col("lag") == 0, F.col("corr"))).alias("corr"), F.max("n").alias("n"))
-    led = (F.col("lag") != 0) & (F.col("lag_corr") >= least_corr) & (F.col("lag_corr") > F.col("corr") + margin)
+    a = recent.select(F.col("symbol").alias("a"), "idx", F.col("x").alias("xa"), F.col("ret").alias("ra"), lags).withColumn("at", F.col("idx") + F.col("lag"))
+    b = recent.select(F.col("symbol").alias("b"), F.col("idx").alias("at"), F.col("x").alias("xb"), F.col("ret").alias("rb"))
+    by_lag = a.join(b, "at").where("a < b").groupBy("a", "b", "lag").agg(_sums("n", "xa", "xb").alias("corr"), _sums("n", "ra", "rb").alias("ret_corr"), F.count(F.lit(1)).alias("n"))
+    best = by_lag.groupBy("a", "b").agg(F.max_by("lag", F.struct("corr", -F.col("lag"))).alias("lag"), F.max("corr").alias("lag_corr"), F.max(F.when(F.col("lag") == 0, F.col("corr"))).alias("zero"), F.max(F.when(F.col("lag") == 0, F.col("ret_corr"))).alias("corr"), F.max("n").alias("n"))
+    led = (F.col("lag") != 0) & (F.col("lag_corr") >= least_corr) & (F.col("lag_corr") > F.col("zero") + margin)
     first = F.col("lag") > 0
     return best.where(F.col("n") >= least).select("a", "b", "corr", "lag", "lag_corr", F.when(led, F.when(first, F.col("a")).otherwise(F.col("b"))).alias("leader"), F.when(led, F.when(first, F.col("b")).otherwise(F.col("a"))).alias("follower"))
 
 
-def warnings(links: DataFrame, scores: DataFrame, threshold: float, most: int = 5) -> DataFrame:
-    """The ``most`` strongest links with a leader, and whether the leader's latest score reaches the threshold, which warns its follower."""
+def warnings(links: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
+    """(leader, follower, lag_bars, lag_corr, score) of the links whose leader's latest score reaches the threshold."""
     latest = scores.groupBy(F.col("symbol").alias("leader")).agg(F.max_by("x", "t").alias("score"))
-    strongest = links.where("leader is not null").orderBy(F.desc("lag_corr"), "a", "b").limit(most)
-    return strongest.join(latest, "leader", "left").select("leader", "follower", "lag", "lag_corr", "score", F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("warned"))
+    return links.where("leader is not null").join(latest.where(F.col("score") >= threshold), "leader").select("leader", "follower", F.abs("lag").alias("lag_bars"), "lag_corr", "score")
+
+
+def strongest(links: DataFrame, most: int = 5) -> DataFrame:
+    """The links of the highest correlation of scores, in order."""
+    return links.orderBy(F.desc("lag_corr"), "a", "b").limit(most)

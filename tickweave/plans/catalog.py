@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
 from ..functions.columns import DAY, HOUR, epoch_ms, sigmoid
 from ..operators import alerts as A
 from ..operators import bars as B
@@ -15,7 +14,7 @@ from ..operators import engine as E
 from ..operators import evaluate as V
 from ..operators import events as X
 from ..operators import windows as R
-from ..operators.steps import Baseline, Bocpd, Cusum, Ewma, Policy, VolatilityRatio
+from ..operators.steps import Bocpd, Cusum, Ewma, Policies, VolatilityRatio
 from ..sources import files, messages, simulated, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,8 +208,8 @@ def _policy(rows: DataFrame, rates: list[float]) -> DataFrame:
     """Alerts for several budgets; the policy's rate is set as alarms a day of one-day bars."""
 
     def make():
-        runs = [Policy(r, 86400, least=100) for r in rates]
-        return lambda r: {"alerts": [run.update(r["v"])[0] for run in runs]}
+        runs = Policies(rates, 86400, least=100)
+        return lambda r: {"alerts": [alert for alert, _ in runs.update(r["v"])]}
 
     out = E.fold(rows, make, "symbol string, t long, v double, alerts array<boolean>")
     return out.select("symbol", "t", "v", F.posexplode("alerts").alias("k", "alert")).withColumn("rate", F.element_at(F.array(*map(F.lit, rates)), F.col("k") + 1)).drop("k")
@@ -228,21 +227,77 @@ def alert_budget_sweep(spark, d):
     return _policy(rows, [0.02, 0.05, 0.1, 0.2]).groupBy("symbol", "rate").agg(F.count(F.lit(1)).alias("bars"), F.count_if("alert").alias("alerts"))
 
 
-@query()
+#: One step of the change points, as nested selects: what each run length says of x, the grown lists, at most 151 of them, their norm.
+_GROWN = {"mu": "[0.0::DOUBLE] || list_transform(js, lambda j: (ka[j] * mu[j] + x) / (ka[j] + 1))", "ka": "[1.0::DOUBLE] || list_transform(ka, lambda y: y + 1)",
+          "al": "[1.0::DOUBLE] || list_transform(al, lambda y: y + 0.5)", "be": "[1.0::DOUBLE] || list_transform(js, lambda j: be[j] + ka[j] * pow(x - mu[j], 2) / (2 * (ka[j] + 1)))"}
+
+
+def _run_lengths(source: str) -> str:
+    density = "lg[j] + lgamma(al[j] + 0.5) - lgamma(al[j]) - 0.5 * ln(2 * al[j] * pi() * sc[j]) - (al[j] + 0.5) * ln(1 + pow(x - mu[j], 2) / (2 * al[j] * sc[j]))"
+    norm = lambda a, m: f"{m} + ln(list_sum(list_transform({a}, lambda y: exp(y - {m}))))"
+    levels = [
+        "range(1, len(lg) + 1) AS js", "list_transform(js, lambda j: be[j] * (ka[j] + 1) / (al[j] * ka[j])) AS sc", f"list_transform(js, lambda j: {density}) AS jt", "list_max(jt) AS jm", f"{norm('jt', 'jm')} AS tot",
+        "[tot + ln(1 / 200.0)] || list_transform(jt, lambda y: y + ln(1 - 1 / 200.0)) AS nl, " + ", ".join(f"{v} AS n_{k}" for k, v in _GROWN.items()),
+        "CASE WHEN len(nl) > 151 THEN nl[1:150] || [greatest(nl[151], nl[152]) + ln(1 + exp(-abs(nl[151] - nl[152])))] ELSE nl END AS cl, " + ", ".join(f"CASE WHEN len(nl) > 151 THEN n_{k}[1:150] || [n_{k}[152]] ELSE n_{k} END AS c_{k}" for k in _GROWN),
+        "list_max(cl) AS cm", f"{norm('cl', 'cm')} AS z", "list_transform(cl, lambda y: y - z) AS fl",
+    ]
+    for level in levels:
+        source = f"SELECT *, {level} FROM ({source})"
+    return source
+
+
+_EMPTY_RUNS = "[0.0::DOUBLE] AS lg, [0.0::DOUBLE] AS mu, [1.0::DOUBLE] AS ka, [1.0::DOUBLE] AS al, [1.0::DOUBLE] AS be, NULL::DOUBLE AS mass"
+_NEXT_RUNS = "CASE WHEN i < 100 THEN lg ELSE fl END, " + ", ".join(f"CASE WHEN i < 100 THEN {k} ELSE c_{k} END" for k in _GROWN) + ", CASE WHEN i >= 100 THEN list_sum(list_transform(fl[1:5], lambda y: exp(y))) END"
+_JOIN_RUNS = "e.lg, e.mu, e.ka, e.al, e.be, greatest(-15.0, least(15.0, n.ret / greatest(sqrt(e.v), 1e-9))) AS x"
+
+
+@query(f""", n AS (SELECT symbol, t, ret, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM r),
+e AS (SELECT symbol, i, t, ret * ret AS v, {_EMPTY_RUNS} FROM n WHERE i = 1
+UNION ALL SELECT symbol, i, t, nv, {_NEXT_RUNS} FROM ({_run_lengths(f"SELECT n.symbol, n.i, n.t, {_clipped('v', 6)} AS nv, {_JOIN_RUNS} FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1")}))
+SELECT symbol, t, round(mass, 6) AS mass FROM e""")
 def bocpd_short_run_mass(spark, d):
     def make():
         part = Bocpd()
         return lambda r: {"mass": part.update(r, r["ret"])}
 
-    return E.fold(returns(spark, d), make, "symbol string, t long, mass double")
+    return E.fold(returns(spark, d), make, "symbol string, t long, mass double").select("symbol", "t", r6("mass"))
 
 
 SETTINGS = {"bar_seconds": 3600.0, "per_day": 0.5, "ecdf": 400, "ecdf_least": 60, "window": 300, "least": 60}
 
 
-@query()
+FILLED = """, g AS (SELECT *, lead(t) OVER (PARTITION BY symbol ORDER BY t) AS nt FROM bars),
+fb AS (SELECT symbol, t + k * 3600000 AS t, close, CASE WHEN k > 0 THEN 0.0 ELSE volume END AS volume
+FROM (SELECT *, unnest(CASE WHEN (nt - t) // 3600000 - 1 BETWEEN 1 AND 10 THEN range(0, (nt - t) // 3600000) ELSE [0::BIGINT] END) AS k FROM g)),
+fr AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY t)) AS ret FROM fb),
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM fr WHERE ret IS NOT NULL),
+zs AS (SELECT symbol, i, CASE WHEN count(*) OVER w >= 60 THEN abs(ret - quantile_cont(ret, 0.5) OVER w) / greatest(1.4826 * mad(ret) OVER w, 1e-6) END AS rz,
+CASE WHEN count(*) OVER w >= 60 THEN volume / greatest(quantile_cont(volume, 0.5) OVER w, 1e-9) END AS vs FROM n WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 240 PRECEDING AND 1 PRECEDING)),"""
+_SUM = "greatest(0, e.{s} * (CASE WHEN e.o > 10 THEN 0 ELSE 1 END) {sign} n.ret / greatest(sqrt(e.cv), 1e-9) - 0.5)"
+_SUMS = [_SUM.format(s="su", sign="+"), _SUM.format(s="sd", sign="-")]
+#: Every detector's reading, the mid-rank of each among its last 400, the score by the prior, and the policy over the last 300 scores.
+ENGINE = f"""{FILLED}
+e AS (SELECT symbol, i, t, ret * ret AS v, ret * ret AS vf, ret * ret AS vl, ret * ret AS cv, 0.0::DOUBLE AS su, 0.0::DOUBLE AS sd, 0.0::DOUBLE AS o, {_EMPTY_RUNS} FROM n WHERE i = 1
+UNION ALL SELECT symbol, i, t, nv, nf, nsl, ncv, nu, nd, greatest(nu, nd), {_NEXT_RUNS} FROM ({_run_lengths(f"""SELECT n.symbol, n.i, n.t, {_clipped('v', 6)} AS nv,
+CASE WHEN e.vf <= 0 THEN n.ret * n.ret ELSE 0.94 * e.vf + 0.06 * n.ret * n.ret END AS nf, CASE WHEN e.vl <= 0 THEN n.ret * n.ret ELSE 0.995 * e.vl + 0.005 * n.ret * n.ret END AS nsl, {_clipped('cv', 5)} AS ncv,
+CASE WHEN n.i < 100 THEN 0 ELSE {_SUMS[0]} END AS nu, CASE WHEN n.i < 100 THEN 0 ELSE {_SUMS[1]} END AS nd, {_JOIN_RUNS} FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1""")})),
+rw AS (SELECT e.symbol, e.i, e.t, rz AS c1, CASE WHEN e.i >= 100 THEN sqrt(vf) / greatest(sqrt(vl), 1e-9) END AS c2, CASE WHEN e.i >= 100 THEN o END AS c3, mass AS c4, vs AS c5 FROM e JOIN zs USING (symbol, i)),
+ls AS (SELECT *, {", ".join(f"list(c{k}) FILTER (WHERE c{k} IS NOT NULL) OVER w AS l{k}" for k in range(1, 6))} FROM rw WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 400 PRECEDING AND 1 PRECEDING)),
+ft AS (SELECT symbol, i, t, {", ".join(f"CASE WHEN len(l{k}) >= 60 THEN -ln(1 - (len(list_filter(l{k}, lambda y: y < c{k})) + 0.5 * len(list_filter(l{k}, lambda y: y = c{k}))) / (len(l{k}) + 1)) END AS f{k}" for k in range(1, 6))} FROM ls),
+ps AS (SELECT *, 1 / (1 + exp(4.5 - 0.25 * (f1 + f2 + f3 + f4 + f5) * 1.2)) AS p, row_number() OVER (PARTITION BY symbol ORDER BY i) AS j FROM ft WHERE f1 + f2 + f3 + f4 + f5 IS NOT NULL),
+lm AS (SELECT *, count(*) OVER w >= 60 AS enough, quantile_cont(p, 1 - 0.5 / 24) OVER w AS a, quantile_cont(p, 1 - 0.05 / 24) OVER w AS b FROM ps WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING)),
+po AS (SELECT symbol, i, t, j, 16 AS since, false AS alert, -1e300 AS last FROM lm WHERE j = 1
+UNION ALL SELECT symbol, i, t, j, CASE WHEN hit THEN 0 ELSE since + 1 END, hit, CASE WHEN hit THEN p ELSE last END FROM
+(SELECT lm.symbol, lm.i, lm.t, lm.j, lm.p, po.since, po.last, lm.enough AND lm.p > greatest(0, lm.a) AND (po.since + 1 >= 15 OR (lm.p > lm.b AND lm.p > po.last)) AS hit FROM po JOIN lm ON lm.symbol = po.symbol AND lm.j = po.j + 1))"""
+
+
+@query(ENGINE + """ SELECT fb.symbol, fb.t, lm.p IS NOT NULL AS ready, round(coalesce(lm.p, 0), 6) AS p, coalesce(floor(1000 * lm.p + 0.5) / 10, 0) AS score, round(CASE WHEN enough THEN least(1, greatest(0, a)) ELSE 1 END, 6)::DOUBLE AS threshold,
+coalesce(alert, false) AS alert, round(f1, 6) AS robust_z, round(f2, 6) AS ewma_vol, round(f3, 6) AS cusum, round(f4, 6) AS bocpd, round(f5, 6) AS volume_spike FROM fb LEFT JOIN lm USING (symbol, t) LEFT JOIN po USING (symbol, t)""")
 def engine_fixed(spark, d):
-    return E.engine(B.fill_gaps(hourly(spark, d), HOUR), **SETTINGS)
+    """The engine with fixed weights: its score, threshold and alerts, and the detectors' features."""
+    out = E.engine(B.fill_gaps(hourly(spark, d), HOUR), **SETTINGS)
+    feature = lambda n: r6(F.get(F.filter("detectors", lambda x: x["name"] == n), F.lit(0))["feature"], n)
+    return out.select("symbol", "t", "ready", r6("p"), "score", r6("threshold"), "alert", *(feature(n) for n in ("robust_z", "ewma_vol", "cusum", "bocpd", "volume_spike")))
 
 
 def _methods(names):
@@ -256,11 +311,23 @@ for _name, _list in {
     "engine_learned": ["engine_learned"],
     "engine_ablation": [f"without_{x}" for x in ("robust_z", "ewma_vol", "cusum", "bocpd", "volume_spike")],
     "engine_solo": [f"only_{x}" for x in ("robust_z", "ewma_vol", "cusum", "bocpd", "volume_spike")],
-    "engine_baselines": ["zscore_fixed", "zscore_matched"],
 }.items():
     QUERIES[_name] = _methods(_list)
 
 
+@query(FILLED.rsplit("zs AS", 1)[0] + """zz AS (SELECT symbol, i, t, CASE WHEN count(*) OVER w = 100 AND stddev_samp(ret) OVER w > 0 THEN abs(ret - avg(ret) OVER w) / stddev_samp(ret) OVER w ELSE 0 END AS v
+FROM n WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)),
+lm AS (SELECT *, count(*) OVER w >= 300 AS enough, quantile_cont(v, 1 - 1 / 240.0) OVER w AS a, quantile_cont(v, 1 - 1 / 2400.0) OVER w AS b FROM zz WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1440 PRECEDING AND 1 PRECEDING)),
+po AS (SELECT symbol, i, t, v, v > 3 AS hit1, CASE WHEN v > 3 THEN 0 ELSE 16 END AS s1, false AS hit2, 16 AS s2, -1e300 AS last FROM lm WHERE i = 1
+UNION ALL SELECT symbol, i, t, v, h1, CASE WHEN h1 THEN 0 ELSE s1 + 1 END, h2, CASE WHEN h2 THEN 0 ELSE s2 + 1 END, CASE WHEN h2 THEN v ELSE last END FROM
+(SELECT lm.symbol, lm.i, lm.t, lm.v, po.s1, po.s2, po.last, lm.v > 3 AND po.s1 + 1 >= 15 AS h1, lm.enough AND lm.v > greatest(0, lm.a) AND (po.s2 + 1 >= 15 OR (lm.v > lm.b AND lm.v > po.last)) AS h2 FROM po JOIN lm ON lm.symbol = po.symbol AND lm.i = po.i + 1))
+SELECT fb.symbol, m.method, fb.t, coalesce(po.i >= 310, false) AS ready, round(coalesce(po.v, 0), 6)::DOUBLE AS score, coalesce(po.i >= 310 AND CASE WHEN m.method = 'zscore_fixed' THEN hit1 ELSE hit2 END, false) AS alert
+FROM fb, (SELECT unnest(['zscore_fixed', 'zscore_matched']) AS method) m LEFT JOIN po ON po.symbol = fb.symbol AND po.t = fb.t""")
+def engine_baselines(spark, d):
+    out = E.run_methods(B.fill_gaps(hourly(spark, d), HOUR), ["zscore_fixed", "zscore_matched"], **SETTINGS)
+    return out.select("symbol", "method", "t", "ready", r6("score"), "alert")
+
+
 @query()
 def engine_tick_bars(spark, d):
     """Every event a bar of its own."""
@@ -281,7 +348,7 @@ def logistic_prior(spark, d):
 
 
 ALIGNED = """, al AS (SELECT t FROM r GROUP BY t HAVING count(*) = (SELECT count(DISTINCT symbol) FROM r)),
-x AS (SELECT symbol, t, {value} AS x, row_number() OVER (PARTITION BY symbol ORDER BY t) AS idx FROM r JOIN al USING (t))"""
+x AS (SELECT symbol, t, {value} AS x, ret, row_number() OVER (PARTITION BY symbol ORDER BY t) AS idx FROM r JOIN al USING (t))"""
 CORR = "CASE WHEN n < 3 OR n * xx - sx * sx <= 1e-12 * n * xx OR n * yy - sy * sy <= 1e-12 * n * yy THEN 0 ELSE (n * xy - sx * sy) / sqrt((n * xx - sx * sx) * (n * yy - sy * sy)) END"
 
 
@@ -298,24 +365,30 @@ def pair_correlation(spark, d):
 
 
 LEADS = ALIGNED.format(value="abs(ret)") + f""", w AS (SELECT * FROM x WHERE idx > (SELECT max(idx) FROM x) - 240), l AS (SELECT unnest(range(-6, 7)) AS lag),
-s AS (SELECT a.symbol AS a, b.symbol AS b, l.lag, count(*) AS n, sum(a.x) AS sx, sum(b.x) AS sy, sum(a.x * a.x) AS xx, sum(b.x * b.x) AS yy, sum(a.x * b.x) AS xy FROM w a, l, w b WHERE a.symbol < b.symbol AND b.idx = a.idx + l.lag GROUP BY a.symbol, b.symbol, l.lag),
-c AS (SELECT a, b, lag, n, {CORR} AS corr FROM s),
-g AS (SELECT a, b, arg_max(lag, (corr, -lag)) AS lag, max(corr) AS lag_corr, max(corr) FILTER (WHERE lag = 0) AS corr FROM c GROUP BY a, b)"""
+s AS (SELECT a.symbol AS a, b.symbol AS b, l.lag, count(*) AS n, sum(a.x) AS sx, sum(b.x) AS sy, sum(a.x * a.x) AS xx, sum(b.x * b.x) AS yy, sum(a.x * b.x) AS xy, corr(a.ret, b.ret) AS rc FROM w a, l, w b WHERE a.symbol < b.symbol AND b.idx = a.idx + l.lag GROUP BY a.symbol, b.symbol, l.lag),
+c AS (SELECT a, b, lag, n, {CORR} AS corr, rc FROM s),
+g AS (SELECT a, b, arg_max(lag, (corr, -lag)) AS lag, max(corr) AS lag_corr, max(corr) FILTER (WHERE lag = 0) AS zero, max(rc) FILTER (WHERE lag = 0) AS corr FROM c GROUP BY a, b)"""
 
 
-@query(LEADS + """ SELECT a, b, round(corr, 6) AS corr, lag, round(lag_corr, 6) AS lag_corr, CASE WHEN lag <> 0 AND lag_corr >= 0.05 AND lag_corr > corr + 0.05 THEN CASE WHEN lag > 0 THEN a ELSE b END END AS leader FROM g""")
+@query(LEADS + """ SELECT a, b, round(corr, 6) AS corr, lag, round(lag_corr, 6) AS lag_corr, CASE WHEN lag <> 0 AND lag_corr >= 0.05 AND lag_corr > zero + 0.05 THEN CASE WHEN lag > 0 THEN a ELSE b END END AS leader FROM g""")
 def lead_lag_best(spark, d):
     out = R.lead_lag(_aligned(spark, d, "abs(ret)"), least_corr=0.05)
     return out.select("a", "b", r6("corr"), F.col("lag").cast("long").alias("lag"), r6("lag_corr"), "leader")
 
 
-@query(LEADS + """, k AS (SELECT a, b, lag, lag_corr, CASE WHEN lag > 0 THEN a ELSE b END AS leader, CASE WHEN lag > 0 THEN b ELSE a END AS follower FROM g WHERE lag <> 0 AND lag_corr >= 0.05 AND lag_corr > corr + 0.05 ORDER BY lag_corr DESC, a, b LIMIT 5),
-n AS (SELECT symbol, arg_max(x, t) AS score FROM x GROUP BY symbol) SELECT leader, follower, lag, round(lag_corr, 6) AS lag_corr, round(score, 6) AS score, score >= 0.5 AS warned FROM k LEFT JOIN n ON n.symbol = k.leader""")
+@query(LEADS + """, k AS (SELECT abs(lag) AS lag_bars, lag_corr, CASE WHEN lag > 0 THEN a ELSE b END AS leader, CASE WHEN lag > 0 THEN b ELSE a END AS follower FROM g WHERE lag <> 0 AND lag_corr >= 0.05 AND lag_corr > zero + 0.05),
+n AS (SELECT symbol, arg_max(x, t) AS score FROM x GROUP BY symbol)
+SELECT leader, follower, lag_bars, round(lag_corr, 6) AS lag_corr, round(score, 6) AS score FROM k JOIN n ON n.symbol = k.leader WHERE score >= 0.1""")
 def lead_lag_warnings(spark, d):
-    """The five strongest links, and which followers their leader's latest score warns."""
+    """The followers whose leader's latest score reaches the threshold."""
     rows = _aligned(spark, d, "abs(ret)")
-    out = R.warnings(R.lead_lag(rows, least_corr=0.05), rows, 0.5)
-    return out.select("leader", "follower", F.col("lag").cast("long").alias("lag"), r6("lag_corr"), r6("score"), "warned")
+    out = R.warnings(R.lead_lag(rows, least_corr=0.05), rows, 0.1)
+    return out.select("leader", "follower", F.col("lag_bars").cast("long").alias("lag_bars"), r6("lag_corr"), r6("score"))
+
+
+@query(LEADS + " SELECT a, b, lag, round(lag_corr, 6) AS lag_corr FROM g ORDER BY g.lag_corr DESC, a, b LIMIT 5")
+def strongest_links(spark, d):
+    return R.strongest(R.lead_lag(_aligned(spark, d, "abs(ret)"))).select("a", "b", F.col("lag").cast("long").alias("lag"), r6("lag_corr"))
 
 
 @query(ALIGNED.format(value="abs(ret)") + " SELECT t, max(idx) AS idx, round(max(x), 6) AS top FROM x GROUP BY t HAVING max(idx) % 5 = 0")
@@ -324,10 +397,10 @@ def aligned_emit(spark, d):
     return _aligned(spark, d, "abs(ret)").groupBy("t").agg(F.max("idx").cast("long").alias("idx"), r6(F.max("x"), "top")).where("idx % 5 = 0")
 
 
-@query(""", o AS (SELECT symbol, t - t % 3600000 AS t, greatest(-1, least(1, arg_max((seq % 200 - 100) / 80.0, seq))) AS obi FROM ticks WHERE seq % 50 = 0 GROUP BY symbol, t - t % 3600000)
+@query(""", o AS (SELECT symbol, t - t % 3600000 AS t, greatest(-1, least(1, arg_max((seq % 200 - 100) / 80.0, seq))) AS obi FROM ticks GROUP BY symbol, t - t % 3600000)
 SELECT b.symbol, b.t, b.close, round(o.obi, 6)::DOUBLE AS obi FROM bars b LEFT JOIN o USING (symbol, t)""")
 def obi_attach(spark, d):
-    samples = ticks(spark, d).where("seq % 50 = 0").select("symbol", "t", ((F.col("seq") % 200 - 100) / 80.0).alias("value"), "seq")
+    samples = ticks(spark, d).select("symbol", "t", ((F.col("seq") % 200 - 100) / 80.0).alias("value"), "seq")
     return B.attach_imbalance(hourly(spark, d), samples, HOUR).select("symbol", "t", "close", r6("obi"))
 
 
@@ -371,7 +444,7 @@ def scored(spark, d) -> DataFrame:
 
 def outcomes(spark, d) -> DataFrame:
     onsets = windows(spark, d).select("event", "symbol", F.col("start").alias("onset"))
-    return V.first_alerts(onsets, scored(spark, d), 3 * HOUR, 12 * HOUR)
+    return V.first_alerts(onsets, scored(spark, d), 3 * HOUR, 12 * HOUR, ["z2", "z3"])
 
 
 @query(SCORED + FIRST + " SELECT method, event, symbol, hit IS NOT NULL AS detected, (hit - onset) / 60000.0::DOUBLE AS latency_min FROM fa")
@@ -386,13 +459,6 @@ def replay_summary(spark, d):
     return V.replay(scored(spark, d), windows(spark, d))
 
 
-@query(SCORED + FIRST + """, p AS (SELECT a.event, a.hit IS NOT NULL AS d1, b.hit IS NOT NULL AS d0, (a.hit - b.hit) / 60000.0 AS gap FROM fa a JOIN fa b USING (event) WHERE a.method = 'z3' AND b.method = 'z2')
-SELECT 'z3' AS method, count(*) AS n, round(avg(d1::INT - d0::INT), 6) AS diff, quantile_cont(gap, 0.5)::DOUBLE AS median_gap_min, CASE WHEN avg(d1::INT - d0::INT) - 1 > 0 THEN 'higher' WHEN avg(d1::INT - d0::INT) - 0.001 < 0 THEN 'lower' ELSE 'no clear difference' END AS verdict FROM p""")
-def paired_difference(spark, d):
-    out = V.paired(outcomes(spark, d), "z2")
-    return out.select("method", "n", r6("diff"), "median_gap_min", V.verdict(F.col("diff") - 1, F.col("diff") - 0.001).alias("verdict"))
-
-
 POINTS = """, lim AS (SELECT unnest([1.5, 2.0, 2.5, 3.0, 4.0]) AS budget), ms AS (SELECT 'z' AS method, symbol, t, z AS v FROM z WHERE z IS NOT NULL UNION ALL SELECT 'volume', symbol, t, volume / 4 FROM z WHERE z IS NOT NULL),
 oc AS (SELECT m.method, lim.budget, ev.event, bool_or(m.v > budget AND m.t BETWEEN start - 10800000 AND start + 43200000) AS detected, count(*) FILTER (WHERE m.v > budget AND zo.zone = 'quiet') AS fa, count(*) FILTER (WHERE zo.zone = 'quiet') / 24.0 AS quiet_days
 FROM ms m CROSS JOIN lim JOIN ev ON ev.symbol = m.symbol AND m.t BETWEEN start - 86400000 AND "end" + 86400000 JOIN zo ON zo.symbol = m.symbol AND zo.t = m.t GROUP BY m.method, lim.budget, ev.event),
@@ -404,7 +470,7 @@ def budget_outcomes(spark, d) -> DataFrame:
     z = zscores(spark, d).where("z is not null")
     kinds = F.explode(F.array(F.named_struct(F.lit("method"), F.lit("z"), F.lit("v"), F.col("z")), F.named_struct(F.lit("method"), F.lit("volume"), F.lit("v"), F.col("volume") / 4))).alias("m")
     zoned = V.zones(z.select("symbol", "t", "z", "volume"), windows(spark, d))
-    rows = V.slices(zoned, windows(spark, d), DAY, DAY).join(F.broadcast(windows(spark, d).select("event", "start")), "event")
+    rows = V.slices(zoned, windows(spark, d), DAY, DAY).join(windows(spark, d).select("event", "start"), "event")
     rows = rows.select("event", "t", "start", "zone", kinds, F.explode(F.array(*map(F.lit, (1.5, 2.0, 2.5, 3.0, 4.0)))).alias("budget"))
     over, quiet = F.col("m.v") > F.col("budget"), F.col("zone") == "quiet"
     near = F.col("t").between(F.col("start") - 3 * HOUR, F.col("start") + 12 * HOUR)
@@ -420,85 +486,126 @@ def rate_recall_curve(spark, d):
 f AS (SELECT method, target, arg_min(CASE WHEN r2 = rate THEN y2 ELSE recall + (y2 - recall) * (target - rate) / (r2 - rate) END, rate) AS y FROM n, tr WHERE rate <= target AND r2 >= target GROUP BY method, target)
 SELECT m.method, tr.target::DOUBLE AS target, round(f.y, 6) AS recall FROM (SELECT DISTINCT method FROM pt) m CROSS JOIN tr LEFT JOIN f ON f.method = m.method AND f.target = tr.target""")
 def matched_recall(spark, d):
-    points = V.rate_points(budget_outcomes(spark, d))
-    return V.recall_at(points, 3.0).withColumn("target", F.lit(3.0)).unionByName(V.recall_at(points, 5.0).withColumn("target", F.lit(5.0))).select("method", "target", r6("recall"))
-
-
-@query(""", tg AS (SELECT event, unnest(CASE WHEN day % 8 = 0 THEN ['all', 'late', 'early8'] WHEN day > 14 THEN ['all', 'late'] ELSE ['all'] END) AS tag FROM ev) SELECT tag, count(*) AS n FROM tg GROUP BY tag HAVING count(*) >= 5""")
-def overlapping_subsets(spark, d):
-    tags = F.when(F.col("day") % 8 == 0, F.array(*map(F.lit, ("all", "late", "early8")))).when(F.col("day") > 14, F.array(F.lit("all"), F.lit("late"))).otherwise(F.array(F.lit("all")))
-    return windows(spark, d).select("event", F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    return V.recall_at(V.rate_points(budget_outcomes(spark, d)), [3.0, 5.0]).select("method", "target", r6("recall"))
 
 
 STUDY_OUTCOMES = """, so AS (SELECT sc.method, ev.event, any_value(ev.day) AS cluster, count(*) FILTER (WHERE sc.alert AND zo.zone = 'quiet') AS fa, count(*) FILTER (WHERE sc.ready AND zo.zone = 'quiet') / 24.0::DOUBLE AS quiet_days
 FROM sc JOIN ev ON ev.symbol = sc.symbol AND sc.t BETWEEN start - 86400000 AND "end" + 86400000 JOIN zo ON zo.symbol = sc.symbol AND zo.t = sc.t GROUP BY sc.method, ev.event),
 oc AS (SELECT so.*, fa.hit IS NOT NULL AS detected, (fa.hit - fa.onset) / 60000.0::DOUBLE AS lat FROM so JOIN fa USING (method, event)),
 """
-STUDY_TURNS = """dr AS (SELECT cluster, rep, CASE WHEN rep < 0 THEN 1 ELSE (cluster * 7919 + rep * 104729) % 4 END AS times FROM (SELECT DISTINCT cluster FROM oc), (SELECT unnest(range(-1, 200)) AS rep)),
-"""
 STUDY_POINTS = """ex AS (SELECT a.*, b.detected AS rd, b.lat AS rl, b.fa AS rf, b.quiet_days AS rq, rep, unnest(range(0, times)) AS u FROM oc a JOIN oc b ON b.event = a.event AND b.method = 'z2' JOIN dr ON dr.cluster = a.cluster),
 pp AS (SELECT method, rep, count(DISTINCT event) AS n, avg(detected::INT) AS recall, sum(fa) / nullif(sum(quiet_days), 0) AS rate, quantile_cont(lat, 0.5) AS latency, avg(detected::INT) - avg(rd::INT) AS d_recall, sum(fa) / nullif(sum(quiet_days), 0) - sum(rf) / nullif(sum(rq), 0) AS d_rate, quantile_cont(lat - rl, 0.5) AS d_latency FROM ex GROUP BY method, rep)"""
-STUDY = STUDY_OUTCOMES + STUDY_TURNS + STUDY_POINTS
 #: Resamples with replacement of the clusters in {rows}: as many draws as clusters, each by a hash of (rep, draw).
-DRAWN = """, k AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM {rows})),
-d AS (SELECT rep, ('0x' || substr(md5(rep || '|' || i), 1, 12))::BIGINT % n AS i FROM k, (SELECT unnest(range(0, 2000)) AS rep))"""
+DRAWN = """, k AS (SELECT {by}cluster, row_number() OVER ({part}ORDER BY cluster) - 1 AS i, count(*) OVER ({part}) AS n FROM (SELECT DISTINCT {by}cluster FROM {rows})),
+d AS (SELECT {by}rep, ('0x' || substr(md5(rep || '|' || i), 1, 12))::BIGINT % n AS i FROM k, (SELECT unnest(range(0, {reps})) AS rep))"""
 MEASURES = ("recall", "rate", "latency", "d_recall", "d_rate", "d_latency")
 _BOUNDS = ", ".join(f"round(max({x}) FILTER (WHERE rep < 0), 6)::DOUBLE AS {x}, " + ", ".join(f"CASE WHEN count({x}) FILTER (WHERE rep >= 0) >= 20 THEN round(quantile_cont({x}, {q}) FILTER (WHERE rep >= 0), 6)::DOUBLE END AS {x}_{e}" for e, q in (("lo", 0.025), ("hi", 0.975))) for x in MEASURES)
 
 
-_SUMMARY = f""" SELECT *, CASE WHEN method = 'z2' THEN 'reference' WHEN d_recall_lo IS NULL THEN 'n/a' WHEN d_recall_lo > 0 THEN 'higher' WHEN d_recall_hi < 0 THEN 'lower' ELSE 'no clear difference' END AS verdict
-FROM (SELECT method, max(n) FILTER (WHERE rep < 0) AS n, {_BOUNDS} FROM pp GROUP BY method)"""
+def drawn(rows: str, reps: int = 2000, by: str = "") -> str:
+    return DRAWN.format(rows=rows, reps=reps, by=f"{by}, " if by else "", part=f"PARTITION BY {by} " if by else "")
 
 
-@query(ZONES + SCORED + FIRST + STUDY + _SUMMARY)
-def study_summary(spark, d):
-    """With 200 weightings of the days that repeat every fourth; cluster_study_summary has resamples."""
-    times = (F.col("cluster") * 7919 + F.col("rep") * 104729) % 4
-    reps = windows(spark, d).select(F.col("day").alias("cluster")).distinct().select("cluster", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep")).withColumn("times", times)
-    return _study(spark, d, reps)
+_SUMMARY = f""", sm AS (SELECT *, CASE WHEN method = 'z2' THEN 'reference' WHEN d_recall_lo IS NULL THEN 'n/a' WHEN d_recall_lo > 0 THEN 'higher' WHEN d_recall_hi < 0 THEN 'lower' ELSE 'no clear difference' END AS verdict
+FROM (SELECT method, max(n) FILTER (WHERE rep < 0) AS n, {_BOUNDS} FROM pp GROUP BY method))"""
+_REPS = drawn("oc") + """, dr AS (SELECT cluster, -1 AS rep, 1 AS times FROM k UNION ALL SELECT cluster, rep, count(*) FROM d JOIN k USING (i) GROUP BY cluster, rep),
+"""
+#: A random alerter at each method's rate over the events' windows, in hourly bars from a day before the event; 200 trials.
+CHANCE = """, cw AS (SELECT event, (start - 10800000 - (start - 86400000)) // 3600000 AS w1, (start + 43200000 - (start - 86400000)) // 3600000 AS w2 FROM ev),
+cr AS (SELECT method, sum(fa) / sum(quiet_days) AS rate FROM oc GROUP BY method HAVING sum(fa) / sum(quiet_days) > 0),
+ct AS (SELECT event, w1, w2, method, rate, rep, 0 AS k, 6 + floor(('0x' || substr(md5(event || '|' || rep || '|0'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * (24 / rate)) AS pos FROM cw, cr, (SELECT unnest(range(0, 200)) AS rep)
+UNION ALL SELECT event, w1, w2, method, rate, rep, k + 1, pos + 2 + ceil(-ln(1 - ('0x' || substr(md5(event || '|' || rep || '|' || (k + 1)), 1, 12))::BIGINT / 281474976710656.0::DOUBLE) * greatest(1.0, 24 / rate - 2)) FROM ct WHERE pos < w1),
+ch AS (SELECT method, rate, avg(r) AS mean, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi
+FROM (SELECT method, rate, rep, avg(CASE WHEN pos <= w2 THEN 1.0::DOUBLE ELSE 0 END) AS r FROM ct WHERE pos >= w1 GROUP BY method, rate, rep) GROUP BY method, rate)"""
 
 
-def _study(spark, d, reps):
+def study_rows(spark, d) -> DataFrame:
+    """Outcomes of both limits with the events' days as clusters, false alarms and quiet days of their slices."""
     e = windows(spark, d)
     zoned = V.slices(V.zones(scored(spark, d), e), e, DAY, DAY)
     quiet = F.col("zone") == "quiet"
     fa = zoned.groupBy("method", "event").agg(F.count_if(F.col("alert") & quiet).alias("fa"), (F.count_if(F.col("ready") & quiet) / 24.0).alias("quiet_days"))
-    rows = outcomes(spark, d).join(fa, ["method", "event"]).join(e.select("event", F.col("day").alias("cluster")), "event")
-    out = V.study_summary(rows, reps, "z2")
-    return out.select("method", "n", *(r6(f"{x}{end}") for x in MEASURES for end in ("", "_lo", "_hi")), "verdict")
+    return outcomes(spark, d).join(fa, ["method", "event"]).join(e.select("event", F.col("day").alias("cluster")), "event")
 
 
-@query(ZONES + SCORED + FIRST + STUDY_OUTCOMES.rstrip(",\n") + DRAWN.format(rows="oc") + """, dr AS (SELECT cluster, -1 AS rep, 1 AS times FROM k UNION ALL SELECT cluster, rep, count(*) FROM d JOIN k USING (i) GROUP BY cluster, rep),
-""" + STUDY_POINTS + _SUMMARY)
-def cluster_study_summary(spark, d):
-    """The study's summary with 2000 resamples of its days."""
-    return _study(spark, d, V.resamples(windows(spark, d).select(F.col("day").alias("cluster")), 2000))
+def chances(spark, d, rows: DataFrame) -> DataFrame:
+    rates = rows.groupBy("method").agg((F.sum("fa") / F.sum("quiet_days")).alias("rate")).where("rate > 0")
+    spans = windows(spark, d).select("event", F.lit(21).alias("first"), F.lit(36).alias("last"))
+    return V.chance(spans, rates, 200, 24, 2, 6)
 
 
-@query(""", v AS (SELECT (t // 86400000) AS cluster, abs(ret) AS x FROM r), c AS (SELECT cluster, sum(x) AS s, count(*) AS n FROM v GROUP BY cluster), p AS (SELECT unnest(range(0, 200)) AS rep),
-m AS (SELECT rep, sum(((cluster * 7919 + rep * 104729) % 4) * s) / sum(((cluster * 7919 + rep * 104729) % 4) * n) AS m FROM p, c GROUP BY rep)
-SELECT round((SELECT avg(x) FROM v), 6) AS est, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
-def bootstrap_ci(spark, d):
-    """With 200 weightings of the days that repeat every fourth; cluster_bootstrap_ci has resamples."""
-    values = returns(spark, d).select(F.floor(F.col("t") / DAY).cast("long").alias("cluster"), F.abs("ret").alias("x"))
-    reps = values.select("cluster").distinct().select("cluster", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep"))
-    reps = reps.withColumn("times", (F.col("cluster") * 7919 + F.col("rep") * 104729) % 4)
-    return V.bootstrap(values, reps).select(r6("est"), r6("lo"), r6("hi"))
+@query(ZONES + SCORED + FIRST + STUDY_OUTCOMES.rstrip(",\n") + _REPS + STUDY_POINTS + _SUMMARY + CHANCE + """
+SELECT sm.*, round(ch.mean, 6) AS chance, round(ch.lo, 6) AS chance_lo, round(ch.hi, 6) AS chance_hi, round(sm.recall - ch.mean, 6) AS skill FROM sm LEFT JOIN ch USING (method)""")
+def study_summary(spark, d):
+    """Per method, with 95 % bounds from 2000 resamples of the days, and the recall of chance at its rate."""
+    rows = study_rows(spark, d)
+    out = V.study_summary(rows, V.resamples(rows.select("cluster"), 2000), "z2").select("method", "n", *(r6(f"{x}{end}") for x in MEASURES for end in ("", "_lo", "_hi")), "verdict")
+    by_chance = chances(spark, d, rows).select("method", r6("mean", "chance"), r6("lo", "chance_lo"), r6("hi", "chance_hi"), F.col("mean").alias("m"))
+    return out.join(by_chance, "method", "left").withColumn("skill", F.round(F.col("recall") - F.col("m"), 6)).drop("m")
+
+
+@query(ZONES + SCORED + FIRST + STUDY_OUTCOMES.rstrip(",\n") + drawn("oc") + """, p AS (SELECT a.event, a.cluster, a.detected::INT - b.detected::INT AS gap, a.lat - b.lat AS late FROM oc a JOIN oc b USING (event) WHERE a.method = 'z3' AND b.method = 'z2'),
+q AS (SELECT rep, avg(gap) AS m FROM d JOIN k USING (i) JOIN p USING (cluster) GROUP BY rep), b AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM q)
+SELECT 'z3' AS method, count(*) AS n, round(avg(gap), 6) AS diff, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, quantile_cont(late, 0.5)::DOUBLE AS median_gap_min,
+CASE WHEN any_value(lo) > 0 THEN 'higher' WHEN any_value(hi) < 0 THEN 'lower' ELSE 'no clear difference' END AS verdict FROM p, b""")
+def paired_difference(spark, d):
+    """Difference of recall to the reference over the same events, with 95 % bounds from 2000 resamples of the days."""
+    rows = study_rows(spark, d)
+    out = V.study_summary(rows, V.resamples(rows.select("cluster"), 2000), "z2").where("method <> 'z2'")
+    return out.select("method", "n", r6("d_recall", "diff"), r6("d_recall_lo", "lo"), r6("d_recall_hi", "hi"), F.col("d_latency").alias("median_gap_min"), "verdict")
 
 
-@query(""", v AS (SELECT (t // 86400000) AS cluster, abs(ret) AS x FROM r), c AS (SELECT cluster, sum(x) AS s, count(*) AS m FROM v GROUP BY cluster)""" + DRAWN.format(rows="v") + """, p AS (SELECT rep, sum(s) / sum(m) AS mean FROM d JOIN k USING (i) JOIN c USING (cluster) GROUP BY rep)
+@query(""", v AS (SELECT (t // 86400000) AS cluster, abs(ret) AS x FROM r), c AS (SELECT cluster, sum(x) AS s, count(*) AS m FROM v GROUP BY cluster)""" + drawn("v") + """, p AS (SELECT rep, sum(s) / sum(m) AS mean FROM d JOIN k USING (i) JOIN c USING (cluster) GROUP BY rep)
 SELECT round((SELECT avg(x) FROM v), 6) AS est, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM p""")
-def cluster_bootstrap_ci(spark, d):
+def bootstrap_ci(spark, d):
     """The mean absolute return, with 2000 resamples of the days."""
     values = returns(spark, d).select(F.floor(F.col("t") / DAY).cast("long").alias("cluster"), F.abs("ret").alias("x"))
     return V.bootstrap(values, V.resamples(values, 2000)).select(r6("est"), r6("lo"), r6("hi"))
 
 
-@query()
+TAGS = "CASE WHEN day % 8 = 0 THEN ['all', 'late', 'early8'] WHEN day > 14 THEN ['all', 'late'] ELSE ['all'] END"
+
+
+def tags() -> Column:
+    return F.when(F.col("day") % 8 == 0, F.array(*map(F.lit, ("all", "late", "early8")))).when(F.col("day") > 14, F.array(F.lit("all"), F.lit("late"))).otherwise(F.array(F.lit("all")))
+
+
+@query(f", tg AS (SELECT event, unnest({TAGS}) AS tag FROM ev) SELECT tag, count(*) AS n FROM tg GROUP BY tag HAVING count(*) >= 5")
+def overlapping_subsets(spark, d):
+    return windows(spark, d).select("event", F.explode(tags()).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+
+
+@query(ZONES + POINTS + f""", so AS (SELECT unnest({TAGS}) AS subset, oc.*, ev.day AS cluster FROM oc JOIN ev USING (event)), sn AS (SELECT subset, count(DISTINCT event) AS n FROM so GROUP BY subset HAVING count(DISTINCT event) >= 5)""" + drawn("so", 200, "subset") + """,
+dr AS (SELECT subset, cluster, -1 AS rep, 1 AS times FROM k UNION ALL SELECT subset, cluster, rep, count(*) FROM d JOIN k USING (subset, i) GROUP BY subset, cluster, rep),
+sp AS (SELECT subset, rep, method, budget, sum(times * fa) / nullif(sum(times * quiet_days), 0) AS rate, sum(times * detected::INT) / sum(times)::DOUBLE AS recall FROM so JOIN sn USING (subset) JOIN dr USING (subset, cluster) GROUP BY ALL),
+sl AS (SELECT *, lead(rate) OVER w AS r2, lead(recall) OVER w AS y2 FROM sp WHERE rate IS NOT NULL WINDOW w AS (PARTITION BY subset, rep, method ORDER BY rate, budget)),
+sf AS (SELECT subset, rep, method, target::DOUBLE AS target, arg_min(CASE WHEN r2 = rate THEN y2 ELSE recall + (y2 - recall) * (target - rate) / (r2 - rate) END, rate) FILTER (WHERE rate <= target AND r2 >= target) AS recall FROM sl, (SELECT unnest([3.0, 5.0]) AS target) GROUP BY ALL),
+sd AS (SELECT a.*, a.recall - b.recall AS diff FROM sf a LEFT JOIN sf b ON b.subset = a.subset AND b.rep = a.rep AND b.target = a.target AND b.method = 'z'),
+sb AS (SELECT subset, method, target, """ + ", ".join(f"max({x}) FILTER (WHERE rep < 0) AS {x}, " + ", ".join(f"CASE WHEN count({x}) FILTER (WHERE rep >= 0) >= 20 THEN quantile_cont({x}, {q}) FILTER (WHERE rep >= 0) END AS {x}_{e}" for e, q in (("lo", 0.025), ("hi", 0.975))) for x in ("recall", "diff")) + """ FROM sd GROUP BY subset, method, target)
+SELECT subset, n, method, target, round(recall, 6) AS recall, round(recall_lo, 6) AS recall_lo, round(recall_hi, 6) AS recall_hi, round(diff, 6) AS diff, round(diff_lo, 6) AS diff_lo, round(diff_hi, 6) AS diff_hi,
+CASE WHEN method = 'z' THEN 'reference' WHEN diff_lo IS NULL THEN 'n/a' WHEN diff_lo > 0 THEN 'higher' WHEN diff_hi < 0 THEN 'lower' ELSE 'no clear difference' END AS verdict FROM sb JOIN sn USING (subset)""")
+def subset_summary(spark, d):
+    """Recall at matched rates per subset of the events, with 95 % bounds from 200 resamples of a subset's days."""
+    e = windows(spark, d).select("event", F.col("day").alias("cluster"), F.explode(tags()).alias("subset"))
+    rows = budget_outcomes(spark, d).join(e, "event")
+    out = V.subset_summary(rows, V.resamples(rows.select("subset", "cluster"), 200, ("subset",)), "z", [3.0, 5.0])
+    return out.select("subset", "n", "method", "target", *(r6(f"{x}{end}") for x in ("recall", "diff") for end in ("", "_lo", "_hi")), "verdict")
+
+
+@query(ZONES + SCORED + FIRST + f""" SELECT * FROM (SELECT 'selected' AS name, count(*) AS n FROM ev UNION ALL SELECT 'tag ' || tag, count(*) FROM (SELECT unnest({TAGS}) AS tag FROM ev) GROUP BY tag
+UNION ALL SELECT 'detected by ' || method, count(hit) FROM fa GROUP BY method)""")
+def event_counts(spark, d):
+    """How many events there are, in each subset, and found by each method."""
+    e = windows(spark, d)
+    rows = e.select(F.explode(F.concat(F.array(F.lit("selected")), F.transform(tags(), lambda x: F.concat(F.lit("tag "), x)))).alias("name"), F.lit(1).alias("one"))
+    found = outcomes(spark, d).select(F.concat(F.lit("detected by "), "method").alias("name"), F.col("detected").cast("int").alias("one"))
+    return rows.unionByName(found).groupBy("name").agg(F.sum("one").alias("n"))
+
+
+@query(ZONES + SCORED + FIRST + STUDY_OUTCOMES.rstrip(",\n") + CHANCE + " SELECT method, round(rate, 6) AS rate, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ch")
 def chance_recall(spark, d):
-    made = [(1440 * 2 + 720, 1500 + 30 * k, 1650 + 30 * k) for k in range(20)]
-    rows = [(r, *stats.chance_recall(made, r, 15, 400, 20261004 + int(r)).values()) for r in (1.0, 3.0, 6.0, 12.0)]
-    return spark.createDataFrame([(float(a), float(b), float(c), float(e)) for a, b, c, e in rows], "per_day double, mean double, lo double, hi double")
+    """What a random alerter at each method's rate of false alarms would find of the events."""
+    return chances(spark, d, study_rows(spark, d)).select("method", r6("rate"), r6("mean"), r6("lo"), r6("hi"))
 
 
 @query(SCORED + FIRST + """ SELECT event, max(CASE WHEN method = 'z2' THEN (hit - onset) / 60000.0::DOUBLE END) AS z2, max(CASE WHEN method = 'z3' THEN (hit - onset) / 60000.0::DOUBLE END) AS z3 FROM fa GROUP BY event""")
@@ -561,11 +668,13 @@ def feed_lag(spark, d):
 def _raw(spark, d):
     t = ticks(spark, d)
     price = F.when(F.col("id") % 11 == 0, "oops").otherwise(F.col("price").cast("string"))
-    body = F.format_string('{"stream":"%s@trade","data":{"t":%d,"p":"%s","q":"1.0","T":%d}}', F.lower("symbol"), F.col("id"), price, F.col("t"))
+    price = F.when(F.col("id") % 17 == 0, F.element_at(F.array(*map(F.lit, ("NaN", "Infinity", "1d", "2f", "1e999", ""))), (F.col("id") % 6 + 1).cast("int"))).otherwise(price)
+    at = F.when(F.col("id") % 19 == 0, F.element_at(F.array(*map(F.lit, ('"NaN"', '"1e30"', '""', "null"))), (F.col("id") % 4 + 1).cast("int"))).otherwise(F.col("t").cast("string"))
+    body = F.format_string('{"stream":"%s@trade","data":{"t":%d,"p":"%s","q":"1.0","T":%s}}', F.lower("symbol"), F.col("id"), price, at)
     return t.select("id", F.when(F.col("id") % 13 == 0, F.lit("{broken")).otherwise(body).alias("value"))
 
 
-@query(" SELECT 'binance:' || upper(symbol) AS symbol, t, price, qty, seq::VARCHAR AS id FROM ticks WHERE seq % 11 <> 0 AND seq % 13 <> 0")
+@query(" SELECT 'binance:' || upper(symbol) AS symbol, t, price, qty, seq::VARCHAR AS id FROM ticks WHERE seq % 11 <> 0 AND seq % 13 <> 0 AND seq % 17 <> 0 AND seq % 19 <> 0")
 def json_trade_parse(spark, d):
     return messages.combined_stream(_raw(spark, d).select("value")).select("symbol", "t", "price", "qty", "id")
 
@@ -578,35 +687,82 @@ def match_message_parse(spark, d):
     return messages.matches(ticks(spark, d).select(body.alias("value"))).select("symbol", "t", "price", "qty", "id")
 
 
-@query(" SELECT seq, CASE WHEN seq % 10 = 0 THEN NULL ELSE round(((seq % 7) + 1 - (seq % 5)) / ((seq % 7) + 1 + (seq % 5))::DOUBLE, 6) END AS obi FROM ticks")
+@query(" SELECT seq, CASE WHEN seq % 10 = 0 OR seq % 7 = 3 THEN NULL ELSE round(((seq % 7) + 1 - (seq % 5)) / ((seq % 7) + 1 + (seq % 5))::DOUBLE, 6) END AS obi FROM ticks")
 def book_imbalance(spark, d):
     t = ticks(spark, d)
     quantity = lambda c: F.array(F.array(F.lit("1"), c.cast("string")))
     empty = F.array().cast("array<array<string>>")
-    bids = F.when(F.col("seq") % 10 == 0, empty).otherwise(quantity(F.col("seq") % 7 + 1))
+    junk = F.element_at(F.array(*map(F.lit, ("NaN", "Infinity", "1d", "x"))), (F.col("seq") % 4 + 1).cast("int"))
+    bids = F.when(F.col("seq") % 10 == 0, empty).when(F.col("seq") % 7 == 3, quantity(junk)).otherwise(quantity(F.col("seq") % 7 + 1))
     asks = F.when(F.col("seq") % 10 == 0, empty).otherwise(quantity(F.col("seq") % 5))
     return t.select("seq", r6(messages.imbalance(bids, asks), "obi"))
 
 
-@query(" SELECT t, count(*) AS n, max(price) AS high, min(price) AS low, sum(qty) AS volume FROM ticks WHERE price > 0 AND seq % 9 <> 0 GROUP BY t")
+@query(" SELECT t, count(*) AS n, max(price) AS high, min(price) AS low, sum(qty) AS volume FROM ticks WHERE price > 0 AND seq % 9 <> 0 AND seq % 8 <> 0 GROUP BY t")
 def kline_lines(spark, d):
     """Kline lines with headers, junk and microseconds among them."""
     t = ticks(spark, d)
     at = F.when(F.col("seq") % 2 == 0, F.col("t") * 1000).otherwise(F.col("t"))
     line = F.when(F.col("seq") % 9 == 0, "open_time,open,high,low,close,volume").otherwise(F.concat_ws(",", at.cast("string"), "price", "price", "price", "price", "qty"))
+    junk = F.element_at(F.array(*map(F.lit, ("NaN", "Infinity", "1d", "2f", "1e999"))), (F.col("seq") % 5 + 1).cast("int"))
+    line = F.when(F.col("seq") % 16 == 0, F.concat_ws(",", at.cast("string"), "price", "price", "price", junk, "qty")).when(F.col("seq") % 16 == 8, F.concat_ws(",", F.when(F.col("seq") % 3 == 0, "1e30").otherwise("NaN"), "price", "price", "price", "price", "qty")).otherwise(line)
     rows = files.minute_klines(t.select(line.alias("value")))
     return rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.max("close").alias("high"), F.min("open").alias("low"), F.sum("volume").alias("volume"))
 
 
-@query(""" SELECT strftime(make_timestamp(t * 1000), '%Y-%m-%d') AS day, count(*) AS n, max(price) AS high FROM ticks WHERE price > 0 AND seq % 9 <> 0 GROUP BY 1""")
+@query(""" SELECT strftime(make_timestamp(t * 1000), '%Y-%m-%d') AS day, count(*) AS n, max(price) AS high FROM ticks WHERE price > 0 AND seq % 9 <> 0 AND seq % 8 <> 0 GROUP BY 1""")
 def daily_kline_lines(spark, d):
     t = ticks(spark, d)
-    line = F.when(F.col("seq") % 9 == 0, "junk,1,2").otherwise(F.concat_ws(",", F.col("t").cast("string"), "price", "price", "price", "price", "qty"))
+    line = F.when(F.col("seq") % 9 == 0, "junk,1,2").when(F.col("seq") % 8 == 0, F.concat_ws(",", F.col("t").cast("string"), "price", F.lit("NaN"), "price", "price", "qty")).otherwise(F.concat_ws(",", F.col("t").cast("string"), "price", "price", "price", "price", "qty"))
     utc = t.select(line.alias("value"), "t")
     made = files.daily_klines(utc)
     return made.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.max("high").alias("high"))
 
 
+@query(" SELECT t, price AS close, qty AS volume FROM ticks WHERE t + 60000 <= 1705276800000")
+def klines_page(spark, d):
+    """Pages of REST klines, a row each, the bars still open left out."""
+    page = F.format_string('[[%d,"1","2","0.5","%s","%s",0,"x"]]', F.col("t"), F.col("price").cast("string"), F.col("qty").cast("string"))
+    return messages.klines_page(ticks(spark, d).select(page.alias("value")), 1705276800000)
+
+
+@query(""", c AS (SELECT t - t % 1000 AS t, max(price) AS close FROM ticks WHERE seq % 5 <> 0 GROUP BY 1), o AS (SELECT t - t % 1000 AS t, min(price) AS close FROM ticks WHERE seq % 3 = 0 GROUP BY 1)
+SELECT coalesce(c.t, o.t) AS t, coalesce(c.close, o.close) AS close, 1.0::DOUBLE AS volume FROM c FULL JOIN o ON o.t = c.t WHERE coalesce(c.t, o.t) + 60000 <= 1705276800000""")
+def merged_history(spark, d):
+    """Two pages of candles as one series; the newer page counts where both have a time. Candles of junk are left out."""
+    rows = ticks(spark, d).withColumn("s", F.floor(F.col("t") / 1000))
+
+    def page(rows, price):
+        one = rows.groupBy("s").agg(price.alias("p"))
+        return messages.candles_page(one.select(F.format_string('[[%d,1,2,0.5,%s,1.0],["NaN",1,1,1,1,1],[%d,1,1,1,"1d",1]]', F.col("s"), F.col("p").cast("string"), F.col("s")).alias("value")), 1705276800000)
+
+    return messages.merged_history(page(rows.where("seq % 3 = 0"), F.min("price")), page(rows.where("seq % 5 <> 0"), F.max("price")))
+
+
+@query(" SELECT 'binance:' || upper(symbol) AS symbol, seq, round((seq % 7 + 1 - seq % 5) / (seq % 7 + 1 + seq % 5)::DOUBLE, 6) AS obi FROM ticks")
+def depth_parse(spark, d):
+    """Book messages of two levels a side to imbalances."""
+    body = F.format_string('{"stream":"%s@depth10@100ms","data":{"bids":[["1","%d"],["2","1"]],"asks":[["3","%d"]]}}', F.lower("symbol"), F.col("seq") % 7, F.col("seq") % 5)
+    return messages.combined_stream(ticks(spark, d).select("seq", body.alias("value"))).where("kind = 'obi'").select("symbol", "seq", r6("obi"))
+
+
+@query(" SELECT symbol, count(*) AS n, sum(price) AS total FROM ticks WHERE symbol IN (SELECT symbol FROM ticks GROUP BY symbol ORDER BY symbol LIMIT 2) GROUP BY symbol")
+def known_symbols(spark, d):
+    """Ticks of the two configured symbols alone."""
+    t = ticks(spark, d)
+    return B.known(t, t.select("symbol").distinct().orderBy("symbol").limit(2)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
+
+
+@query(""" SELECT b.symbol, b.t FROM bars b WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.symbol = b.symbol AND b.t BETWEEN start - 3600000 AND "end" + 21600000)
+AND NOT (b.symbol = (SELECT min(symbol) FROM bars) AND (b.t BETWEEN 1704067200000 + 8 * 86400000::BIGINT - 3600000 AND 1704067200000 + 9 * 86400000::BIGINT + 21600000 OR b.t BETWEEN 1704067200000 + 27 * 86400000::BIGINT - 3600000 AND 1704067200000 + 28 * 86400000::BIGINT + 21600000))""")
+def quiet_with_mask_days(spark, d):
+    """Bars far from the symbol's own events and from days masked besides."""
+    made = hourly(spark, d)
+    days = made.agg(F.min("symbol").alias("symbol")).select("symbol", F.explode(F.array(F.lit(MONDAY // DAY + 8), F.lit(MONDAY // DAY + 27))).alias("day"))
+    spans = V.masks(windows(spark, d), days)
+    return made.join(V.in_any(made, spans, F.col("from"), F.col("to")).select("symbol", "t"), ["symbol", "t"], "left_anti").select("symbol", "t")
+
+
 @query(" SELECT event, symbol, start, \"end\", start + 3600000 AS onset FROM ev")
 def event_windows_json(spark, d):
     iso = lambda c: F.concat(F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ssXXX"))
@@ -676,6 +832,33 @@ def greedy_days(spark, d):
     return X.greedy(X.ranked(daily(spark, d)), 20, 30).select("symbol", "day", F.col("pick").cast("long").alias("pick"))
 
 
+@query(DAILY + GREEDY.format(k=20, apart=30, most=1180) + " SELECT symbol, day, pick, CASE WHEN pick <= 8 THEN 'chosen' ELSE 'held' END AS part FROM gp")
+def split_picks(spark, d):
+    out = X.split_picks(X.greedy(X.ranked(daily(spark, d)), 20, 30), 8)
+    return out.select("symbol", "day", F.col("pick").cast("long").alias("pick"), "part")
+
+
+@query(DAILY + GREEDY.format(k=6, apart=30, most=354) + """ SELECT symbol || '-' || strftime(make_timestamp(gp.day * 86400000000), '%Y-%m-%d') AS event, symbol, gp.day * 86400000 AS start, (gp.day + 1) * 86400000 AS "end" FROM gp""")
+def events_document(spark, d):
+    """The chosen days written as a document of events, and read from it again."""
+    picks = X.greedy(X.ranked(daily(spark, d)), 6, 30)
+    return files.event_windows(sinks.events_document(picks)).select("event", "symbol", "start", "end")
+
+
+REGIME = """, us AS (SELECT *, quantile_cont(range_pct, 0.5) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS usual, lag(day, 7) OVER (PARTITION BY symbol ORDER BY day) = day - 7 AS whole FROM rg),
+rx AS (SELECT symbol, day, range_pct / usual AS ratio FROM us WHERE whole AND usual > 0 AND range_pct >= 4 AND NOT EXISTS (SELECT 1 FROM gp WHERE gp.symbol = us.symbol AND abs(gp.day - us.day) <= 1)),
+rr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ratio DESC, day) AS rank FROM rx)"""
+
+
+@query(DAILY + GREEDY.format(k=10, apart=30, most=590) + REGIME + """, r2 AS (SELECT DISTINCT symbol, 0::BIGINT AS rank, []::BIGINT[] AS p FROM rr UNION ALL SELECT r2.symbol, rr.rank, CASE WHEN len(p) < 6 AND len(list_filter(p, lambda x: abs(x - rr.day) < 20)) = 0 THEN list_append(p, rr.day) ELSE p END FROM r2 JOIN rr ON rr.symbol = r2.symbol AND rr.rank = r2.rank + 1 WHERE rr.rank <= 234)
+SELECT symbol, unnest(arg_max(p, rank)) AS day, unnest(range(1, len(arg_max(p, rank)) + 1)) AS pick FROM r2 GROUP BY symbol""")
+def regime_picks(spark, d):
+    """Days of the largest ratio to the week before, apart from each other and from the shock days."""
+    days = X.ranked(daily(spark, d))
+    out = X.greedy(X.regime(days.drop("rank"), X.greedy(days, 10, 30)), 6, 20, value="ratio")
+    return out.select("symbol", "day", F.col("pick").cast("long").alias("pick"))
+
+
 @query(DAILY + GREEDY.format(k=10, apart=30, most=590) + """, us AS (SELECT *, quantile_cont(range_pct, 0.5) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS usual, lag(day, 7) OVER (PARTITION BY symbol ORDER BY day) = day - 7 AS whole FROM rk),
 rx AS (SELECT symbol, day, range_pct / usual AS ratio FROM us WHERE whole AND usual > 0 AND range_pct >= 4 AND NOT EXISTS (SELECT 1 FROM gp WHERE gp.symbol = us.symbol AND abs(gp.day - us.day) <= 1))
 SELECT symbol, day, round(ratio, 6) AS ratio, rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ratio DESC, day) AS rank FROM rx) WHERE rank <= 20""")

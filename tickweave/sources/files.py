@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import normal_ms
+from ..functions.columns import normal_ms, number
 
 
 def _cells(line: Column) -> Column:
@@ -23,7 +23,7 @@ def _cells(line: Column) -> Column:
 
 
 def _cell(k: int) -> Column:
-    return F.get("c", F.lit(k)).try_cast("double")
+    return number(F.get("c", F.lit(k)))
 
 
 def minute_klines(lines: DataFrame, start: int | None = None, end: int | None = None, positive: bool = True, line: str = "value") -> DataFrame:
@@ -85,6 +85,15 @@ def event_windows(texts: DataFrame, text: str = "value") -> DataFrame:
     return rows.select(F.coalesce("e.id", "e.name").alias("event"), "e.symbol", ms("e.start").alias("start"), ms("e.end").alias("end"), ms("e.onset").alias("onset"), "e.cls")
 
 
+def kline_months(spark: SparkSession, folder: str, symbol: str, first: date, last: date, interval: str = "1d") -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(file, value) lines of a symbol's monthly archives, and the months that the folder does not hold."""
+    wanted = {f"{symbol}-{interval}-{y}-{m:02d}.zip": (y, m) for y, m in months(first, last)}
+    found = [r["name"] for r in spark.read.format("binaryFile").option("pathGlobFilter", f"{symbol}-{interval}-*.zip").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name")).collect()]
+    names = sorted(set(found) & set(wanted))
+    lines = zip_lines(spark, folder).where(F.element_at(F.split("file", "/"), -1).isin(names)) if names else spark.createDataFrame([], "file string, value string")
+    return lines, [wanted[n] for n in sorted(set(wanted) - set(found))]
+
+
 def mask_days(texts: DataFrame, text: str = "value") -> DataFrame:
     """(symbol, day) of the map of masked days in an events document."""
     m = F.from_json(F.col(text), "_meta struct<maskDays:map<string,array<string>>>")["_meta"]["maskDays"]

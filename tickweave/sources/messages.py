@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MATCH = "type string, trade_id string, product_id string, size string, price string, time string"
-
+from ..functions.columns import number, whole
 
-def _number(c: Column) -> Column:
-    return c.try_cast("double")
+MATCH = "type string, trade_id string, product_id string, size string, price string, time string"
 
 
 def imbalance(bids: Column, asks: Column, levels: int = 10) -> Column:
-    """(bid quantity - ask quantity) over their sum in the first levels; null if the sum is not positive."""
-    side = lambda a: F.aggregate(F.slice(F.coalesce(a, F.array()), 1, levels), F.lit(0.0), lambda s, x: s + F.coalesce(_number(F.get(x, F.lit(1))), F.lit(0.0)))
+    """(bid quantity - ask quantity) over their sum in the first levels; null if the sum is not positive or a quantity is no number."""
+    side = lambda a: F.aggregate(F.slice(F.coalesce(a, F.array()), 1, levels), F.lit(0.0), lambda s, x: s + number(F.get(x, F.lit(1))))
     b, a = side(bids), side(asks)
     return F.when(b + a > 0, (b - a) / (b + a))
 
@@ -27,13 +25,13 @@ def combined_stream(raw: DataFrame, venue: str = "binance", body: str = "value")
     keep = [c for c in raw.columns if c != body]
     name = F.split(at("stream"), "@")
     channel = F.coalesce(F.get(name, F.lit(1)), F.lit(""))
-    kind = F.when(channel == "trade", "trade").when(channel.startswith("depth"), "obi")
+    kind = F.when(channel.startswith("trade"), "trade").when(channel.startswith("depth"), "obi")
     symbol = F.concat(F.lit(f"{venue}:"), F.upper(F.get(name, F.lit(0))))
     trade, book = F.col("kind") == "trade", F.col("kind") == "obi"
     rows = raw.where(at("stream").isNotNull() & at("data").isNotNull()).select(*keep, body, kind.alias("kind"), symbol.alias("symbol"))
     out = rows.select(
-        *keep, "kind", "symbol", F.when(trade, _number(at("data.T")).cast("long")).alias("t"), F.when(trade, _number(at("data.p"))).alias("price"),
-        F.when(trade, _number(at("data.q"))).alias("qty"), F.when(trade, at("data.t")).alias("id"), F.when(book, imbalance(levels("bids"), levels("asks"))).alias("obi"),
+        *keep, "kind", "symbol", F.when(trade, whole(number(at("data.T")))).alias("t"), F.when(trade, number(at("data.p"))).alias("price"),
+        F.when(trade, number(at("data.q"))).alias("qty"), F.when(trade, at("data.t")).alias("id"), F.when(book, imbalance(levels("bids"), levels("asks"))).alias("obi"),
     )
     trade = (F.col("kind") == "trade") & F.col("price").isNotNull() & F.col("qty").isNotNull() & F.col("t").isNotNull()
     return out.where(trade | (F.col("kind") == "obi") & F.col("obi").isNotNull())
@@ -43,7 +41,7 @@ def matches(raw: DataFrame, venue: str = "coinbase", body: str = "value") -> Dat
     """Trades of match messages with ISO times: (kind, symbol, t, price, qty, id)."""
     rows = raw.select(F.from_json(F.col(body), MATCH).alias("m"), *[c for c in raw.columns if c != body]).where(F.col("m.type").isin("match", "last_match"))
     at = F.unix_millis(F.try_to_timestamp("m.time"))
-    out = rows.select(*[c for c in raw.columns if c != body], F.lit("trade").alias("kind"), F.concat(F.lit(f"{venue}:"), F.col("m.product_id")).alias("symbol"), at.alias("t"), _number(F.col("m.price")).alias("price"), _number(F.col("m.size")).alias("qty"), F.col("m.trade_id").alias("id"))
+    out = rows.select(*[c for c in raw.columns if c != body], F.lit("trade").alias("kind"), F.concat(F.lit(f"{venue}:"), F.col("m.product_id")).alias("symbol"), at.alias("t"), number(F.col("m.price")).alias("price"), number(F.col("m.size")).alias("qty"), F.col("m.trade_id").alias("id"))
     return out.where("t is not null and price is not null and qty is not null and symbol is not null")
 
 
@@ -59,14 +57,14 @@ def candles_url(host: str, product: str, start: str | None = None, end: str | No
 def klines_page(pages: DataFrame, now_ms: int, width: int = 60_000, body: str = "value") -> DataFrame:
     """Bars of a page of [open time, open, high, low, close, volume, ...]; the bar still open is left out."""
     r = F.explode(F.from_json(F.col(body), "array<array<string>>")).alias("r")
-    rows = pages.select(r).select(_number(F.get("r", F.lit(0))).cast("long").alias("t"), _number(F.get("r", F.lit(4))).alias("close"), _number(F.get("r", F.lit(5))).alias("volume"))
+    rows = pages.select(r).select(whole(number(F.get("r", F.lit(0)))).alias("t"), number(F.get("r", F.lit(4))).alias("close"), number(F.get("r", F.lit(5))).alias("volume"))
     return rows.where((F.col("t") + width <= now_ms) & F.col("close").isNotNull() & F.col("volume").isNotNull())
 
 
 def candles_page(pages: DataFrame, now_ms: int, width: int = 60_000, body: str = "value") -> DataFrame:
     """Bars of a page of [seconds, low, high, open, close, volume], newest first."""
     r = F.explode(F.from_json(F.col(body), "array<array<string>>")).alias("r")
-    rows = pages.select(r).select((_number(F.get("r", F.lit(0))) * 1000).cast("long").alias("t"), _number(F.get("r", F.lit(4))).alias("close"), _number(F.get("r", F.lit(5))).alias("volume"))
+    rows = pages.select(r).select(whole(number(F.get("r", F.lit(0))) * 1000).alias("t"), number(F.get("r", F.lit(4))).alias("close"), number(F.get("r", F.lit(5))).alias("volume"))
     return rows.where((F.col("t") + width <= now_ms) & F.col("close").isNotNull() & F.col("volume").isNotNull())
 
 
