@@ -665,3 +665,11 @@ def test_repeated_rows_and_clashing_columns(spark):
     assert quality.judge(docs).count() == lm.score(docs, lm.train(docs)).count() == 5
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "t")] * 2 + [(None, None, None, None)], "page_id long, url string, html string, text string")
     assert html_text.extract(pages).count() == 3
+
+
+def test_neardup_of_a_document_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, c), (None, c + " more"), (None, "some words without an id at all"), (5, None), (5, c)]
+    out = neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out), key=str)
+    assert got == sorted([(1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 56, 4, True), (None, 57, 4, False), (None, 3, None, True), (5, 0, 5, True), (5, 56, 4, False)], key=str)

@@ -97,8 +97,8 @@ def sketched(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(lambda b: trimmed(each(b)), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>")
 
 
-def full_sets(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, shingles): the sets that confirm links, for the (doc_id, s1, s2) wanted."""
+def full_sets(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, shingles): the sets that confirm links, for the (node, doc_id, s1, s2) wanted."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,10 +106,13 @@ def full_sets(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> D
             s1, s2 = zip(*map(signature, sets)) if sets else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "s1", "s2", "shingles"])
 
-    wanted = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(wanted.select("doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(lambda b: trimmed(each(b)), "doc_id long, s1 long, s2 long, shingles array<long>").join(wanted, ["doc_id", "s1", "s2"], "left_semi")
-    return written(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "neardup-sets")
+    wanted = wanted.withColumnRenamed("doc_id", "of")
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    own = F.col("doc_id").eqNullSafe(F.col("of"))
+    texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(wanted.select("of"), own, "left_semi")
+    made = texts.mapInArrow(lambda b: trimmed(each(b)), "doc_id long, s1 long, s2 long, shingles array<long>")
+    sets = made.join(wanted.withColumnsRenamed({"s1": "w1", "s2": "w2"}), own & (F.col("s1") == F.col("w1")) & (F.col("s2") == F.col("w2")))
+    return written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "neardup-sets")
 
 
 @cache
@@ -143,7 +146,7 @@ def estimate(a: Column, b: Column) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough."""
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", both.alias("n"), (F.size("set_a") + F.size("set_b")).alias("total"))
     return written(joined.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b"), "neardup-links")
@@ -238,12 +241,12 @@ def _rest(buckets: DataFrame, seen: DataFrame, reps: DataFrame, sets: DataFrame,
     labelled = buckets.join(seen.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and n > 2").select("key", "n", F.xxhash64("key").alias("k"))
     rows = labelled.withColumn("k", F.xxhash64("key")).join(mixed, ["key", "k"]).select("key", "rep", "component", "n")
-    rows = written(rows.join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep"), "neardup-mixed")
+    rows = written(rows.join(reps.select(F.col("node").alias("rep"), "sketch"), "rep"), "neardup-mixed")
     pairs = _tiles(rows, SKETCHES).groupBy("key", "i", "j").applyInArrow(alike, "key long, rep long")
     wanted = written(pairs.distinct(), "neardup-alike")
     counts = wanted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.xxhash64("key"))
     few = rows.drop("n").join(wanted, ["key", "rep"], "left_semi").withColumn("k", F.xxhash64("key")).join(counts, ["key", "k"]).drop("k")
-    full = few.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    full = few.join(sets.select(F.col("node").alias("rep"), "shingles"), "rep")
     return written(_tiles(full, BLOCK).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "neardup-rest")
 
 
@@ -256,37 +259,45 @@ def cluster(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     full sets.
 
     Null, empty and blank texts have no set and link with nothing; texts of one to four words are one shingle. Repeated rows of a
-    doc_id keep their rows and share a component; if their texts differ, the set with the smallest signature is compared. An empty
-    table gives no rows; other columns are not read.
+    doc_id keep their rows and share a component, whatever their texts: each of them is compared. Rows without doc_id are no
+    smallest one: a component of such rows alone has none, and its rows are kept. An empty table gives no rows; other columns are
+    not read.
     """
     ship(documents.sparkSession)
     docs = written(sketched(documents, doc_id, text), "neardup-sketches")
     same = ["s1", "s2", "n_shingles"]
-    group = written(docs.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "neardup-groups")
-    chosen = group.groupBy("rep").agg(F.min(F.struct("s1", "s2")).alias("s")).select(F.col("rep").alias("doc_id"), "s.s1", "s.s2")
-    reps = docs.join(chosen, ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps.select("doc_id", "s1", "s2", "bands", "sketch"), "neardup-reps")
-    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    # The second key has both sides dealt out for the join itself, so that a bucket with very many members can be split.
+    # A node for each different set, numbered once it is written, so that a doc_id with several texts has as many nodes.
+    group = docs.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("doc_id"))
+    group = written(group.withColumn("node", F.monotonically_increasing_id()), "neardup-groups")
+    # The second key has both sides dealt out for the join itself, so that a set of very many copies can be split.
+    key = F.xxhash64("s1")
+    rows = written(docs.select("doc_id", *same).withColumn("k", key).join(group.select(*same, "node", key.alias("k")), [*same, "k"], "left").select("doc_id", "n_shingles", "node"), "neardup-rows")
+    reps = docs.select("doc_id", *same, "bands", "sketch").join(group, ["doc_id", *same]).union(docs.where("doc_id is null").select("doc_id", *same, "bands", "sketch").join(group.where("doc_id is null").drop("doc_id"), same).select("doc_id", *same, "bands", "sketch", "node"))
+    reps = written(reps.dropDuplicates(["node"]).select("node", "doc_id", "s1", "s2", "bands", "sketch"), "neardup-reps")
+    keyed = reps.select(F.col("node").alias("rep"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("k", F.xxhash64("key"))
     buckets = written(keyed.withColumn("k", F.xxhash64("key")).join(shared, ["key", "k"]).select("key", "rep", "center", "n"), "neardup-buckets")
-    members = written(reps.select("doc_id", "s1", "s2").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "neardup-members")
+    members = written(reps.select("node", "doc_id", "s1", "s2").join(buckets.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"), "neardup-members")
     sets = full_sets(documents, members, doc_id, text)
     small = buckets.where(F.col("n") <= LARGE).select(F.col("center").alias("a"), F.col("rep").alias("b"))
     large = buckets.where(F.col("n") > LARGE).groupBy(F.col("rep").alias("b")).agg(F.min("center").alias("a")).select("a", "b")
     stars = small.union(large).where("a != b").distinct()
-    marks = reps.select("doc_id", F.col("sketch"))
-    near = stars.join(marks.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(marks.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    marks = reps.select("node", "sketch")
+    near = stars.join(marks.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(marks.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     near = written(near.where(odd_bits(F.col("sketch_a"), F.col("sketch_b")) <= most_odd(percent)).select("a", "b"), "neardup-stars")
-    links = confirmed(near, sets, percent)
+    # Texts of one doc_id are one document's.
+    ids = rows.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
+    links = confirmed(near, sets, percent).union(rows.join(ids, "doc_id").select("a", F.col("node").alias("b")).where("a != b"))
     first = written(components(links), "neardup-first")
     rest = _rest(buckets.select("key", "rep"), first, reps, sets, percent)
     if rest.take(1):
         first = written(components(links.union(rest)), "neardup-second")
-    found = group.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"), F.xxhash64("s1").alias("k"))
-    out = docs.select("doc_id", *same).withColumn("k", F.xxhash64("s1")).join(found, [*same, "k"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # A component is named by its smallest doc_id; one of a single set, by that of its rows.
+    label = first.join(group.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("name"))
+    found = group.select("node", "doc_id").join(first, "node", "left").join(label, "component", "left").select("node", F.coalesce("name", "doc_id").alias("name"), F.xxhash64("node").alias("k"))
+    out = rows.withColumn("k", F.xxhash64("node")).join(found, ["node", "k"], "left")
+    component = F.coalesce("name", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def op6_neardup(spark, sf_dir: str) -> DataFrame:
