@@ -274,13 +274,14 @@ def cluster(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     rows = written(docs.select("doc_id", *same).withColumn("k", key).join(group.select(*same, "node", key.alias("k")), [*same, "k"], "left").select("doc_id", "n_shingles", "node"), "neardup-rows")
     reps = docs.select("doc_id", *same, "bands", "sketch").join(group, ["doc_id", *same]).union(docs.where("doc_id is null").select("doc_id", *same, "bands", "sketch").join(group.where("doc_id is null").drop("doc_id"), same).select("doc_id", *same, "bands", "sketch", "node"))
     reps = written(reps.dropDuplicates(["node"]).select("node", "doc_id", "s1", "s2", "bands", "sketch"), "neardup-reps")
-    keyed = reps.select(F.col("node").alias("rep"), F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("k", F.xxhash64("key"))
-    buckets = written(keyed.withColumn("k", F.xxhash64("key")).join(shared, ["key", "k"]).select("key", "rep", "center", "n"), "neardup-buckets")
+    keyed = reps.select(F.col("node").alias("rep"), "doc_id", F.explode("bands").alias("key"))
+    # Centres are the smallest doc_ids, as originals mostly come before their copies.
+    shared = keyed.groupBy("key").agg(F.coalesce(F.min_by("rep", "doc_id"), F.min("rep")).alias("center"), F.min("doc_id").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("k", F.xxhash64("key"))
+    buckets = written(keyed.drop("doc_id").withColumn("k", F.xxhash64("key")).join(shared, ["key", "k"]).select("key", "rep", "center", "of", "n"), "neardup-buckets")
     members = written(reps.select("node", "doc_id", "s1", "s2").join(buckets.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"), "neardup-members")
     sets = full_sets(documents, members, doc_id, text)
     small = buckets.where(F.col("n") <= LARGE).select(F.col("center").alias("a"), F.col("rep").alias("b"))
-    large = buckets.where(F.col("n") > LARGE).groupBy(F.col("rep").alias("b")).agg(F.min("center").alias("a")).select("a", "b")
+    large = buckets.where(F.col("n") > LARGE).groupBy(F.col("rep").alias("b")).agg(F.coalesce(F.min_by("center", "of"), F.min("center")).alias("a")).select("a", "b")
     stars = small.union(large).where("a != b").distinct()
     marks = reps.select("node", "sketch")
     near = stars.join(marks.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(marks.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
