@@ -34,14 +34,21 @@ def fill_gaps(made: DataFrame, width: int, most: int = 10) -> DataFrame:
     return rows.select("symbol", (F.col("t") + F.col("k") * width).alias("t"), "close", F.when(flat, 0.0).otherwise(F.col("volume")).alias("volume"), flat.alias("filled"))
 
 
-def lateness(ticks: DataFrame, width: int, grace: int) -> DataFrame:
+def lateness(ticks: DataFrame, width: int, grace: int, cell: int = 1 << 20) -> DataFrame:
     """Ticks in arrival order with ``late``: their bar was already final when they came.
 
     A bar is final once the largest time seen has passed its end and the grace period; nothing is late before the first bar is.
+    Arrivals are cut into cells of ``cell`` numbers: the largest time of the cells before comes from one row a cell, that of the
+    ticks before within a cell from a window, so a symbol's ticks are dealt out over as many tasks as it has cells.
     """
-    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = valid(ticks).withColumn("cell", F.floor(F.col("seq") / cell))
+    tops = rows.groupBy("symbol", "cell").agg(F.max("t").alias("top"))
+    before = Window.partitionBy("symbol").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = tops.select("symbol", "cell", F.max("top").over(before).alias("ahead"))
+    within = Window.partitionBy("symbol", "cell").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("own", F.max("t").over(within)).join(ahead, ["symbol", "cell"]).withColumn("seen", F.greatest("ahead", "own"))
     end = bucket(F.col("t"), width) + width
-    return valid(ticks).withColumn("seen", F.max("t").over(w)).withColumn("late", F.coalesce(end + grace <= F.col("seen"), F.lit(False)))
+    return seen.withColumn("late", F.coalesce(end + grace <= F.col("seen"), F.lit(False))).drop("cell", "own", "ahead")
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -23,7 +23,8 @@ MONDAY = 1704067200000  # 2024-01-01
 
 #: What the SQL texts share: ticks, hourly bars, returns, event windows.
 BASE = """WITH RECURSIVE ticks AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 AS t, value AS price, 1.0::DOUBLE AS qty, event_id AS seq FROM events),
-bars AS (SELECT symbol, t - t % 3600000 AS t, arg_max(price, (t, seq)) AS close, sum(qty) AS volume FROM ticks WHERE price > 0 GROUP BY symbol, t - t % 3600000),
+bars AS (SELECT symbol, t - t % 3600000 AS t, arg_max(price, (t, seq)) AS close, sum(qty) AS volume FROM ticks WHERE price > 0
+GROUP BY symbol, t - t % 3600000),
 rets AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY t)) AS ret FROM bars),
 r AS (SELECT * FROM rets WHERE ret IS NOT NULL),
 z AS (SELECT symbol, t, close, volume, ret, CASE WHEN count(*) OVER w >= 60 THEN abs(ret - quantile_cont(ret, 0.5) OVER w) / greatest(1.4826 * mad(ret) OVER w, 1e-6) END AS z FROM r WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 240 PRECEDING AND 1 PRECEDING)),
@@ -86,7 +87,7 @@ s AS (SELECT *, max(t) OVER (PARTITION BY symbol ORDER BY arrival ROWS BETWEEN U
 SELECT symbol, count(*) AS n, count(*) FILTER (WHERE t - t % 60000 + 60000 + 2000 <= seen) AS late FROM s GROUP BY symbol""")
 def late_trade_flags(spark, d):
     arrival = F.when(F.col("seq") % 7 == 0, (F.col("seq") + 40) * 2 + 1).otherwise(F.col("seq") * 2)
-    rows = B.lateness(ticks(spark, d).withColumn("seq", arrival), 60_000, 2_000)
+    rows = B.lateness(ticks(spark, d).withColumn("seq", arrival), 60_000, 2_000, 5_000)
     return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late"))
 
 
@@ -197,8 +198,10 @@ def cusum(spark, d):
 
 POLICY_SQL = """, s AS (SELECT symbol, t, round(z, 6) AS v FROM z WHERE z IS NOT NULL),
 b AS (SELECT unnest({rates}) AS rate),
-q AS (SELECT symbol, t, v, list_sort(list(v) OVER w) AS l, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM s WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1440 PRECEDING AND 1 PRECEDING)),
-k AS (SELECT symbol, t, v, i, rate, CASE WHEN len(l) >= 100 THEN greatest(0, (l[floor(((1 - rate) * (len(l) - 1)))::INT + 1] + (l[least(len(l), floor(((1 - rate) * (len(l) - 1)))::INT + 2)] - l[floor(((1 - rate) * (len(l) - 1)))::INT + 1]) * (((1 - rate) * (len(l) - 1)) - floor(((1 - rate) * (len(l) - 1)))))) ELSE 1e300 END AS thr, CASE WHEN len(l) >= 100 THEN (l[floor(((1 - rate / 10) * (len(l) - 1)))::INT + 1] + (l[least(len(l), floor(((1 - rate / 10) * (len(l) - 1)))::INT + 2)] - l[floor(((1 - rate / 10) * (len(l) - 1)))::INT + 1]) * (((1 - rate / 10) * (len(l) - 1)) - floor(((1 - rate / 10) * (len(l) - 1))))) ELSE 1e300 END AS ext FROM q, b),
+q AS (SELECT symbol, t, v, list_sort(list(v) OVER w) AS l, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM s
+WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1440 PRECEDING AND 1 PRECEDING)),
+k AS (SELECT symbol, t, v, i, rate, CASE WHEN len(l) >= 100 THEN greatest(0, (l[floor(((1 - rate) * (len(l) - 1)))::INT + 1] + (l[least(len(l),
+floor(((1 - rate) * (len(l) - 1)))::INT + 2)] - l[floor(((1 - rate) * (len(l) - 1)))::INT + 1]) * (((1 - rate) * (len(l) - 1)) - floor(((1 - rate) * (len(l) - 1)))))) ELSE 1e300 END AS thr, CASE WHEN len(l) >= 100 THEN (l[floor(((1 - rate / 10) * (len(l) - 1)))::INT + 1] + (l[least(len(l), floor(((1 - rate / 10) * (len(l) - 1)))::INT + 2)] - l[floor(((1 - rate / 10) * (len(l) - 1)))::INT + 1]) * (((1 - rate / 10) * (len(l) - 1)) - floor(((1 - rate / 10) * (len(l) - 1))))) ELSE 1e300 END AS ext FROM q, b),
 p AS (SELECT symbol, rate, i, t, v, 16 AS since, false AS alert, -1e300 AS last FROM k WHERE i = 1
  UNION ALL SELECT k.symbol, k.rate, k.i, k.t, k.v, CASE WHEN a THEN 0 ELSE p.since + 1 END, a, CASE WHEN a THEN k.v ELSE p.last END
  FROM p JOIN (SELECT * FROM k) k ON k.symbol = p.symbol AND k.rate = p.rate AND k.i = p.i + 1, LATERAL (SELECT k.v > k.thr AND (p.since + 1 >= 15 OR (k.v > k.ext AND k.v > p.last)) AS a))"""
@@ -281,11 +284,14 @@ e AS (SELECT symbol, i, t, ret * ret AS v, ret * ret AS vf, ret * ret AS vl, ret
 UNION ALL SELECT symbol, i, t, nv, nf, nsl, ncv, nu, nd, greatest(nu, nd), {_NEXT_RUNS} FROM ({_run_lengths(f"""SELECT n.symbol, n.i, n.t, {_clipped('v', 6)} AS nv,
 CASE WHEN e.vf <= 0 THEN n.ret * n.ret ELSE 0.94 * e.vf + 0.06 * n.ret * n.ret END AS nf, CASE WHEN e.vl <= 0 THEN n.ret * n.ret ELSE 0.995 * e.vl + 0.005 * n.ret * n.ret END AS nsl, {_clipped('cv', 5)} AS ncv,
 CASE WHEN n.i < 100 THEN 0 ELSE {_SUMS[0]} END AS nu, CASE WHEN n.i < 100 THEN 0 ELSE {_SUMS[1]} END AS nd, {_JOIN_RUNS} FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1""")})),
-rw AS (SELECT e.symbol, e.i, e.t, rz AS c1, CASE WHEN e.i >= 100 THEN sqrt(vf) / greatest(sqrt(vl), 1e-9) END AS c2, CASE WHEN e.i >= 100 THEN o END AS c3, mass AS c4, vs AS c5 FROM e JOIN zs USING (symbol, i)),
+rw AS (SELECT e.symbol, e.i, e.t, rz AS c1, CASE WHEN e.i >= 100 THEN sqrt(vf) / greatest(sqrt(vl), 1e-9) END AS c2,
+CASE WHEN e.i >= 100 THEN o END AS c3, mass AS c4, vs AS c5 FROM e JOIN zs USING (symbol, i)),
 ls AS (SELECT *, {", ".join(f"list(c{k}) FILTER (WHERE c{k} IS NOT NULL) OVER w AS l{k}" for k in range(1, 6))} FROM rw WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 400 PRECEDING AND 1 PRECEDING)),
 ft AS (SELECT symbol, i, t, {", ".join(f"CASE WHEN len(l{k}) >= 60 THEN -ln(1 - (len(list_filter(l{k}, lambda y: y < c{k})) + 0.5 * len(list_filter(l{k}, lambda y: y = c{k}))) / (len(l{k}) + 1)) END AS f{k}" for k in range(1, 6))} FROM ls),
-ps AS (SELECT *, 1 / (1 + exp(4.5 - 0.25 * (f1 + f2 + f3 + f4 + f5) * 1.2)) AS p, row_number() OVER (PARTITION BY symbol ORDER BY i) AS j FROM ft WHERE f1 + f2 + f3 + f4 + f5 IS NOT NULL),
-lm AS (SELECT *, count(*) OVER w >= 60 AS enough, quantile_cont(p, 1 - 0.5 / 24) OVER w AS a, quantile_cont(p, 1 - 0.05 / 24) OVER w AS b FROM ps WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING)),
+ps AS (SELECT *, 1 / (1 + exp(4.5 - 0.25 * (f1 + f2 + f3 + f4 + f5) * 1.2)) AS p, row_number() OVER (PARTITION BY symbol ORDER BY i) AS j FROM ft
+WHERE f1 + f2 + f3 + f4 + f5 IS NOT NULL),
+lm AS (SELECT *, count(*) OVER w >= 60 AS enough, quantile_cont(p, 1 - 0.5 / 24) OVER w AS a, quantile_cont(p, 1 - 0.05 / 24) OVER w AS b FROM ps
+WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING)),
 po AS (SELECT symbol, i, t, j, 16 AS since, false AS alert, -1e300 AS last FROM lm WHERE j = 1
 UNION ALL SELECT symbol, i, t, j, CASE WHEN hit THEN 0 ELSE since + 1 END, hit, CASE WHEN hit THEN p ELSE last END FROM
 (SELECT lm.symbol, lm.i, lm.t, lm.j, lm.p, po.since, po.last, lm.enough AND lm.p > greatest(0, lm.a) AND (po.since + 1 >= 15 OR (lm.p > lm.b AND lm.p > po.last)) AS hit FROM po JOIN lm ON lm.symbol = po.symbol AND lm.j = po.j + 1))"""
@@ -317,11 +323,15 @@ for _name, _list in {
 
 @query(FILLED.rsplit("zs AS", 1)[0] + """zz AS (SELECT symbol, i, t, CASE WHEN count(*) OVER w = 100 AND stddev_samp(ret) OVER w > 0 THEN abs(ret - avg(ret) OVER w) / stddev_samp(ret) OVER w ELSE 0 END AS v
 FROM n WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)),
-lm AS (SELECT *, count(*) OVER w >= 300 AS enough, quantile_cont(v, 1 - 1 / 240.0) OVER w AS a, quantile_cont(v, 1 - 1 / 2400.0) OVER w AS b FROM zz WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1440 PRECEDING AND 1 PRECEDING)),
+lm AS (SELECT *, count(*) OVER w >= 300 AS enough, quantile_cont(v, 1 - 1 / 240.0) OVER w AS a, quantile_cont(v, 1 - 1 / 2400.0) OVER w AS b FROM zz
+WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1440 PRECEDING AND 1 PRECEDING)),
 po AS (SELECT symbol, i, t, v, v > 3 AS hit1, CASE WHEN v > 3 THEN 0 ELSE 16 END AS s1, false AS hit2, 16 AS s2, -1e300 AS last FROM lm WHERE i = 1
-UNION ALL SELECT symbol, i, t, v, h1, CASE WHEN h1 THEN 0 ELSE s1 + 1 END, h2, CASE WHEN h2 THEN 0 ELSE s2 + 1 END, CASE WHEN h2 THEN v ELSE last END FROM
-(SELECT lm.symbol, lm.i, lm.t, lm.v, po.s1, po.s2, po.last, lm.v > 3 AND po.s1 + 1 >= 15 AS h1, lm.enough AND lm.v > greatest(0, lm.a) AND (po.s2 + 1 >= 15 OR (lm.v > lm.b AND lm.v > po.last)) AS h2 FROM po JOIN lm ON lm.symbol = po.symbol AND lm.i = po.i + 1))
-SELECT fb.symbol, m.method, fb.t, coalesce(po.i >= 310, false) AS ready, round(coalesce(po.v, 0), 6)::DOUBLE AS score, coalesce(po.i >= 310 AND CASE WHEN m.method = 'zscore_fixed' THEN hit1 ELSE hit2 END, false) AS alert
+UNION ALL SELECT symbol, i, t, v, h1, CASE WHEN h1 THEN 0 ELSE s1 + 1 END, h2, CASE WHEN h2 THEN 0 ELSE s2 + 1 END, CASE WHEN h2 THEN v ELSE last END
+FROM
+(SELECT lm.symbol, lm.i, lm.t, lm.v, po.s1, po.s2, po.last, lm.v > 3 AND po.s1 + 1 >= 15 AS h1, lm.enough AND lm.v > greatest(0,
+lm.a) AND (po.s2 + 1 >= 15 OR (lm.v > lm.b AND lm.v > po.last)) AS h2 FROM po JOIN lm ON lm.symbol = po.symbol AND lm.i = po.i + 1))
+SELECT fb.symbol, m.method, fb.t, coalesce(po.i >= 310, false) AS ready, round(coalesce(po.v, 0), 6)::DOUBLE AS score,
+coalesce(po.i >= 310 AND CASE WHEN m.method = 'zscore_fixed' THEN hit1 ELSE hit2 END, false) AS alert
 FROM fb, (SELECT unnest(['zscore_fixed', 'zscore_matched']) AS method) m LEFT JOIN po ON po.symbol = fb.symbol AND po.t = fb.t""")
 def engine_baselines(spark, d):
     out = E.run_methods(B.fill_gaps(hourly(spark, d), HOUR), ["zscore_fixed", "zscore_matched"], **SETTINGS)
@@ -336,7 +346,8 @@ def engine_tick_bars(spark, d):
 
 
 @query(""", f AS (SELECT symbol, t, CASE WHEN z IS NOT NULL THEN least(z, 8.0) END AS a, least(volume, 30.0) / 10 AS b, CASE WHEN t % 7200000 = 0 THEN abs(ret) END AS c FROM z),
-m AS (SELECT *, (coalesce(a, 0) + b + coalesce(c, 0)) / (CASE WHEN a IS NULL THEN 0 ELSE 1 END + 1 + CASE WHEN c IS NULL THEN 0 ELSE 1 END) AS mean FROM f)
+m AS (SELECT *, (coalesce(a, 0) + b + coalesce(c, 0)) / (CASE WHEN a IS NULL THEN 0 ELSE 1 END + 1 + CASE WHEN c IS NULL THEN 0 ELSE 1 END) AS mean
+FROM f)
 SELECT symbol, t, round(1 / (1 + exp(-(-4.5 + 0.5 * coalesce(a, mean) + 0.5 * b + 0.5 * coalesce(c, mean)))), 6) AS p, round(0.5 * coalesce(a, mean), 6) AS first_part, a IS NULL AS imputed FROM m""")
 def logistic_prior(spark, d):
     rows = zscores(spark, d).select("symbol", "t", F.least("z", F.when(F.col("z").isNotNull(), 8.0)).alias("a"), (F.least("volume", F.lit(30.0)) / 10).alias("b"), F.when(F.col("t") % 7_200_000 == 0, F.abs("ret")).alias("c"))
@@ -358,14 +369,17 @@ def _aligned(spark, d, value="ret"):
 
 
 @query(ALIGNED.format(value="ret") + f""", j AS (SELECT a.symbol AS a, b.symbol AS b, a.t, count(*) OVER w AS n, sum(a.x) OVER w AS sx, sum(b.x) OVER w AS sy, sum(a.x * a.x) OVER w AS xx, sum(b.x * b.x) OVER w AS yy, sum(a.x * b.x) OVER w AS xy
-FROM x a JOIN x b ON a.t = b.t AND a.symbol < b.symbol WINDOW w AS (PARTITION BY a.symbol, b.symbol ORDER BY a.t ROWS BETWEEN 239 PRECEDING AND CURRENT ROW))
+FROM x a JOIN x b ON a.t = b.t AND a.symbol < b.symbol
+WINDOW w AS (PARTITION BY a.symbol, b.symbol ORDER BY a.t ROWS BETWEEN 239 PRECEDING AND CURRENT ROW))
 SELECT a, b, t, round({CORR}, 6)::DOUBLE AS corr FROM j""")
 def pair_correlation(spark, d):
     return R.rolling_corr(_aligned(spark, d)).select("a", "b", "t", r6("corr"))
 
 
 LEADS = ALIGNED.format(value="abs(ret)") + f""", w AS (SELECT * FROM x WHERE idx > (SELECT max(idx) FROM x) - 240), l AS (SELECT unnest(range(-6, 7)) AS lag),
-s AS (SELECT a.symbol AS a, b.symbol AS b, l.lag, count(*) AS n, sum(a.x) AS sx, sum(b.x) AS sy, sum(a.x * a.x) AS xx, sum(b.x * b.x) AS yy, sum(a.x * b.x) AS xy, corr(a.ret, b.ret) AS rc FROM w a, l, w b WHERE a.symbol < b.symbol AND b.idx = a.idx + l.lag GROUP BY a.symbol, b.symbol, l.lag),
+s AS (SELECT a.symbol AS a, b.symbol AS b, l.lag, count(*) AS n, sum(a.x) AS sx, sum(b.x) AS sy, sum(a.x * a.x) AS xx, sum(b.x * b.x) AS yy,
+sum(a.x * b.x) AS xy, corr(a.ret, b.ret) AS rc FROM w a, l, w b WHERE a.symbol < b.symbol AND b.idx = a.idx + l.lag
+GROUP BY a.symbol, b.symbol, l.lag),
 c AS (SELECT a, b, lag, n, {CORR} AS corr, rc FROM s),
 g AS (SELECT a, b, arg_max(lag, (corr, -lag)) AS lag, max(corr) AS lag_corr, max(corr) FILTER (WHERE lag = 0) AS zero, max(rc) FILTER (WHERE lag = 0) AS corr FROM c GROUP BY a, b)"""
 
@@ -453,15 +467,19 @@ def first_alert_in_window(spark, d):
 
 
 @query(ZONES + SCORED + """, rt AS (SELECT method, count(*) FILTER (WHERE alert) AS alerts, count(*) FILTER (WHERE alert AND zone = 'event') AS in_window, count(*) FILTER (WHERE alert AND zone = 'quiet') AS false_alarms, count(*) FILTER (WHERE ready AND zone = 'quiet') AS quiet_bars FROM sc JOIN zo USING (symbol, t) GROUP BY method),
-h AS (SELECT method, event, min(t - start) AS delay FROM sc JOIN ev ON ev.symbol = sc.symbol AND sc.t BETWEEN start AND "end" WHERE alert GROUP BY method, event), hh AS (SELECT method, count(*) AS detected, quantile_disc(delay, 0.5) AS dl, list_sort(list(delay)) AS l FROM h GROUP BY method)
+h AS (SELECT method, event, min(t - start) AS delay FROM sc JOIN ev ON ev.symbol = sc.symbol AND sc.t BETWEEN start AND "end" WHERE alert
+GROUP BY method, event), hh AS (SELECT method, count(*) AS detected, quantile_disc(delay, 0.5) AS dl, list_sort(list(delay)) AS l FROM h
+GROUP BY method)
 SELECT method, alerts, in_window, false_alarms, quiet_bars, coalesce(detected, 0) AS detected, round(coalesce(detected, 0) / (SELECT count(*) FROM ev), 6) AS recall, CASE WHEN in_window + false_alarms > 0 THEN round(in_window / (in_window + false_alarms), 3) END AS precision, l[(len(l) - 1) // 2 + 1] / 60000.0::DOUBLE AS median_delay_min FROM rt LEFT JOIN hh USING (method)""")
 def replay_summary(spark, d):
     return V.replay(scored(spark, d), windows(spark, d))
 
 
 POINTS = """, lim AS (SELECT unnest([1.5, 2.0, 2.5, 3.0, 4.0]) AS budget), ms AS (SELECT 'z' AS method, symbol, t, z AS v FROM z WHERE z IS NOT NULL UNION ALL SELECT 'volume', symbol, t, volume / 4 FROM z WHERE z IS NOT NULL),
-oc AS (SELECT m.method, lim.budget, ev.event, bool_or(m.v > budget AND m.t BETWEEN start - 10800000 AND start + 43200000) AS detected, count(*) FILTER (WHERE m.v > budget AND zo.zone = 'quiet') AS fa, count(*) FILTER (WHERE zo.zone = 'quiet') / 24.0 AS quiet_days
-FROM ms m CROSS JOIN lim JOIN ev ON ev.symbol = m.symbol AND m.t BETWEEN start - 86400000 AND "end" + 86400000 JOIN zo ON zo.symbol = m.symbol AND zo.t = m.t GROUP BY m.method, lim.budget, ev.event),
+oc AS (SELECT m.method, lim.budget, ev.event, bool_or(m.v > budget AND m.t BETWEEN start - 10800000 AND start + 43200000) AS detected,
+count(*) FILTER (WHERE m.v > budget AND zo.zone = 'quiet') AS fa, count(*) FILTER (WHERE zo.zone = 'quiet') / 24.0 AS quiet_days
+FROM ms m CROSS JOIN lim JOIN ev ON ev.symbol = m.symbol AND m.t BETWEEN start - 86400000 AND "end" + 86400000
+JOIN zo ON zo.symbol = m.symbol AND zo.t = m.t GROUP BY m.method, lim.budget, ev.event),
 pt AS (SELECT method, budget::DOUBLE AS budget, sum(fa) / sum(quiet_days) AS rate, avg(detected::INT) AS recall FROM oc GROUP BY method, budget)"""
 
 
@@ -483,14 +501,16 @@ def rate_recall_curve(spark, d):
 
 
 @query(ZONES + POINTS + """, tr AS (SELECT 3.0 AS target UNION ALL SELECT 5.0), n AS (SELECT *, lead(rate) OVER w AS r2, lead(recall) OVER w AS y2 FROM pt WINDOW w AS (PARTITION BY method ORDER BY rate, budget)),
-f AS (SELECT method, target, arg_min(CASE WHEN r2 = rate THEN y2 ELSE recall + (y2 - recall) * (target - rate) / (r2 - rate) END, rate) AS y FROM n, tr WHERE rate <= target AND r2 >= target GROUP BY method, target)
+f AS (SELECT method, target, arg_min(CASE WHEN r2 = rate THEN y2 ELSE recall + (y2 - recall) * (target - rate) / (r2 - rate) END, rate) AS y
+FROM n, tr WHERE rate <= target AND r2 >= target GROUP BY method, target)
 SELECT m.method, tr.target::DOUBLE AS target, round(f.y, 6) AS recall FROM (SELECT DISTINCT method FROM pt) m CROSS JOIN tr LEFT JOIN f ON f.method = m.method AND f.target = tr.target""")
 def matched_recall(spark, d):
     return V.recall_at(V.rate_points(budget_outcomes(spark, d)), [3.0, 5.0]).select("method", "target", r6("recall"))
 
 
 STUDY_OUTCOMES = """, so AS (SELECT sc.method, ev.event, any_value(ev.day) AS cluster, count(*) FILTER (WHERE sc.alert AND zo.zone = 'quiet') AS fa, count(*) FILTER (WHERE sc.ready AND zo.zone = 'quiet') / 24.0::DOUBLE AS quiet_days
-FROM sc JOIN ev ON ev.symbol = sc.symbol AND sc.t BETWEEN start - 86400000 AND "end" + 86400000 JOIN zo ON zo.symbol = sc.symbol AND zo.t = sc.t GROUP BY sc.method, ev.event),
+FROM sc JOIN ev ON ev.symbol = sc.symbol AND sc.t BETWEEN start - 86400000 AND "end" + 86400000 JOIN zo ON zo.symbol = sc.symbol AND zo.t = sc.t
+GROUP BY sc.method, ev.event),
 oc AS (SELECT so.*, fa.hit IS NOT NULL AS detected, (fa.hit - fa.onset) / 60000.0::DOUBLE AS lat FROM so JOIN fa USING (method, event)),
 """
 STUDY_POINTS = """ex AS (SELECT a.*, b.detected AS rd, b.lat AS rl, b.fa AS rf, b.quiet_days AS rq, rep, unnest(range(0, times)) AS u FROM oc a JOIN oc b ON b.event = a.event AND b.method = 'z2' JOIN dr ON dr.cluster = a.cluster),
@@ -545,8 +565,10 @@ def study_summary(spark, d):
 
 
 @query(ZONES + SCORED + FIRST + STUDY_OUTCOMES.rstrip(",\n") + drawn("oc") + """, p AS (SELECT a.event, a.cluster, a.detected::INT - b.detected::INT AS gap, a.lat - b.lat AS late FROM oc a JOIN oc b USING (event) WHERE a.method = 'z3' AND b.method = 'z2'),
-q AS (SELECT rep, avg(gap) AS m FROM d JOIN k USING (i) JOIN p USING (cluster) GROUP BY rep), b AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM q)
-SELECT 'z3' AS method, count(*) AS n, round(avg(gap), 6) AS diff, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, quantile_cont(late, 0.5)::DOUBLE AS median_gap_min,
+q AS (SELECT rep, avg(gap) AS m FROM d JOIN k USING (i) JOIN p USING (cluster)
+GROUP BY rep), b AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM q)
+SELECT 'z3' AS method, count(*) AS n, round(avg(gap), 6) AS diff, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi,
+quantile_cont(late, 0.5)::DOUBLE AS median_gap_min,
 CASE WHEN any_value(lo) > 0 THEN 'higher' WHEN any_value(hi) < 0 THEN 'lower' ELSE 'no clear difference' END AS verdict FROM p, b""")
 def paired_difference(spark, d):
     """Difference of recall to the reference over the same events, with 95 % bounds from 2000 resamples of the days."""
@@ -576,13 +598,18 @@ def overlapping_subsets(spark, d):
 
 
 @query(ZONES + POINTS + f""", so AS (SELECT unnest({TAGS}) AS subset, oc.*, ev.day AS cluster FROM oc JOIN ev USING (event)), sn AS (SELECT subset, count(DISTINCT event) AS n FROM so GROUP BY subset HAVING count(DISTINCT event) >= 5)""" + drawn("so", 200, "subset") + """,
-dr AS (SELECT subset, cluster, -1 AS rep, 1 AS times FROM k UNION ALL SELECT subset, cluster, rep, count(*) FROM d JOIN k USING (subset, i) GROUP BY subset, cluster, rep),
-sp AS (SELECT subset, rep, method, budget, sum(times * fa) / nullif(sum(times * quiet_days), 0) AS rate, sum(times * detected::INT) / sum(times)::DOUBLE AS recall FROM so JOIN sn USING (subset) JOIN dr USING (subset, cluster) GROUP BY ALL),
-sl AS (SELECT *, lead(rate) OVER w AS r2, lead(recall) OVER w AS y2 FROM sp WHERE rate IS NOT NULL WINDOW w AS (PARTITION BY subset, rep, method ORDER BY rate, budget)),
+dr AS (SELECT subset, cluster, -1 AS rep, 1 AS times FROM k UNION ALL SELECT subset, cluster, rep, count(*) FROM d JOIN k USING (subset, i)
+GROUP BY subset, cluster, rep),
+sp AS (SELECT subset, rep, method, budget, sum(times * fa) / nullif(sum(times * quiet_days), 0) AS rate,
+sum(times * detected::INT) / sum(times)::DOUBLE AS recall FROM so JOIN sn USING (subset) JOIN dr USING (subset, cluster) GROUP BY ALL),
+sl AS (SELECT *, lead(rate) OVER w AS r2, lead(recall) OVER w AS y2 FROM sp WHERE rate IS NOT NULL
+WINDOW w AS (PARTITION BY subset, rep, method ORDER BY rate, budget)),
 sf AS (SELECT subset, rep, method, target::DOUBLE AS target, arg_min(CASE WHEN r2 = rate THEN y2 ELSE recall + (y2 - recall) * (target - rate) / (r2 - rate) END, rate) FILTER (WHERE rate <= target AND r2 >= target) AS recall FROM sl, (SELECT unnest([3.0, 5.0]) AS target) GROUP BY ALL),
-sd AS (SELECT a.*, a.recall - b.recall AS diff FROM sf a LEFT JOIN sf b ON b.subset = a.subset AND b.rep = a.rep AND b.target = a.target AND b.method = 'z'),
+sd AS (SELECT a.*, a.recall - b.recall AS diff FROM sf a LEFT
+JOIN sf b ON b.subset = a.subset AND b.rep = a.rep AND b.target = a.target AND b.method = 'z'),
 sb AS (SELECT subset, method, target, """ + ", ".join(f"max({x}) FILTER (WHERE rep < 0) AS {x}, " + ", ".join(f"CASE WHEN count({x}) FILTER (WHERE rep >= 0) >= 20 THEN quantile_cont({x}, {q}) FILTER (WHERE rep >= 0) END AS {x}_{e}" for e, q in (("lo", 0.025), ("hi", 0.975))) for x in ("recall", "diff")) + """ FROM sd GROUP BY subset, method, target)
-SELECT subset, n, method, target, round(recall, 6) AS recall, round(recall_lo, 6) AS recall_lo, round(recall_hi, 6) AS recall_hi, round(diff, 6) AS diff, round(diff_lo, 6) AS diff_lo, round(diff_hi, 6) AS diff_hi,
+SELECT subset, n, method, target, round(recall, 6) AS recall, round(recall_lo, 6) AS recall_lo, round(recall_hi, 6) AS recall_hi,
+round(diff, 6) AS diff, round(diff_lo, 6) AS diff_lo, round(diff_hi, 6) AS diff_hi,
 CASE WHEN method = 'z' THEN 'reference' WHEN diff_lo IS NULL THEN 'n/a' WHEN diff_lo > 0 THEN 'higher' WHEN diff_hi < 0 THEN 'lower' ELSE 'no clear difference' END AS verdict FROM sb JOIN sn USING (subset)""")
 def subset_summary(spark, d):
     """Recall at matched rates per subset of the events, with 95 % bounds from 200 resamples of a subset's days."""
@@ -628,7 +655,9 @@ def top_drivers(spark, d):
 
 
 @query(""", s AS (SELECT symbol, t, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM z WHERE z > 1.5),
-p AS (SELECT symbol, i, t, t AS last, true AS sent FROM s WHERE i = 1 UNION ALL SELECT s.symbol, s.i, s.t, CASE WHEN s.t - p.last >= 36000000 THEN s.t ELSE p.last END, s.t - p.last >= 36000000 FROM p JOIN s ON s.symbol = p.symbol AND s.i = p.i + 1)
+p AS (SELECT symbol, i, t, t AS last, true AS sent FROM s WHERE i = 1
+UNION ALL SELECT s.symbol, s.i, s.t, CASE WHEN s.t - p.last >= 36000000 THEN s.t ELSE p.last END, s.t - p.last >= 36000000 FROM p
+JOIN s ON s.symbol = p.symbol AND s.i = p.i + 1)
 SELECT symbol, t, sent FROM p""")
 def notification_throttle(spark, d):
     def make():
@@ -639,7 +668,10 @@ def notification_throttle(spark, d):
 
 
 @query(""", s AS (SELECT symbol, t, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM z WHERE z > 1.5),
-p AS (SELECT symbol, i, t, [t] AS times, true AS sent FROM s WHERE i = 1 UNION ALL SELECT s.symbol, s.i, s.t, CASE WHEN len(list_filter(p.times, lambda x: x > s.t - 86400000)) < 3 THEN list_append(list_filter(p.times, lambda x: x > s.t - 86400000), s.t) ELSE list_filter(p.times, lambda x: x > s.t - 86400000) END, len(list_filter(p.times, lambda x: x > s.t - 86400000)) < 3 FROM p JOIN s ON s.symbol = p.symbol AND s.i = p.i + 1)
+p AS (SELECT symbol, i, t, [t] AS times, true AS sent FROM s WHERE i = 1
+UNION ALL SELECT s.symbol, s.i, s.t, CASE WHEN len(list_filter(p.times, lambda x: x > s.t - 86400000)) < 3 THEN list_append(list_filter(p.times,
+lambda x: x > s.t - 86400000), s.t) ELSE list_filter(p.times, lambda x: x > s.t - 86400000) END, len(list_filter(p.times,
+lambda x: x > s.t - 86400000)) < 3 FROM p JOIN s ON s.symbol = p.symbol AND s.i = p.i + 1)
 SELECT symbol, t, sent FROM p""")
 def rate_limit(spark, d):
     def make():
@@ -805,7 +837,8 @@ def latency_percentiles(spark, d):
 
 
 DAILY = """WITH RECURSIVE lt AS (SELECT l_returnflag AS symbol, epoch_us(l_shipdate) // 1000 AS t, l_extendedprice AS price, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
-dy AS (SELECT symbol, t // 86400000 AS day, arg_min(price, (t, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (t, seq)) AS close FROM lt WHERE price > 0 GROUP BY symbol, t // 86400000),
+dy AS (SELECT symbol, t // 86400000 AS day, arg_min(price, (t, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (t, seq)) AS close
+FROM lt WHERE price > 0 GROUP BY symbol, t // 86400000),
 rg AS (SELECT *, 100 * (high - low) / open AS range_pct FROM dy WHERE open > 0 AND high >= low AND low > 0),
 rk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY range_pct DESC, day) AS rank FROM rg)"""
 GREEDY = """, gr AS (SELECT DISTINCT symbol, 0::BIGINT AS rank, []::BIGINT[] AS p FROM rk UNION ALL SELECT gr.symbol, rk.rank, CASE WHEN len(p) < {k} AND len(list_filter(p, lambda x: abs(x - rk.day) < {apart})) = 0 THEN list_append(p, rk.day) ELSE p END FROM gr JOIN rk ON rk.symbol = gr.symbol AND rk.rank = gr.rank + 1 WHERE rk.rank <= {most}),
@@ -846,7 +879,8 @@ def events_document(spark, d):
 
 
 REGIME = """, us AS (SELECT *, quantile_cont(range_pct, 0.5) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS usual, lag(day, 7) OVER (PARTITION BY symbol ORDER BY day) = day - 7 AS whole FROM rg),
-rx AS (SELECT symbol, day, range_pct / usual AS ratio FROM us WHERE whole AND usual > 0 AND range_pct >= 4 AND NOT EXISTS (SELECT 1 FROM gp WHERE gp.symbol = us.symbol AND abs(gp.day - us.day) <= 1)),
+rx AS (SELECT symbol, day, range_pct / usual AS ratio FROM us WHERE whole AND usual > 0 AND range_pct >= 4 AND NOT EXISTS (SELECT 1 FROM gp
+WHERE gp.symbol = us.symbol AND abs(gp.day - us.day) <= 1)),
 rr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ratio DESC, day) AS rank FROM rx)"""
 
 
@@ -860,7 +894,8 @@ def regime_picks(spark, d):
 
 
 @query(DAILY + GREEDY.format(k=10, apart=30, most=590) + """, us AS (SELECT *, quantile_cont(range_pct, 0.5) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS usual, lag(day, 7) OVER (PARTITION BY symbol ORDER BY day) = day - 7 AS whole FROM rk),
-rx AS (SELECT symbol, day, range_pct / usual AS ratio FROM us WHERE whole AND usual > 0 AND range_pct >= 4 AND NOT EXISTS (SELECT 1 FROM gp WHERE gp.symbol = us.symbol AND abs(gp.day - us.day) <= 1))
+rx AS (SELECT symbol, day, range_pct / usual AS ratio FROM us WHERE whole AND usual > 0 AND range_pct >= 4 AND NOT EXISTS (SELECT 1 FROM gp
+WHERE gp.symbol = us.symbol AND abs(gp.day - us.day) <= 1))
 SELECT symbol, day, round(ratio, 6) AS ratio, rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ratio DESC, day) AS rank FROM rx) WHERE rank <= 20""")
 def regime_days(spark, d):
     days = X.ranked(daily(spark, d))
@@ -877,7 +912,8 @@ def onset_pct(spark, d):
 
 
 @query(""", dd AS (SELECT symbol, start // 86400000 AS day FROM ev), m AS (SELECT a.symbol, a.t, abs(ln(a.close / b.close)) AS m FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.t = a.t - 21600000),
-th AS (SELECT dd.symbol, dd.day, CASE WHEN count(*) >= 0.8 * 5 * 24 THEN 2 * quantile_cont(m, 0.5) END AS theta FROM dd JOIN m ON m.symbol = dd.symbol AND m.t // 86400000 BETWEEN dd.day - 5 AND dd.day - 1 GROUP BY dd.symbol, dd.day)
+th AS (SELECT dd.symbol, dd.day, CASE WHEN count(*) >= 0.8 * 5 * 24 THEN 2 * quantile_cont(m, 0.5) END AS theta FROM dd
+JOIN m ON m.symbol = dd.symbol AND m.t // 86400000 BETWEEN dd.day - 5 AND dd.day - 1 GROUP BY dd.symbol, dd.day)
 SELECT th.symbol, th.day, round(theta, 6) AS theta, min(m.t) FILTER (WHERE m.m >= theta) AS onset, coalesce(min(m.t) FILTER (WHERE m.m >= theta) = min(m.t), false) AS in_progress FROM th LEFT JOIN m ON m.symbol = th.symbol AND m.t // 86400000 = th.day GROUP BY th.symbol, th.day, theta""")
 def onset_trailing(spark, d):
     days = windows(spark, d).select("symbol", F.floor(F.col("start") / DAY).cast("long").alias("day"))
