@@ -673,3 +673,18 @@ def test_neardup_of_a_document_with_two_texts(spark):
     out = neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out), key=str)
     assert got == sorted([(1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 56, 4, True), (None, 57, 4, False), (None, 3, None, True), (5, 0, 5, True), (5, 56, 4, False)], key=str)
+
+
+@pytest.mark.parametrize("module, name", [(quality, "op9_quality"), (decontam, "op5_decontam")])
+def test_sql(spark, case, sf_dir, module, name):
+    import duckdb
+
+    for d in (case[0], sf_dir):
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet{'/*.parquet' if d == case[0] else ''}')")
+        res = con.execute(module.ORACLE[name])
+        names = [c[0] for c in res.description]
+        df = getattr(module, name)(spark, d)
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(map(tuple, df.select(*names).collect())) == sorted(res.fetchall())

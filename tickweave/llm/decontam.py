@@ -193,3 +193,19 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
 def op5_decontam(spark, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: The same rows by comparing items with all windows that begin at one of their shingles, or end with the text.
+ORACLE = {
+    "op5_decontam": r"""WITH i AS (SELECT *, CASE WHEN len(w) >= 5 THEN 5 ELSE len(w) END AS g FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) > 0),
+a AS (SELECT item_id, g, list_transform(range(1, len(w) - g + 2), lambda k: array_to_string(w[k:k + g - 1], ' ')) AS a FROM i),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text <> ''),
+s AS (SELECT row, doc_id, g, list_transform(range(1, len(w) - g + 2), lambda k: array_to_string(w[k:k + g - 1], ' ')) AS s FROM d, (SELECT DISTINCT g FROM i) WHERE len(w) >= g),
+c AS (SELECT DISTINCT row, g, item_id, a FROM (SELECT row, g, unnest(s) AS h FROM s) JOIN (SELECT item_id, g, a, unnest(a) AS h FROM a) USING (g, h)),
+p AS (SELECT doc_id, item_id, g, a, s, unnest(list_filter(range(1, greatest(1, len(s) - len(a) + 1) + 1), lambda k: list_contains(a, s[k]) OR k = greatest(1, len(s) - len(a) + 1))) AS k FROM c JOIN s USING (row, g)),
+b AS (SELECT doc_id, item_id, g, a, k, s[k:k + len(a) - 1] AS b FROM p),
+m AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS n FROM b),
+r AS (SELECT doc_id, item_id, g, len(b) AS size, k, n / (len(a) + len(b) - n)::DOUBLE AS similarity FROM m),
+z AS (SELECT doc_id, item_id, max((similarity, -k, size, g)) AS z FROM r WHERE similarity >= 0.8 GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, round(z[1], 6) AS similarity, (-z[2] - 1)::BIGINT AS first_word, CASE WHEN z[4] < 5 THEN z[4] ELSE z[3] + 4 END::BIGINT AS n_words FROM z"""
+}

@@ -193,3 +193,41 @@ def op9_quality(spark, sf_dir: str) -> DataFrame:
     out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     counts = [F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return out.select("doc_id", *counts, "base_failed", "kept")
+
+
+def _oracle() -> str:
+    """The same rows from sorted lists of bucket numbers instead of sketches."""
+    rates = " UNION ALL ".join(f"SELECT lang, source, '{r.name}' AS rule, {r.count} / {r.units}::DOUBLE AS x FROM m WHERE NOT base_failed AND {r.units} > 0" for r in RULES)
+    of_rule = lambda get: "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {get(r)}" for r in RULES) + " END"
+    level, far = of_rule(lambda r: r.level), of_rule(lambda r: r.far or r.level)
+    at = lambda p: f"(l[greatest(1, ceil(({p}) * len(l) - 1e-9))::BIGINT])"
+    value = lambda p: f"CASE WHEN {at(p)} = {ZERO} THEN 0 ELSE pow({GAMMA}, {at(p)}) * {2 / (GAMMA + 1)!r} END"
+    points = ", ".join(f"{value(p)} AS {n}" for n, p in zip(QUANTILES, ("0.5", level, f"1 - {level}", far, f"1 - {far}")))
+    lists = lambda keys: f"SELECT {keys}rule, len(l) AS n, {points} FROM (SELECT {keys}rule, list_sort(list(b)) AS l FROM x GROUP BY {keys}rule)"
+    mix = lambda n, x, y: f"({n} * {x} + {PRIOR_TEXTS} * {y}) / ({n} + {PRIOR_TEXTS})"
+    mixed = ", ".join(f"{mix('g.n', f'g.{q}', '(' + mix('k.n', f'k.{q}', f'a.{q}') + ')')} AS {q}" for q in QUANTILES)
+    fences, tests = [], []
+    for r in RULES:
+        own = lambda e, r=r: f"max({e}) FILTER (WHERE rule = '{r.name}')"
+        fences.append(f"{own(f'hi + {r.reach} * greatest(hi - mid, (far_hi - mid) / {r.ratio})')} AS hi_{r.name}")
+        beyond = lambda bound: f"{DEVIATIONS} * sqrt(greatest({bound}, 0) * m.{r.units} + 1)"  # noqa: B023, E731
+        tests.append(f"coalesce(m.{r.count} - hi_{r.name} * m.{r.units} > {beyond(f'hi_{r.name}')}, false)")
+        if r.both_sides:
+            fences.append(f"{own(f'lo - {r.reach} * greatest(mid - lo, (mid - far_lo) / {r.ratio})')} AS lo_{r.name}")
+            tests.append(f"coalesce(lo_{r.name} * m.{r.units} - m.{r.count} > {beyond(f'lo_{r.name}')}, false)")
+    return rf"""WITH w AS (SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT row, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS run FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+c AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, run) AS k FROM g) WHERE k > 1),
+v AS (SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS place FROM c) GROUP BY row),
+n AS (SELECT row, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+m AS (SELECT n.* EXCLUDE (lines), len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(v.n, 0) AS n_repeat_words,
+  n_words < 50 OR 100 * coalesce(v.n, 0) > 50 * n_words AS base_failed FROM n LEFT JOIN v USING (row)),
+x AS (SELECT lang, source, rule, CASE WHEN x > 0 THEN ceil(ln(x) / ln({GAMMA}))::BIGINT ELSE {ZERO} END AS b FROM ({rates})),
+own AS ({lists("lang, source, ")}), langs AS ({lists("lang, ")}), every AS ({lists("")}),
+f AS (SELECT lang, source, {", ".join(fences)} FROM (SELECT g.lang, g.source, g.rule, {mixed} FROM own g JOIN langs k ON k.lang IS NOT DISTINCT FROM g.lang AND k.rule = g.rule JOIN every a ON a.rule = g.rule) GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(tests)}) AS kept
+FROM m LEFT JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source"""
+
+
+ORACLE = {"op9_quality": _oracle()}
