@@ -755,3 +755,25 @@ def test_html_of_the_table_equals_the_articles(spark, sf_dir):
         parser.end()
         same += r.text == "\n".join(parser.out)
     assert same == len(pages)
+
+
+def test_warc_files_have_a_member_a_record(spark, tmp_path):
+    import gzip
+    import zlib
+
+    rows = [(i, f"http://h/{i}", "<p>é</p>" * (i % 4)) for i in range(40)]
+    warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"{tmp_path}/w")
+    kinds = collections.Counter()
+    (tmp_path / "w/_left.warc.gz").write_bytes(gzip.compress(b"WARC/1.0 what a lost task left"))
+    for path in (tmp_path / "w").glob("[!_.]*.warc.gz"):
+        data = path.read_bytes()
+        while data:
+            z = zlib.decompressobj(31)
+            head, _, block = z.decompress(data).partition(b"\r\n\r\n")
+            data = z.unused_data
+            assert head.startswith(b"WARC/1.0\r\n") and block.endswith(b"\r\n\r\n")
+            fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+            assert int(fields[b"Content-Length"]) == len(block) - 4
+            kinds[fields[b"WARC-Type"].decode()] += 1
+    assert kinds == {"request": 40, "metadata": 40, "response": 4, "revisit": 36}
+    assert warc.read_records(spark, f"{tmp_path}/w").count() == 120

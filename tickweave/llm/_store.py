@@ -79,11 +79,16 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def put_array(uri: str, array: np.ndarray) -> None:
-    """Write an array's bytes from an executor; the name must be new, so that a repeated task can't damage an older file."""
+def put_stream(uri: str):
+    """A new file in the shared folder, opened for writing by an executor; the name must be new, so that a repeated task can't damage an older file."""
     files, path = _filesystem(uri)
     files.create_dir(os.path.dirname(path), recursive=True)
-    with files.open_output_stream(path) as out:
+    return files.open_output_stream(path, compression=None)
+
+
+def put_array(uri: str, array: np.ndarray) -> None:
+    """Write an array's bytes as a new file."""
+    with put_stream(uri) as out:
         out.write(np.ascontiguousarray(array).tobytes())
 
 

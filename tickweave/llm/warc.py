@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import base64
+import contextlib
+import gzip
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._ship import ship
-from ._store import folder, small_batches, written
+from ._store import folder, put_stream, small_batches, trimmed, written
 
 VERSION = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -40,16 +43,20 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write a request, a response (or revisit) and a metadata record for each row, as gzipped WARC files under ``path``.
+    """Write a request, a response (or revisit) and a metadata record for each row, as WARC files under ``path``, each record a gzip member.
 
     The payload is the html in UTF-8; null is an empty one. Of rows with equal payloads that with the smallest page_id is the
     response and the others are revisits that refer to it; rows without page_id come after all others, and where no row has one,
     all are responses. Rows that repeat a page_id and its payload are captures of their own, with record ids of their own; if
     theirs is the smallest page_id, each is a response, and revisits refer to one of them. Null urls are empty and line breaks
-    in them become spaces. An empty table leaves an archive without records.
+    in them become spaces. An empty table leaves an empty folder.
 
-    The text writer ends each row with the blank lines that end a record, so records are written by Spark's own commit protocol.
+    A task writes one file under a name that readers pass over; files of tasks that ended well are renamed at last, so those of
+    lost or repeated tasks are never read.
     """
+    spark = pages.sparkSession
+    ship(spark)
+    small_batches(spark)
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), "[\r\n]", " ").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
@@ -89,7 +96,24 @@ def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "u
     )
     notes = F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = _record([kind("metadata"), ("WARC-Record-ID", _urn("metadata", page, digest, row)), stamp, target, ("WARC-Concurrent-To", own), media("application/warc-fields")], notes)
-    rows.select(F.concat_ws(END, request, response, metadata).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out = f"{uuid.uuid4().hex}.warc.gz", None
+        with contextlib.ExitStack() as open_files:
+            for batch in batches:
+                if out is None and len(batch):
+                    out = open_files.enter_context(put_stream(f"{path}/_{name}"))
+                for record in (x for row in zip(*(c.to_pylist() for c in batch.columns)) for x in row):
+                    out.write(gzip.compress(record + END.encode(), 6, mtime=0))
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    records = rows.select(*(r.cast("binary").alias(n) for r, n in ((request, "q"), (response, "r"), (metadata, "m"))))
+    made = written(records.mapInArrow(lambda b: trimmed(write(b)), "name string"), "warc-files")
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
+    for r in made.toLocalIterator():
+        files.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_{r['name']}"), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{r['name']}"))
 
 
 RECORD = "record_id string, kind string, target_uri string, concurrent_to array<string>, refers_to string, declared_digest string, payload_bytes long, payload_digest string, fields string, payload binary"
