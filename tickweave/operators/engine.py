@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .._ship import ship
 from .steps import methods
@@ -23,32 +26,24 @@ def fold(rows: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: st
     is stated, as keys cost far more time than their bytes show, by which small partitions would be put into one task.
     """
     ship(rows.sparkSession)
-    names = [x.strip().split()[0] for x in _fields(schema)]
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def plain(column: pa.Array) -> pa.Array:
+        return pc.if_else(pc.is_nan(column), None, column) if pa.types.is_floating(column.type) else column
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, step = None, None
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+            for r in pa.RecordBatch.from_arrays([plain(c) for c in batch.columns], names=batch.schema.names).to_pylist():
                 own = tuple(r[k] for k in keys)
-                if own != key:
+                if own != key or step is None:
                     key, step = own, make()
                 out.append({**r, **step(r)})
-            yield pd.DataFrame(out, columns=names)
+            yield pa.RecordBatch.from_pylist(out, schema=out_schema)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *map(F.col, keys)).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
-
-
-def _fields(schema: str) -> list[str]:
-    parts, depth = [""], 0
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            parts.append("")
-        else:
-            parts[-1] += c
-    return parts
+    return rows.repartition(parts, *map(F.col, keys)).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
 def engine(bars: DataFrame, **settings) -> DataFrame:
