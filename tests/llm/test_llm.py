@@ -7,7 +7,6 @@ import random
 import re
 import zlib
 
-import pandas as pd
 import pytest
 
 pytest.importorskip("tickweave.llm")
