@@ -295,7 +295,10 @@ def cluster(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
         first = written(components(links.union(rest)), "neardup-second")
     # A component is named by its smallest doc_id; one of a single set, by that of its rows.
     label = first.join(group.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("name"))
-    found = group.select("node", "doc_id").join(first, "node", "left").join(label, "component", "left").select("node", F.coalesce("name", "doc_id").alias("name"), F.xxhash64("node").alias("k"))
+    # The second key once more, for a component of very many sets.
+    whole = F.xxhash64("component")
+    named = first.withColumn("k", whole).join(label.withColumn("k", whole), ["component", "k"]).select("node", "name")
+    found = group.select("node", "doc_id").join(named, "node", "left").select("node", F.coalesce("name", "doc_id").alias("name"), F.xxhash64("node").alias("k"))
     out = rows.withColumn("k", F.xxhash64("node")).join(found, ["node", "k"], "left")
     component = F.coalesce("name", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
