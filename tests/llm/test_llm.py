@@ -306,6 +306,57 @@ def test_lm(spark, case, monkeypatch, heavy):
         assert r.score == pytest.approx(sum(math.log10(chance(a, b)) for a, b in zip(["<s>", *w], z)))
 
 
+@pytest.mark.parametrize("heavy", [1 << 22, 40])
+def test_lm_of_order_three(spark, monkeypatch, heavy):
+    """Against a plain model, whose pairs count the words before them, but for those that begin texts."""
+    monkeypatch.setattr(lm, "PAIRS", heavy)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh")[: 1 + (rng.random() < 0.1)] + "x" * int(rng.expovariate(1.2)) for _ in range(rng.randrange(60))) for _ in range(90)]
+    learned, asked = [*texts[:60], None, ""], [*texts, "never met", "ax never bx cx dx"]
+    c, pairs, triples = (collections.Counter() for _ in range(3))
+    for w in map(words, learned):
+        z = ["<s>", *w, "</s>"]
+        c.update(z[1:])
+        pairs.update(zip(z, z[1:]))
+        triples.update(zip(z, z[1:], z[2:]))
+    follow, before = collections.Counter(b for _, b in pairs), collections.Counter((b, x) for _, b, x in triples)
+    lower = {p: k if p[0] == "<s>" else before[p] for p, k in pairs.items()}
+    three, two, one = (lm.discounts([sum(x == j for x in t.values()) for j in (1, 2, 3, 4)]) for t in (triples, lower, follow))
+
+    def step(table, key, takes, low, total, after):
+        if not total:
+            return low
+        rest = sum(takes[min(k, 3) - 1] for k in after)
+        k = table.get(key, 0)
+        return ((max(k - takes[min(k, 3) - 1], 0) if k else 0) + rest * low) / total
+
+    def chance(a, b, x):
+        low = step(follow, x, one, 1 / (len(c) + 1), sum(follow.values()), follow.values())
+        some = [k for p, k in lower.items() if p[0] == b]
+        low = step(lower, (b, x), two, low, sum(some), some)
+        some = [k for p, k in triples.items() if p[:2] == (a, b)]
+        return step(triples, (a, b, x), three, low, sum(some), some)
+
+    for a, b in [("<s>", words(texts[0])[0]), list(triples)[7][:2], (None, "<s>"), ("never", "a")]:
+        assert sum(chance(a, b, x) for x in c) + chance(a, b, "?") == pytest.approx(1)
+    docs = lambda t: spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    model = lm.train(docs(learned), order=3)
+    got = {r.doc_id: r.score for r in lm.score(docs(asked), model).collect()}
+    assert model.order == 3 and (heavy > 40 or any(s.split for s in model.pairs))
+    for i, w in enumerate(map(words, asked)):
+        z = [None, "<s>", *w, "</s>"]
+        assert got[i] == pytest.approx(sum(math.log10(chance(*x)) for x in zip(z, z[1:], z[2:])))
+
+
+def test_lm_of_order_three_on_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    blank = spark.createDataFrame([(1, None), (1, ""), (None, " ")], "doc_id long, text string")
+    assert [lm.score(none, lm.train(blank, order=3)).count(), lm.score(blank, lm.train(none, order=3)).count()] == [0, 3]
+    assert {r.score for r in lm.score(blank, lm.train(blank, order=3)).collect()} == {r.score for r in lm.score(blank, lm.train(blank)).collect()}
+    with pytest.raises(ValueError):
+        lm.train(blank, order=4)
+
+
 def test_toxicity(spark, case):
     d, texts, *_ = case
     got = collected(toxicity.op2_toxicity(spark, d))

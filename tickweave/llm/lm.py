@@ -1,16 +1,20 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model in sorted, memory-mapped arrays.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of order 2 or 3 in sorted, memory-mapped arrays.
 
-The model is counted in three Spark steps, each of which leaves arrays in the shared folder:
+The model is counted in three Spark steps (five with order 3), each of which leaves arrays in the shared folder:
 
 1. words: hashes of all training words, sorted, with counts; a word's id is its place in that order;
 2. pairs: (id, id) in one 64-bit key, sorted, with counts, and for each first word how many pairs follow it once, twice, more often;
-3. followers: for each word how many different words it follows.
+3. followers: for each word how many different words it follows;
+4. triples: a pair's place in its range and the word that follows, in one key, sorted, with counts, and for each pair how many
+   words follow it once, twice, more often;
+5. before pairs: for each pair how many different words it follows, which stands for its count below triples. Only pairs that
+   begin texts, which nothing precedes, keep their counts.
 
 Ids are dealt to shards by ranges, so shards in order are one sorted array, and as ids rank hashes every range has as many words.
 Pairs are dealt by ranges of their keys that the words' counts make equally heavy: a range has first words that occur PAIRS times
 in all, and a word that alone occurs more often has several ranges, by its second words. So a shard of pairs stays as small in a
-large corpus, and there are more of them. Rows are pre-aggregated before each shuffle. Only counts of counts and the list of
-shards reach the driver.
+large corpus, and there are more of them. A range's triples are a shard, too: they occur no oftener than its pairs. Rows are
+pre-aggregated before each shuffle. Only counts of counts and the list of shards reach the driver.
 """
 
 from __future__ import annotations
@@ -106,6 +110,27 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return [int(x) for x in np.bincount(np.minimum(counts, 5), minlength=6)[1:5]]
 
 
+def _kinds(at: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """For each of the places, how many counts of 1, of 2 and of more it has."""
+    return np.stack([np.bincount(at[pick], minlength=size) for pick in (counts == 1, counts == 2, counts > 2)])
+
+
+def _count_type(counts: np.ndarray) -> str:
+    top = int(counts.max()) if len(counts) else 0
+    return next(t for t, most in (("<u1", 1 << 8), ("<u2", 1 << 16), ("<u4", 1 << 32), ("<u8", 1 << 64)) if top < most)
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of each run of equal values."""
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))[: len(values)])
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(values)]):
+        yield int(values[a]), a, b
+
+
+def _added(facts: dict[int, dict]) -> list[int]:
+    return [sum(f["m"][j] for f in facts.values()) for j in range(4)]
+
+
 def discounts(m: list[int]) -> list[float]:
     """What is taken from counts of 1, 2 and 3 or more; halves of the count where too few counts are known."""
     if min(m) <= 0:
@@ -126,7 +151,7 @@ class Words:
 
 @dataclass
 class Pairs:
-    """A range of pairs: its first words, or the one that it shares with other ranges, and the name of its arrays."""
+    """A range of pairs: its first words, or the one that it shares with other ranges, and the names of its arrays."""
 
     first: int
     size: int
@@ -134,6 +159,11 @@ class Pairs:
     name: str = ""
     n: int = 0
     count_type: str = "<u4"
+    triples: str = ""
+    n_triples: int = 0
+    triple_type: str = "<u4"
+    #: Arrays of how many words come before each pair.
+    lower: str = ""
 
 
 @dataclass
@@ -147,9 +177,12 @@ class Model:
     pairs: list[Pairs] = field(default_factory=list)
     #: The first key of each range of pairs.
     cuts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    #: Of first words whose pairs are split: how many follow once, twice, more often.
+    #: Of first words whose pairs are split: how many follow once, twice, more often, and with order 3 what is before their pairs in all.
     kinds: dict[int, list[int]] = field(default_factory=dict)
+    lower_totals: dict[int, int] = field(default_factory=dict)
     total_followers: int = 0
+    order: int = 2
+    triple_discounts: tuple = (0.5, 1.0, 1.5)
     pair_discounts: tuple = (0.5, 1.0, 1.5)
     word_discounts: tuple = (0.5, 1.0, 1.5)
     word_rest: float = 1.0
@@ -244,10 +277,25 @@ class Reader:
         own = np.maximum(n - np.array([0, *m.word_discounts])[np.minimum(n, 3)], 0) / max(1, m.total_followers)
         return own + m.word_rest / (m.n_words + 1)
 
-    def chance(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Probability of each word after the one before; unknown words and contexts fall back to the lower order."""
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted pairs, the range that each belongs to and its place there (-1: not met in training)."""
+        m = self.model
+        shard, place = np.searchsorted(m.cuts, keys, "right") - 1, np.full(len(keys), -1, np.int64)
+        for k, a, b in _runs(shard):
+            s = m.pairs[k]
+            if s.n:
+                table = self.array(s.name + ".key", "<u8")
+                at = np.minimum(np.searchsorted(table, keys[a:b]), s.n - 1)
+                place[a:b] = np.where(table[at] == keys[a:b], at, -1)
+        return shard, place
+
+    def chance(self, earlier: np.ndarray, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Probability of each word after the one or two before; unknown words and contexts fall back to the lower order."""
+        low = self.after_one(before, ids, self.word_chance(ids))
+        return self.after_two(earlier, before, ids, low) if self.model.order > 2 else low
+
+    def after_one(self, before: np.ndarray, ids: np.ndarray, low: np.ndarray) -> np.ndarray:
         m = self.model
-        low = self.word_chance(ids)
         out = low.copy()
         some = np.flatnonzero(before >= 0)
         keys = (before[some].astype(np.uint64) << np.uint64(32)) | np.where(ids[some] < 0, 0xFFFFFFFF, ids[some]).astype(np.uint64)
@@ -255,30 +303,66 @@ class Reader:
         keys, some = keys[order], some[order]
         first = (keys >> np.uint64(32)).astype(np.int64)
         # A word is followed as often as it occurs; what begins texts, as often as there are texts.
-        begins = int(np.searchsorted(first, self.bos))
         total = np.full(len(first), float(m.n_texts))
-        total[:begins] = self.per_word(first[:begins], lambda w: w.name + ".count", "<u8")
+        if m.order == 2:
+            begins = int(np.searchsorted(first, self.bos))
+            total[:begins] = self.per_word(first[:begins], lambda w: w.name + ".count", "<u8")
         take = np.array([0, *m.pair_discounts])
-        shard = np.searchsorted(m.cuts, keys, "right") - 1
-        starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))[: len(shard)])
-        for a, b in zip(starts, np.append(starts[1:], len(shard))):
-            s = m.pairs[shard[a]]
-            n = np.zeros(b - a, np.int64)
+        shard, place = self.places(keys)
+        for k, a, b in _runs(shard):
+            s = m.pairs[k]
+            lower = m.order > 2 and s.first != self.bos
+            name, own, n, kinds = s.lower if lower else s.name, first[a:b] - s.first, np.zeros(b - a, np.int64), np.zeros((3, 1))
             if s.n:
-                table = self.array(s.name + ".key", "<u8")
-                at = np.minimum(np.searchsorted(table, keys[a:b]), s.n - 1)
-                n = np.where(table[at] == keys[a:b], self.array(s.name + ".count", s.count_type)[at], 0).astype(np.int64)
+                n = np.where(place[a:b] >= 0, self.array(name + ".count", "<u4" if lower else s.count_type)[place[a:b]], 0).astype(np.int64)
             if s.split:
                 kinds = np.array(m.kinds.get(s.first, [0, 0, 0])).reshape(3, 1)
             elif s.n:
-                kinds = self.array(s.name + ".kinds", "<u4").reshape(3, -1)[:, first[a:b] - s.first]
-            else:
-                kinds = np.zeros((3, 1))
+                kinds = self.array(name + ".kinds", "<u4").reshape(3, -1)[:, own]
+            if lower and s.split:
+                total[a:b] = m.lower_totals.get(s.first, 0)
+            elif lower:
+                total[a:b] = self.array(name + ".total", "<u8")[own] if s.n else 0
             rest = sum(d * k for d, k in zip(m.pair_discounts, kinds))
             p = (np.maximum(n - take[np.minimum(n, 3)], 0) + rest * low[some[a:b]]) / np.maximum(total[a:b], 1)
             out[some[a:b]] = np.where(rest > 0, p, low[some[a:b]])
         return out
 
+    def after_two(self, earlier: np.ndarray, before: np.ndarray, ids: np.ndarray, low: np.ndarray) -> np.ndarray:
+        m = self.model
+        out = low.copy()
+        some = np.flatnonzero((earlier >= 0) & (before >= 0))
+        keys = (earlier[some].astype(np.uint64) << np.uint64(32)) | before[some].astype(np.uint64)
+        order = np.argsort(keys)
+        some = some[order]
+        shard, place = self.places(keys[order])
+        met = place >= 0
+        some, shard, place = some[met], shard[met], place[met]
+        take = np.array([0, *m.triple_discounts])
+        for k, a, b in _runs(shard):
+            s, at, own = m.pairs[k], place[a:b], some[a:b]
+            keys = (at.astype(np.uint64) << np.uint64(32)) | np.where(ids[own] < 0, 0xFFFFFFFF, ids[own]).astype(np.uint64)
+            table = self.array(s.triples + ".key", "<u8")
+            found = np.minimum(np.searchsorted(table, keys), s.n_triples - 1)
+            n = np.where(table[found] == keys, self.array(s.triples + ".count", s.triple_type)[found], 0).astype(np.int64)
+            # A pair is followed as often as it occurs.
+            total = self.array(s.name + ".count", s.count_type)[at]
+            rest = sum(d * k for d, k in zip(m.triple_discounts, self.array(s.triples + ".kinds", "<u4").reshape(3, -1)[:, at]))
+            out[own] = (np.maximum(n - take[np.minimum(n, 3)], 0) + rest * low[own]) / total
+        return out
+
+
+def _contexts(reader: Reader, hashes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ids and counts of the words of texts and their ends, the ids one and two places before (-1: none), and where texts begin and end."""
+    ids, counts = reader.words(np.insert(hashes, marks[1:], END))
+    ends = marks[1:] + np.arange(1, len(marks))
+    begins = np.concatenate(([0], ends[:-1]))
+    before = np.concatenate(([reader.bos], ids[:-1]))
+    before[begins] = reader.bos
+    earlier = np.concatenate(([-1], before[:-1]))
+    earlier[begins] = -1
+    return ids, counts, before, earlier, begins, ends
+
 
 def _streams(batch_text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Word hashes and the first word's index of each text, for pieces of a batch."""
@@ -287,8 +371,10 @@ def _streams(batch_text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield _flat.words(data, offsets[a : b + 1])
 
 
-def train(documents: DataFrame, text: str = "text", shards: int | None = None) -> Model:
-    """Counts a model over all texts; null and empty texts count as an end alone."""
+def train(documents: DataFrame, text: str = "text", shards: int | None = None, order: int = 2) -> Model:
+    """Counts a model over all texts; null and empty texts count as an end alone. ``order`` is 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = documents.sparkSession
     ship(spark)
     small_batches(spark)
@@ -348,7 +434,7 @@ def train(documents: DataFrame, text: str = "text", shards: int | None = None) -
         name = f"{home}/pairs-{shard}-{uuid.uuid4().hex}"
         put_array(name + ".key", tally.keys)
         put_array(name + ".count", tally.counts.astype(kind))
-        kinds = np.stack([np.bincount(context[pick], minlength=own.size) for pick in (tally.counts == 1, tally.counts == 2, tally.counts > 2)])
+        kinds = _kinds(context, tally.counts, own.size)
         if not own.split:
             put_array(name + ".kinds", kinds.astype("<u4"))
         yield _told(shard, {"name": name, "n": len(tally.keys), "type": kind, "m": _of_counts(tally.counts), "kinds": kinds[:, 0].tolist() if own.split else None})
@@ -382,14 +468,97 @@ def train(documents: DataFrame, text: str = "text", shards: int | None = None) -
     below = _facts(written(rows.repartitionById(count, F.col("shard")).mapInArrow(store_followers, TOLD), "lm-followers"))
     for k, f in below.items():
         layout[k].followers = f["name"]
-    add = lambda facts: [sum(f["m"][j] for f in facts.values()) for j in range(4)]
-    model.pair_discounts, model.word_discounts = tuple(discounts(add(told))), tuple(discounts(add(below)))
+    model.pair_discounts, model.word_discounts = tuple(discounts(_added(told))), tuple(discounts(_added(below)))
     model.total_followers = sum(f["sum"] for f in below.values())
-    kinds = [*add(below)[:2], sum(f["more"] for f in below.values())]
+    kinds = [*_added(below)[:2], sum(f["more"] for f in below.values())]
     model.word_rest = sum(d * k for d, k in zip(model.word_discounts, kinds)) / model.total_followers if model.total_followers else 1.0
+    if order > 2:
+        _third(texts, model, home, {k: f for k, f in told.items() if model.pairs[k].first == model.n_words})
     return model
 
 
+def _third(texts: DataFrame, model: Model, home: str, begins: dict[int, dict]) -> None:
+    """Counts triples, and the words before pairs, into the model; ``begins`` is what the pairs that begin texts told."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    cuts = model.cuts
+
+    def count_triples(batches):
+        reader, fresh, size = Reader(shared.value), [], 0
+
+        def settled():
+            shard, key = (np.concatenate(x) for x in zip(*fresh))
+            fresh.clear()
+            order = np.lexsort((key, shard))
+            shard, key = shard[order], key[order]
+            at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1]))))
+            return _rows(shard[at], key[at], np.diff(np.append(at, len(key))))
+
+        for batch in batches:
+            for hashes, marks in _streams(batch.column(0)):
+                ids, _, before, earlier, *_ = _contexts(reader, hashes, marks)
+                some = earlier >= 0
+                pairs = (earlier[some].astype(np.uint64) << np.uint64(32)) | before[some].astype(np.uint64)
+                order = np.argsort(pairs)
+                shard, place = reader.places(pairs[order])
+                fresh.append((shard, (place.astype(np.uint64) << np.uint64(32)) | ids[some][order].astype(np.uint64)))
+                size += len(order)
+                if size > GATHER:
+                    yield from settled()
+                    size = 0
+        if size:
+            yield from settled()
+
+    def store_triples(batches):
+        shard, tally = _gather(batches)
+        if shard < 0:
+            return
+        own, word = shared.value.pairs[shard], np.uint64(0xFFFFFFFF)
+        place, kind = (tally.keys >> np.uint64(32)).astype(np.int64), _count_type(tally.counts)
+        name = f"{home}/triples-{shard}-{uuid.uuid4().hex}"
+        put_array(name + ".key", tally.keys)
+        put_array(name + ".count", tally.counts.astype(kind))
+        put_array(name + ".kinds", _kinds(place, tally.counts, own.n).astype("<u4"))
+        yield _told(shard, {"name": name, "n": len(tally.keys), "type": kind, "m": _of_counts(tally.counts)})
+        second = map_array(own.name + ".key", "<u8")[place] & word
+        keys = np.sort((second << np.uint64(32)) | (tally.keys & word))
+        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        for b in _rows(np.searchsorted(cuts, keys[at], "right") - 1, keys[at], np.diff(np.append(at, len(keys)))):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(len(b), pa.string())], names=["shard", "key", "n", "facts"])
+
+    def store_lower(batches):
+        shard, tally = _gather(batches)
+        if shard < 0:
+            return
+        # Every pair has a word or the begin of a text before it, but those that begin texts, which have no rows here.
+        own = shared.value.pairs[shard]
+        context, counts = (tally.keys >> np.uint64(32)).astype(np.int64) - own.first, tally.counts
+        name = f"{home}/lower-{shard}-{uuid.uuid4().hex}"
+        kinds = _kinds(context, counts, own.size)
+        put_array(name + ".count", counts.astype("<u4"))
+        if not own.split:
+            put_array(name + ".kinds", kinds.astype("<u4"))
+            put_array(name + ".total", np.bincount(context, counts, own.size).astype("<u8"))
+        yield _told(shard, {"name": name, "m": _of_counts(counts), "kinds": kinds[:, 0].tolist(), "total": int(counts.sum())})
+
+    stored = written(texts.mapInArrow(lambda b: trimmed(count_triples(b)), ROWS).repartitionById(len(cuts), F.col("shard")).mapInArrow(store_triples, TOLD), "lm-triples")
+    told = _facts(stored)
+    rows = stored.where("facts is null").select("shard", "key", "n")
+    below = _facts(written(rows.repartitionById(len(cuts), F.col("shard")).mapInArrow(store_lower, TOLD), "lm-lower"))
+    for k, f in told.items():
+        s = model.pairs[k]
+        s.triples, s.n_triples, s.triple_type = f["name"], f["n"], f["type"]
+    split = {model.pairs[k].first for k in below if model.pairs[k].split}
+    model.kinds |= {first: [0, 0, 0] for first in split}
+    for k, f in below.items():
+        s = model.pairs[k]
+        s.lower = f["name"]
+        if s.split:
+            model.kinds[s.first] = [x + y for x, y in zip(model.kinds[s.first], f["kinds"])]
+            model.lower_totals[s.first] = model.lower_totals.get(s.first, 0) + f["total"]
+    model.triple_discounts, model.pair_discounts = tuple(discounts(_added(told))), tuple(discounts(_added(below | begins)))
+    model.order = 3
+
+
 def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every row: log10 probabilities of the whole text with its end.
 
@@ -408,12 +577,8 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
         for batch in batches:
             out = []
             for hashes, marks in _streams(batch.column(1)):
-                ids, counts = reader.words(np.insert(hashes, marks[1:], END))
-                ends = marks[1:] + np.arange(1, len(marks))
-                begins = np.concatenate(([0], ends[:-1]))
-                before = np.concatenate(([reader.bos], ids[:-1]))
-                before[begins] = reader.bos
-                logs = np.log10(reader.chance(before, ids))
+                ids, counts, before, earlier, begins, ends = _contexts(reader, hashes, marks)
+                logs = np.log10(reader.chance(earlier, before, ids))
                 add = lambda x: np.add.reduceat(x, begins)
                 out.append(np.stack([ends - begins, add((counts > 0).astype(float)), add(np.log10(counts + 1) - base), add(logs)]))
             if out:
