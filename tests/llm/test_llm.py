@@ -105,9 +105,11 @@ def test_neardup_sql(spark, case, sf_dir):
         assert sorted(map(tuple, got)) == sorted(con.execute(neardup.ORACLE["op6_neardup"]).fetchall())
 
 
-def test_neardup_blocks(spark, monkeypatch):
-    """A bucket over several blocks, whose members link in a chain and not all with its centre."""
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+@pytest.mark.parametrize(("block", "shingles"), [(7, 1 << 21), (500, 1000)])
+def test_neardup_blocks(spark, monkeypatch, block, shingles):
+    """A bucket over several blocks, small in rows or in shingles, whose members link in a chain and not all with its centre."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     monkeypatch.setattr(neardup, "SKETCHES", 9)
     monkeypatch.setattr(neardup, "LARGE", 3)
     rng = random.Random(2)

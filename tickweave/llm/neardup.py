@@ -26,6 +26,8 @@ SKETCH_BITS = 512
 LARGE = 64
 #: Rows of a bucket that one task compares with as many others: by sketches (some 100 bytes each), and by full sets.
 SKETCHES, BLOCK = 8192, 500
+#: Shingles that a block of full sets holds: where sets are large, it has fewer rows.
+BLOCK_SHINGLES = 1 << 21
 #: Ids are broadcast up to so many (8 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -196,8 +198,8 @@ def _rest(buckets: DataFrame, seen: DataFrame, reps: DataFrame, sets: DataFrame,
 
     A bucket is cut into blocks, and every two blocks meet in a group of their own, so no task holds more than two blocks and
     what a large bucket costs is spread over tasks. First large blocks of ids and sketches alone tell which members have one of
-    another component with a sketch like theirs. Only those are then compared on full sets, in small blocks. A link joins two
-    components, so a group has fewer links than members.
+    another component with a sketch like theirs. Only those are then compared on full sets, in blocks that are small in rows and
+    in shingles. A link joins two components, so a group has fewer links than members.
     """
     most = most_odd(percent)
 
@@ -210,8 +212,8 @@ def _rest(buckets: DataFrame, seen: DataFrame, reps: DataFrame, sets: DataFrame,
             if near.any():
                 met[x] = True
                 met[right[near]] = True
-        key = table.column("key").to_numpy()
-        return pa.table({"key": pa.array(key[met], pa.int64()), "rep": pa.array(rep[met], pa.int64())})
+        key, size = table.column("key").to_numpy(), table.column("n_shingles").to_numpy()
+        return pa.table({"key": pa.array(key[met], pa.int64()), "rep": pa.array(rep[met], pa.int64()), "size": pa.array(size[met], pa.int64())})
 
     def compare(table: pa.Table) -> pa.Table:
         part, rep, comp = (table.column(c).to_numpy() for c in ("part", "rep", "component"))
@@ -241,11 +243,12 @@ def _rest(buckets: DataFrame, seen: DataFrame, reps: DataFrame, sets: DataFrame,
     labelled = buckets.join(seen.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and n > 2").select("key", "n", F.xxhash64("key").alias("k"))
     rows = labelled.withColumn("k", F.xxhash64("key")).join(mixed, ["key", "k"]).select("key", "rep", "component", "n")
-    rows = written(rows.join(reps.select(F.col("node").alias("rep"), "sketch"), "rep"), "neardup-mixed")
-    pairs = _tiles(rows, SKETCHES).groupBy("key", "i", "j").applyInArrow(alike, "key long, rep long")
+    rows = written(rows.join(reps.select(F.col("node").alias("rep"), "sketch", "n_shingles"), "rep"), "neardup-mixed")
+    pairs = _tiles(rows, SKETCHES).groupBy("key", "i", "j").applyInArrow(alike, "key long, rep long, size long")
     wanted = written(pairs.distinct(), "neardup-alike")
-    counts = wanted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.xxhash64("key"))
-    few = rows.drop("n").join(wanted, ["key", "rep"], "left_semi").withColumn("k", F.xxhash64("key")).join(counts, ["key", "k"]).drop("k")
+    weight = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("size") * (BLOCK / BLOCK_SHINGLES)))
+    counts = wanted.groupBy("key").agg(weight.alias("n")).withColumn("k", F.xxhash64("key"))
+    few = rows.drop("n", "n_shingles").join(wanted, ["key", "rep"], "left_semi").withColumn("k", F.xxhash64("key")).join(counts, ["key", "k"]).drop("k")
     full = few.join(sets.select(F.col("node").alias("rep"), "shingles"), "rep")
     return written(_tiles(full, BLOCK).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "neardup-rest")
 
@@ -273,7 +276,7 @@ def cluster(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     key = F.xxhash64("s1")
     rows = written(docs.select("doc_id", *same).withColumn("k", key).join(group.select(*same, "node", key.alias("k")), [*same, "k"], "left").select("doc_id", "n_shingles", "node"), "neardup-rows")
     reps = docs.select("doc_id", *same, "bands", "sketch").join(group, ["doc_id", *same]).union(docs.where("doc_id is null").select("doc_id", *same, "bands", "sketch").join(group.where("doc_id is null").drop("doc_id"), same).select("doc_id", *same, "bands", "sketch", "node"))
-    reps = written(reps.dropDuplicates(["node"]).select("node", "doc_id", "s1", "s2", "bands", "sketch"), "neardup-reps")
+    reps = written(reps.dropDuplicates(["node"]).select("node", "doc_id", "n_shingles", "s1", "s2", "bands", "sketch"), "neardup-reps")
     keyed = reps.select(F.col("node").alias("rep"), "doc_id", F.explode("bands").alias("key"))
     # Centres are the smallest doc_ids, as originals mostly come before their copies.
     shared = keyed.groupBy("key").agg(F.coalesce(F.min_by("rep", "doc_id"), F.min("rep")).alias("center"), F.min("doc_id").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("k", F.xxhash64("key"))
