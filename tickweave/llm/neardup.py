@@ -26,7 +26,7 @@ SKETCH_BITS = 512
 LARGE = 64
 #: Rows of a bucket that one task compares with as many others: by sketches (some 100 bytes each), and by full sets.
 SKETCHES, BLOCK = 8192, 500
-#: Shingles that a block of full sets holds: where sets are large, it has fewer rows.
+#: Shingles that a block of full sets holds on average at most: where sets are large, it has fewer rows.
 BLOCK_SHINGLES = 1 << 21
 #: Ids are broadcast up to so many (8 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 2_000_000
